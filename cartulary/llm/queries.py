@@ -16,7 +16,38 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op6_ngram_jaccard,)}
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from .packing import pack_documents
+
+    packed = pack_documents(documents(spark, sf_dir).select("doc_id", "text"), path("word_bpe_49k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op5_stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import interleave
+
+    docs = documents(spark, sf_dir).select(
+        "doc_id",
+        "source",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+    )
+    sharded = interleave(docs, "source", shards=16)
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify, train
+
+    docs = documents(spark, sf_dir).withColumn("held_out", F.expr("crc32(cast(doc_id as string)) % 3 = 1"))
+    model = train(docs.where("not held_out"))
+    found = identify(docs.select("doc_id", "held_out", "text"), model)
+    return found.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_stratified_interleaving, op6_ngram_jaccard, op10_kneser_ney_language)}
 ORACLE: dict[str, str] = {}
 
 

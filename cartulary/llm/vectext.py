@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 _LOW = np.array([0] + [(1 << (8 * k)) - 1 for k in range(1, 8)] + [0xFFFFFFFFFFFFFFFF], dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -31,6 +32,18 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def portions(batch: pa.RecordBatch, at: int, limit: int = 2 << 20):
+    """Slices of a batch of up to ``limit`` bytes of text in column ``at``; a
+    longer text is a slice of its own. They bound a worker's memory."""
+    ends = pa.compute.binary_length(batch.column(at).cast(pa.large_string())).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
+    first = 0
+    while first < batch.num_rows:
+        done = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, done + limit, side="right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def word_hashes(column) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, A-Z lower-cased, and each row's first word.
 
