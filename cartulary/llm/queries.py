@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import line_dedup
 from .common import documents
 
 
@@ -25,6 +26,25 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pii_digest
+
+    return pii_digest(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op3_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=20, query="id % 20 = 0")
+
+
+def op4_three_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    found = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", "removed", F.md5("text").alias("text_md5"))
+
+
 def op5_stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import interleave
 
@@ -38,6 +58,24 @@ def op5_stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    return find_leaks(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op8_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secret_digest
+
+    return secret_digest(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op9_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import repeated_spans
+
+    return repeated_spans(documents(spark, sf_dir).select("doc_id", "text")).drop("text_key")
+
+
 def op10_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import identify, train
 
@@ -47,8 +85,8 @@ def op10_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_stratified_interleaving, op6_ngram_jaccard, op10_kneser_ney_language)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_bootstrapped_pii, op3_learned_partitions, op4_three_line_windows, op5_stratified_interleaving, op6_ngram_jaccard, op7_simhash_decontamination, op8_entropy_secrets, op9_gear_chunks, op10_kneser_ney_language)}
+ORACLE: dict[str, str] = {"op4_three_line_windows": line_dedup.ORACLE}
 
 
 def queries() -> dict:

@@ -44,6 +44,21 @@ def portions(batch: pa.RecordBatch, at: int, limit: int = 2 << 20):
         first = last
 
 
+def run_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of runs of bytes, eight bytes at a time for all runs."""
+    h = mix(lengths.astype(np.uint64) + _STEP * np.uint64(2 * seed + 1))
+    if not len(starts):
+        return h
+    eight = np.ndarray((len(data),), dtype="<u8", buffer=np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    h = mix(h ^ (eight[starts] & _LOW[np.minimum(lengths, 8)]))
+    left, at = np.flatnonzero(lengths > 8), 8
+    while len(left):
+        h[left] = mix(h[left] * np.uint64(3) ^ (eight[starts[left] + at] & _LOW[np.minimum(lengths[left] - at, 8)]))
+        at += 8
+        left = left[lengths[left] > at]
+    return h
+
+
 def word_hashes(column) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, A-Z lower-cased, and each row's first word.
 
@@ -62,16 +77,7 @@ def word_hashes(column) -> tuple[np.ndarray, np.ndarray]:
     after[offsets[1:][offsets[1:] > 0] - 1] = True
     starts = np.flatnonzero(~gap & before)
     lengths = np.flatnonzero(~gap & after) + 1 - starts
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    eight = np.ndarray((len(data),), dtype="<u8", buffer=padded, strides=(1,))
-    h = mix(lengths.astype(np.uint64) + _STEP)
-    h = mix(h ^ (eight[starts] & _LOW[np.minimum(lengths, 8)])) if len(starts) else h
-    left = np.flatnonzero(lengths > 8)
-    at = 8
-    while len(left):
-        h[left] = mix(h[left] * np.uint64(3) ^ (eight[starts[left] + at] & _LOW[np.minimum(lengths[left] - at, 8)]))
-        at += 8
-        left = left[lengths[left] > at]
+    h = run_hashes(data, starts, lengths)
     return h, np.searchsorted(starts, offsets)
 
 
