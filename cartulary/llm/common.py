@@ -1,68 +1,13 @@
-"""Scratch tables in the cluster's shared folder, and small shared helpers."""
+"""Small helpers that the operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-_MADE: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Only where the session leaves it unset (local tests) a folder of this
-    process is used and set as the context's checkpoint folder.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="cartulary-")
-        spark.sparkContext.setCheckpointDir(_OWN[app])
-    return _OWN[app]
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again.
-
-    The lineage ends there, so a lost executor costs only its own tasks.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cartulary-{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    _MADE.add(path)
-    out = spark.read.schema(schema).parquet(path)
-    out._cartulary_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables made by :func:`cut` that no pending plan reads."""
-    for table in tables:
-        path = getattr(table, "_cartulary_path", None)
-        if path in _MADE:
-            _delete(table.sparkSession, path)
-
-
-def cleanup(spark: SparkSession) -> None:
-    """Delete every scratch table of this session, once results are written."""
-    for path in list(_MADE):
-        _delete(spark, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    _MADE.discard(path)
+from ..scratch import cleanup, cut, discard, shared_dir
 
+__all__ = ["cleanup", "connected_components", "cut", "discard", "documents", "shared_dir", "size_in_bytes"]
 
 def size_in_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; for a file scan, the files' bytes."""

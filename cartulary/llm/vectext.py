@@ -46,7 +46,7 @@ def portions(batch: pa.RecordBatch, at: int, limit: int = 2 << 20):
 
 def run_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit hashes of runs of bytes, eight bytes at a time for all runs."""
-    h = mix(lengths.astype(np.uint64) + _STEP * np.uint64(2 * seed + 1))
+    h = mix(lengths.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (2 * seed + 1)) % 2**64))
     if not len(starts):
         return h
     eight = np.ndarray((len(data),), dtype="<u8", buffer=np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
