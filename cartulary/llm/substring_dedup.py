@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import cut
 from .frequency import frequency_maps, levels
@@ -140,3 +141,23 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.array_sort(F.collect_set("first_id")).alias("first_doc_ids")
     )
     return spans.where(F.col("n_words") >= min_words).select(F.col("id").alias(id_col), "text_key", "start", "end", "n_words", "first_doc_ids")
+
+
+def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the text of ``spans`` that :func:`repeated_spans` found
+    in them; null texts stay null."""
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [None if t is None else int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little", signed=True) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, "__key"])
+
+    at = docs.columns.index(text)
+    keyed = docs.mapInArrow(key, StructType([*docs.schema.fields, StructField("__key", LongType())]))
+    cover = spans.groupBy(F.col(id_col).alias("__id"), F.col("text_key").alias("__k")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cover"))
+    joined = keyed.join(cover, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left")
+    # What stands between the spans: from an end, or 0, to the next start.
+    ends = "concat(array(0), transform(__cover, c -> c.end))"
+    starts = "concat(transform(__cover, c -> c.start), array(length({t})))"
+    rest = f"array_join(zip_with({ends}, {starts.format(t=f'`{text}`')}, (a, b) -> substr(`{text}`, a + 1, b - a)), '')"
+    return joined.select(*[F.expr(f"if(__cover is null, `{text}`, {rest})").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
