@@ -200,7 +200,7 @@ def macro_scores(rows: DataFrame) -> DataFrame:
 
 def verdict_contingency(rows: DataFrame) -> DataFrame:
     """Verdicts against ground-truth matches, by arm and k."""
-    return rows.groupBy("arm", "k", "verdict").pivot("gt_match", ["yes", "no"]).agg(F.count("*")).na.fill(0, ["yes", "no"])
+    return rows.groupBy("arm", "k", "verdict").pivot("gt_match", ["yes", "no"]).agg(F.count(F.lit(1))).na.fill(0, ["yes", "no"])
 
 
 def signed_rank(rows: DataFrame, a: str, b: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from fnmatch import fnmatch
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,8 +27,21 @@ def read_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     base = F.regexp_replace(F.lit(str(root)), "^file:/*", "/")
     path = F.regexp_replace("path", "^file:/*", "/")
     rel = F.regexp_replace(F.substr(path, F.length(base) + 1), "^/+", "")
-    ok = F.is_valid_utf8(text) if hasattr(F, "is_valid_utf8") else F.lit(True)
-    return raw.where(ok).select(rel.alias("file_path"), text.alias("text"), F.size(F.split(text, "\n", -1)).alias("n_lines"), F.col("length").alias("size"))
+    found = raw.where(F.is_valid_utf8(text)).select(rel.alias("file_path"), text.alias("text"), F.size(F.split(text, "\n", -1)).alias("n_lines"), F.col("length").alias("size"))
+    empty = [(f, "", 1, 0) for f in _empty_files(spark, root) if fnmatch(f.rpartition("/")[2], glob)]
+    return found.union(spark.createDataFrame(empty, found.schema)) if empty else found
+
+
+def _empty_files(spark: SparkSession, root: str) -> list[str]:
+    """Files of no bytes, which Spark's reader leaves out, from a listing."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base, files, out = fs.makeQualified(p).toUri().getPath(), fs.listFiles(p, True), []
+    while files.hasNext():
+        status = files.next()
+        if status.getLen() == 0:
+            out.append(status.getPath().toUri().getPath().removeprefix(base).lstrip("/"))
+    return out
 
 
 def read_file(spark: SparkSession, root: str, name: str) -> DataFrame:
