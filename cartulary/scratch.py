@@ -35,7 +35,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cartulary-{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     _MADE.add(path)
     out = spark.read.schema(schema).parquet(path)
     out._cartulary_path = path
