@@ -108,7 +108,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     pairs = both.where(first).select("id", "key", "s", "n", "runs", "item_id", "fp2", F.expr("bit_count(fp ^ fp2)").alias("distance"))
 
     weights = hits.select("id", "key", "k", "g").distinct().groupBy("k", "g").agg(F.count("*").alias("df"))
-    weights = grams.select("k", "g").distinct().join(weights, ["k", "g"], "left").select("k", "g", (1 / F.log2(2 + F.coalesce("df", F.lit(0)))).alias("weight"))
+    weights = grams.select("k", "g").distinct().join(weights, ["k", "g"], "left").select("k", "g", (1 / F.log2(1 + F.greatest("df", F.lit(1)))).alias("weight"))
     run = items.select("item_id", F.col("fp").alias("fp2"), "k", F.explode("runs").alias("r")).withColumn("g", F.xxhash64(F.split("r", " ", -1)))
     of_item = run.join(weights, ["k", "g"]).groupBy("item_id", "fp2").agg(F.array_sort(F.collect_list(F.struct("r", "weight"))).alias("weighed"))
     checked = pairs.join(of_item, ["item_id", "fp2"])

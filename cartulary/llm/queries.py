@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup
+from . import line_dedup, ngram_join
 from .common import documents
 
 
@@ -86,7 +86,7 @@ def op10_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_bootstrapped_pii, op3_learned_partitions, op4_three_line_windows, op5_stratified_interleaving, op6_ngram_jaccard, op7_simhash_decontamination, op8_entropy_secrets, op9_gear_chunks, op10_kneser_ney_language)}
-ORACLE: dict[str, str] = {"op4_three_line_windows": line_dedup.ORACLE}
+ORACLE: dict[str, str] = {"op4_three_line_windows": line_dedup.ORACLE, "op6_ngram_jaccard": ngram_join.ORACLE}
 
 
 def queries() -> dict:

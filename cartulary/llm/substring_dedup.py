@@ -37,21 +37,24 @@ GEAR = np.frombuffer(hashlib.shake_256(b"gear").digest(1024), dtype="<u4")
 
 def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where chunks end, over all rows' bytes; rows end a chunk as well."""
-    h = GEAR[data]
+    # Rows stand apart, so that a text is cut alike after whatever row.
+    apart = np.arange(len(data)) + 16 * np.repeat(np.arange(1, len(offsets)), np.diff(offsets))
+    h = np.zeros(len(data) + 16 * len(offsets), np.uint32)
+    h[apart] = GEAR[data]
     for step in (1, 2, 4, 8):
         before = np.zeros_like(h)
         before[step:] = h[:-step]
         h = h + (before << np.uint32(step))
-    ends = ((h >> np.uint32(8)) & np.uint32(255)) < ENDING
+    ends = ((h[apart] >> np.uint32(8)) & np.uint32(255)) < ENDING
     # Bytes of one character stay together.
     ends[:-1] &= (data[1:] & 0xC0) != 0x80
-    # Of boundaries close together the first counts, by a rule of place only.
-    seen = np.cumsum(ends)
-    earlier = np.zeros(len(ends), seen.dtype)
-    earlier[1:] = seen[:-1]
-    floor = np.zeros(len(ends), seen.dtype)
-    floor[LEAST:] = seen[: len(ends) - LEAST]
-    ends &= earlier == floor
+    # Of boundaries close together the first counts.
+    wide = np.zeros(len(h), np.int32)
+    wide[apart] = ends
+    seen = np.cumsum(wide)
+    floor = np.zeros_like(seen)
+    floor[LEAST:] = seen[:-LEAST]
+    ends &= (seen - wide == floor)[apart]
     at = np.union1d(np.flatnonzero(ends) + 1, offsets[1:])
     at = at[at > 0]
     # Overlong chunks are cut at steps from their start, between characters.

@@ -185,10 +185,10 @@ def test_repeated_spans(spark):
     for r in spans:
         piece = texts[r.doc_id][r.start : r.end]
         if r.doc_id % 5 == 0:
-            assert piece in passage + " " or passage.startswith(piece.strip()[:40]) or piece.strip() in passage
-            assert r.first_doc_ids == [0] and r.n_words >= 24
+            assert piece[12:-12] in passage
+            assert r.first_doc_ids[0] == 0 and r.n_words >= 24
         if r.doc_id == 52:
-            assert r.first_doc_ids == [1] and r.n_words >= 160
+            assert r.first_doc_ids == [1] and r.n_words >= 150
     rest = {r.doc_id: r.text for r in remove_spans(docs.drop("start"), repeated_spans(docs)).collect()}
     assert rest[0] == texts[0] and rest[50] is None and len(rest[52]) < 40
     assert len(rest[5]) < len(texts[5]) - 200 and rest[1] == texts[1]
