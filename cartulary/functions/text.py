@@ -137,3 +137,17 @@ def recover_json(text: Column | str, field: str) -> Column:
     fenced = F.get_json_object(F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), f"$.{field}")
     loose = F.nullif(F.regexp_extract(text, rf'"{field}"\s*:\s*"?([^",}}\n]*)', 1), F.lit(""))
     return F.coalesce(strict, fenced, F.trim(loose))
+
+
+def head_tail(x: Column | str, lines: int) -> Column:
+    """Text of more than ``lines`` lines cut to its first and last halves, with
+    a line of dots between (W09)."""
+    parts = F.split(col(x), "\n", -1)
+    half = lines // 2
+    cut = F.concat(F.slice(parts, 1, half), F.array(F.lit("...")), F.slice(parts, F.size(parts) - half + 1, half))
+    return F.when(F.size(parts) > lines, F.array_join(cut, "\n")).otherwise(col(x))
+
+
+def code_lines(x: Column | str) -> Column:
+    """Lines that are not blank."""
+    return F.size(F.filter(F.split(F.coalesce(col(x), F.lit("")), "\n", -1), lambda line: F.trim(line) != ""))

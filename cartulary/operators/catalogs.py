@@ -82,3 +82,35 @@ def gate_wrappers(candidates: DataFrame, sinks: DataFrame) -> DataFrame:
     exploded = candidates.select("name", F.explode(F.array_distinct(F.concat(named, words, told))).alias("__tail"))
     hit = exploded.join(tails, "__tail", "left_semi").select("name").distinct().withColumn("accepted", F.lit(True))
     return candidates.join(hit, "name", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+
+
+def refined(rules: DataFrame, patches: DataFrame) -> DataFrame:
+    """Rules of each case after its refinement, with ``apply_status``.
+
+    ``rules``: ``case_id, pos, rule_id, rule``; ``patches``: one row of a case,
+    ``action`` (keep, refine, add_rule), ``rule_id``, ``rule``. ``refine`` replaces the
+    rule of that id or adds one, ``add_rule`` adds; a patch without id or rule
+    changes nothing (``noop_empty_patch``). Unknown actions keep.
+    """
+    p = patches.select(F.col("case_id").alias("__c"), "action", F.col("rule_id").alias("__id"), F.col("rule").alias("__rule"))
+    empty = (F.coalesce("__id", F.lit("")) == "") | (F.coalesce("__rule", F.lit("")) == "")
+    acts = F.col("action").isin("refine", "add_rule")
+    status = F.when(~F.coalesce(acts, F.lit(False)), "kept").when(empty, "noop_empty_patch").otherwise(F.when(F.col("action") == "refine", "refined").otherwise("added"))
+    p = p.withColumn("apply_status", status)
+    both = rules.join(p, F.col("case_id") == F.col("__c"), "left")
+    hit = (F.col("apply_status") == "refined") & (F.col("rule_id") == F.col("__id"))
+    old = both.select("case_id", "pos", "rule_id", F.when(F.coalesce(hit, F.lit(False)), F.col("__rule")).otherwise(F.col("rule")).alias("rule"), "apply_status")
+    last = rules.groupBy(F.col("case_id").alias("__r")).agg(F.max("pos").alias("__last"), F.collect_set("rule_id").alias("__ids"))
+    new = p.where("apply_status in ('refined', 'added')").join(last, F.col("__c") == F.col("__r"), "left")
+    new = new.where((F.col("apply_status") == "added") | ~F.coalesce(F.array_contains("__ids", F.col("__id")), F.lit(False)))
+    added = new.select(F.col("__c").alias("case_id"), (F.coalesce("__last", F.lit(-1)) + 1).alias("pos"), F.col("__id").alias("rule_id"), F.col("__rule").alias("rule"), "apply_status")
+    return old.unionByName(added)
+
+
+def expand_by_role(catalog: DataFrame, classified: DataFrame, sinks: DataFrame) -> DataFrame:
+    """A catalog with the helpers that a review gave a role: ``name, role,
+    callees, code, evidence``. Sinks must pass the wrapper gate; other roles
+    than source, sink and sanitizer add nothing."""
+    gated = gate_wrappers(classified, sinks).where("role in ('source', 'sanitizer') or role = 'sink' and accepted")
+    new = gated.select("role", F.lit(0).alias("pos"), identifier("name").alias("pattern")).where("pattern is not null")
+    return merged(catalog, new)[0]

@@ -218,3 +218,8 @@ def signed_rank(rows: DataFrame, a: str, b: str) -> DataFrame:
     out = out.withColumn("w", F.least("w_plus", "w_minus"))
     var = F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("__ties") / 48
     return out.withColumn("z", F.when(var > 0, (F.col("w") - F.col("n") * (F.col("n") + 1) / 4) / F.sqrt(var))).drop("__ties")
+
+
+def triage_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Verdicts by key."""
+    return rows.groupBy(*keys).agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS])

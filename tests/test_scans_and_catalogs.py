@@ -170,3 +170,24 @@ def test_stream_totals(spark, tmp_path):
     run()
     got = {r.k: (r.tp, r.fp, r.fn) for r in running_totals(spark.read.schema(schema).parquet(str(tmp_path / "out"))).collect()}
     assert got == {0: (5, 2, 1), 1: (1, 0, 0)}
+
+
+def test_refinement_and_expansion(spark, catalog):
+    rules = spark.createDataFrame([(c, 0, "r1", "old") for c in "abcde"], "case_id string, pos int, rule_id string, rule string")
+    patches = spark.createDataFrame([("a", "refine", "r1", "new"), ("b", "refine", "r2", "new"), ("c", "add_rule", "r1", "new"), ("d", "refine", None, "x"), ("e", "keep", "r1", "x")], "case_id string, action string, rule_id string, rule string")
+    got = sorted((r.case_id, r.pos, r.rule_id, r.rule, r.apply_status) for r in catalogs.refined(rules, patches).collect())
+    assert got == [("a", 0, "r1", "new", "refined"), ("b", 0, "r1", "old", "refined"), ("b", 1, "r2", "new", "refined"), ("c", 0, "r1", "old", "added"), ("c", 1, "r1", "new", "added"), ("d", 0, "r1", "old", "noop_empty_patch"), ("e", 0, "r1", "old", "kept")]
+    found = [("wrap", "sink", ["system"], "", ""), ("plain", "sink", [], "", ""), ("get_arg", "source", [], "", ""), ("x", "unrelated", ["system"], "", "")]
+    helpers = spark.createDataFrame(found, "name string, role string, callees array<string>, code string, evidence string")
+    out = catalogs.expand_by_role(catalog, helpers, catalog.where("role = 'sink'"))
+    assert {(r.role, r.pattern) for r in out.collect()} - {(r.role, r.pattern) for r in catalog.collect()} == {("sink", "wrap"), ("source", "get_arg")}
+
+
+def test_text_cuts(spark):
+    from cartulary.functions.text import code_lines, head_tail
+
+    one = spark.range(1).select(head_tail(F.lit("1\n2\n3\n4\n5"), 4).alias("a"), head_tail(F.lit("1\n2"), 4).alias("b"), code_lines(F.lit("a\n \n\nb")).alias("c")).first()
+    assert (one.a, one.b, one.c) == ("1\n2\n...\n4\n5", "1\n2", 2)
+    files = spark.createDataFrame([("a.py", "l1\nl2\nl3")], "file_path string, text string")
+    f = spark.createDataFrame([("k", "a.py", 2, 2), ("k", "a.py", 3, 3)], "k string, file_path string, line_start int, line_end int")
+    assert scans.seed_snippets(f, files, ["k"], 0).first().snippet == "    2| l2\n    3| l3"
