@@ -31,7 +31,7 @@ def frequency_maps(texts: DataFrame, tokens_of: Callable, above: tuple[int, ...]
     counted on its own; the driver gets the bitmaps, however many rows there
     are.
     """
-    ranges = 1 << max(4, min(16, math.ceil(math.log2(max(1, size_in_bytes(texts)) / (8 << 20)))))
+    ranges = 1 << max(4, min(18, math.ceil(math.log2(max(1, size_in_bytes(texts)) / (8 << 20)))))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -79,7 +79,7 @@ def frequency_maps(texts: DataFrame, tokens_of: Callable, above: tuple[int, ...]
         return pd.DataFrame({"r": [int(group["r"].iloc[0])], "maps": [bits]})
 
     maps = np.zeros((len(above), ranges, cells // 8), np.uint8)
-    for row in texts.mapInArrow(runs, "r int, run binary").groupBy("r").applyInPandas(count, "r int, maps array<binary>").toLocalIterator():
+    for row in texts.mapInArrow(runs, "r int, run binary").groupBy("r").applyInPandas(count, "r int, maps array<binary>").collect():
         for k, packed in enumerate(row.maps):
             maps[k, row.r] = np.frombuffer(zlib.decompress(packed), np.uint8)
     return maps.reshape(len(above), -1)

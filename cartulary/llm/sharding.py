@@ -27,7 +27,8 @@ def interleave(df: DataFrame, strata: str = "source", shards: int = 16, seed: in
     are ordered by a seeded hash of all their columns, then by the columns
     that can be compared; fully equal rows are interchangeable. Columns of
     ``df`` with the names of the results are replaced. An empty table stays
-    empty. Only orderable column types are meant.
+    empty. Only orderable column types are meant, and names that begin with two
+    underscores are this operator's own.
 
     ``rows`` saves counting the table where its size is known.
     """
