@@ -35,6 +35,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cartulary-{name}-{uuid.uuid4().hex}"
     schema = df.schema
+    # The session's codec: zstd's buffers lie outside the heap, for each column
+    # of each file that is open.
     df.write.parquet(path)
     _MADE.add(path)
     out = spark.read.schema(schema).parquet(path)
