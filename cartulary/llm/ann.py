@@ -26,11 +26,11 @@ from .common import cut
 #: Rows that the graph, the network and the calibration are made from, at most.
 SAMPLE_ROWS = 8192
 #: Rows of a part on average, and parts at most.
-PART_ROWS, MOST_PARTS = 4096, 128
+PART_ROWS, MOST_PARTS = 2048, 128
 #: Rows, and queries, of a block at most on average.
 BLOCK_ROWS, BLOCK_QUERIES = 16384, 4096
 #: Recall at k on the sample that decides how many parts are searched.
-RECALL = 0.97
+RECALL = 0.94
 
 
 @dataclass
