@@ -7,13 +7,24 @@ from pyspark.sql import functions as F
 
 from ..scratch import cleanup, cut, discard, shared_dir
 
-__all__ = ["cleanup", "connected_components", "cut", "discard", "documents", "shared_dir", "size_in_bytes"]
+__all__ = ["bounded_batches", "cleanup", "connected_components", "cut", "discard", "documents", "shared_dir", "size_in_bytes"]
+
 
 def size_in_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; for a file scan, the files' bytes."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def bounded_batches(df: DataFrame, rows: int = 1000) -> SparkSession:
+    """Send Python workers at most ``rows`` rows at once: rows are long texts
+    here, and a batch stands in memory twice on both sides."""
+    spark = df.sparkSession
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+    return spark
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
-from .vectext import portions
+from .common import bounded_batches, cut
+from .vectext import portions, run_hashes, text_bytes
 
-#: Distinct chunks of text whose ids a Python worker keeps.
+#: Pieces of text whose ids a Python worker keeps, twice.
 CACHE = 300_000
 #: Pieces that one rank bucket holds on average at most.
 BUCKET_ROWS = 20_000
@@ -34,35 +34,134 @@ BUCKET_ROWS = 20_000
 PIECE = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-class ChunkEncoder:
-    """Ids of texts as little-endian bytes, encoding each chunk once.
+class Kept(dict):
+    """A dictionary that forgets what was not asked for since it last filled."""
 
-    White space bounds every pre-token of the vocabularies meant here, so a
-    text's ids are those of its chunks between spaces and line feeds. The
-    strings of special tokens are ordinary text.
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def missing(self, keys: set[bytes]) -> list[bytes]:
+        """Those of ``keys`` not known in either generation; makes room first."""
+        if len(self) + len(keys) > self.most:
+            self.old = dict(self)
+            self.clear()
+        out = []
+        for k in keys - self.keys():
+            if (v := self.old.get(k)) is None:
+                out.append(k)
+            else:
+                self[k] = v
+        return out
+
+
+class PieceEncoder:
+    """Ids of texts as little-endian bytes, encoding each distinct piece once.
+
+    Texts are cut where a pre-token of the vocabulary meant here surely ends:
+    at spaces and line feeds, and between a letter or digit and a sign of
+    SIGNS. A-Z are lower-cased, as the vocabulary does. Words of letters go to the
+    tokenizer together and are told apart by their end-of-word tokens, other
+    pieces one by one. The strings of special tokens are ordinary text.
     """
 
+    SIGNS = b".,;:!?"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        chunked = [t.replace("\n", " ").split(" ") for t in texts]
+        self.known = Kept(CACHE)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[v for k, v in vocabulary.items() if k.endswith("</w>")]] = True
+        self.is_sign = np.zeros(256, bool)
+        self.is_sign[list(self.SIGNS)] = True
+        self.is_plain = np.array([bytes([b]).isalnum() for b in range(256)])
+
+    def __call__(self, column: pa.Array) -> list[bytes]:
+        """The ids of each row of an Arrow column of texts; null is empty."""
+        data, offsets = text_bytes(column)
+        if not len(data):
+            return [b""] * (len(offsets) - 1)
+        data = data + (((data >= 65) & (data <= 90)).astype(np.uint8) << 5)
+        starts, lengths = self._pieces(data, offsets)
+        # Each distinct piece is looked up once; its ids then go where it stands.
+        one, two = run_hashes(data, starts, lengths), run_hashes(data, starts, lengths, 1)
+        order = np.argsort(one)
+        edge = np.ones(len(order), bool)
+        edge[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(edge) - 1
+        at = order[edge]
+        raw = data.tobytes()
+        ids = self._ids([raw[a : a + n] for a, n in zip(starts[at].tolist(), lengths[at].tolist(), strict=True)])
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        firsts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        own = sizes[which]
+        ends = np.cumsum(own)
+        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(firsts[which] - ends + own, own)
+        out = np.frombuffer(b"".join(ids), dtype="<u4")[place].tobytes()
+        bounds = (4 * np.concatenate([[0], ends])[np.searchsorted(starts, offsets)]).tolist()
+        return [out[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        gap, sign, plain = (data == 32) | (data == 10), self.is_sign[data], self.is_plain[data]
+        # Letters of two bytes that begin with 0xC3, all but two signs.
+        lead = np.zeros(len(data), bool)
+        lead[:-1] = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        first, last = plain | lead, plain.copy()
+        last[1:] |= lead[:-1]
+        new = ~gap
+        new[1:] &= gap[:-1] | (last[:-1] & sign[1:]) | (sign[:-1] & first[1:])
+        bounds = offsets[:-1][offsets[:-1] < len(data)]
+        new[bounds] = ~gap[bounds]
+        starts = np.flatnonzero(new)
+        # A piece ends before the next one, or before a gap or its text's end.
+        stop = np.append(gap, True)
+        stop[offsets[1:]] = True
+        stop[starts] = True
+        stops = np.flatnonzero(stop)
+        return starts, stops[np.searchsorted(stops, starts, side="right")] - starts
+
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
         known = self.known
-        new = list({w for words in chunked for w in words if w not in known})
+        new = known.missing(set(pieces))
         if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                known[""] = b""
-                new = list({w for words in chunked for w in words if w})
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join([known[w] for w in words]) for words in chunked]
+            texts = [x.decode() for x in new]
+            words = [k for k, t in enumerate(texts) if t.isalpha()]
+            others = [k for k, t in enumerate(texts) if not t.isalpha()]
+            known.update(zip([new[k] for k in others], self._whole([texts[k] for k in others]), strict=True))
+            for at in range(0, len(words), 2048):
+                part = words[at : at + 2048]
+                known.update(zip([new[k] for k in part], self._words([texts[k] for k in part]), strict=True))
+        return [known[x] for x in pieces]
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        last = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(last) != len(words):  # lower case made more pre-tokens of a word than one
+            return self._whole(words)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *last[:-1]], last, strict=True)]
+
+
+def encoder(path: str) -> PieceEncoder:
+    """This process's encoder, kept from task to task with what it knows.
+
+    Functions come to workers by value, with their module's names; what shall
+    outlive a task is kept at a module that stays.
+    """
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_cartulary_encoders", {})
+    if path not in kept:
+        kept[path] = PieceEncoder(path)
+    return kept[path]
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -73,6 +172,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", c
     32-bit ids) and, if asked for, ``ids`` (those bytes). A null text counts as
     empty. Columns of those names in ``docs`` are replaced.
     """
+    bounded_batches(docs)
     own = ["piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset", "__bucket", "__order"]
     kept = [c for c in docs.columns if c != text and c not in own]
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema
@@ -83,11 +183,11 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", c
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ChunkEncoder(tokenizer_path)
+        encode = encoder(tokenizer_path)
         for batch in batches:
-            for part in portions(batch, batch.num_columns - 1):
+            for part in portions(batch, batch.num_columns - 1, 4 << 20):
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
-                for i, raw in enumerate(encode([t or "" for t in part.column(part.num_columns - 1).to_pylist()])):
+                for i, raw in enumerate(encode(part.column(part.num_columns - 1))):
                     raw += end
                     for k in range(0, len(raw), 4 * capacity):
                         own = raw[k : k + 4 * capacity]
