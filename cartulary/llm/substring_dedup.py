@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import cut
+from .common import bounded_batches, cut
 from .frequency import frequency_maps, levels
 from .vectext import portions, run_hashes, text_bytes
 
@@ -98,7 +98,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     empty texts have none.
     """
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("t"))
-    maps = docs.sparkSession.sparkContext.broadcast(frequency_maps(source.select("t"), _digests, (1,)))
+    maps = bounded_batches(docs).sparkContext.broadcast(frequency_maps(source.select("t"), _digests, (1,)))
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in portions(b, 1)):
