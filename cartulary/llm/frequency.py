@@ -19,7 +19,7 @@ MAP_BITS = 27
 _FLUSH = 2_000_000
 
 
-def frequency_maps(texts: DataFrame, tokens_of: Callable, above: tuple[int, ...]) -> np.ndarray:
+def frequency_maps(texts: DataFrame, tokens_of: Callable, above: tuple[int, ...]) -> TokenMaps:
     """Bitmaps of the tokens that occur over ``above[k]`` times, one for each k.
 
     ``tokens_of`` gives an array of 64-bit hashes for each row of an Arrow
@@ -78,14 +78,23 @@ def frequency_maps(texts: DataFrame, tokens_of: Callable, above: tuple[int, ...]
             bits.append(zlib.compress(np.packbits(marks).tobytes(), 1))
         return pd.DataFrame({"r": [int(group["r"].iloc[0])], "maps": [bits]})
 
-    maps = np.zeros((len(above), ranges, cells // 8), np.uint8)
-    for row in texts.mapInArrow(runs, "r int, run binary").groupBy("r").applyInPandas(count, "r int, maps array<binary>").collect():
-        for k, packed in enumerate(row.maps):
-            maps[k, row.r] = np.frombuffer(zlib.decompress(packed), np.uint8)
-    return maps.reshape(len(above), -1)
+    rows = texts.mapInArrow(runs, "r int, run binary").groupBy("r").applyInPandas(count, "r int, maps array<binary>").collect()
+    return TokenMaps({r.r: [bytes(x) for x in r.maps] for r in rows}, len(above), ranges)
 
 
-def levels(maps: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """In how many of the maps each token's bit is set."""
-    cell = (tokens >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-    return ((maps[:, cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & np.uint8(1)).sum(axis=0, dtype=np.int8)
+class TokenMaps:
+    """Bitmaps in compressed parts; a worker unpacks them once."""
+
+    def __init__(self, parts: dict[int, list[bytes]], maps: int, ranges: int):
+        self.parts, self.maps, self.ranges, self.unpacked = parts, maps, ranges, None
+
+    def levels(self, tokens: np.ndarray) -> np.ndarray:
+        """In how many of the maps each token's bit is set."""
+        if self.unpacked is None:
+            bits = np.zeros((self.maps, self.ranges, (1 << MAP_BITS) // self.ranges // 8), np.uint8)
+            for r, packed in self.parts.items():
+                for k, part in enumerate(packed):
+                    bits[k, r] = np.frombuffer(zlib.decompress(part), np.uint8)
+            self.unpacked = bits.reshape(self.maps, -1)
+        cell = (tokens >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+        return ((self.unpacked[:, cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & np.uint8(1)).sum(axis=0, dtype=np.int8)

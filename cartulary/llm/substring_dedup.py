@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import bounded_batches, cut
-from .frequency import frequency_maps, levels
+from .frequency import frequency_maps
 from .vectext import portions, run_hashes, text_bytes
 
 #: Of 256 values of the hash, those that end a chunk: about 21 bytes each.
@@ -104,7 +104,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         for batch in (p for b in batches for p in portions(b, 1)):
             data, offsets, starts, lengths = chunks_of(batch.column(1))
             one = run_hashes(data, starts, lengths)
-            keep = np.flatnonzero(levels(maps.value, one) > 0)
+            keep = np.flatnonzero(maps.value.levels(one) > 0)
             if not len(keep):
                 continue
             two = run_hashes(data, starts[keep], lengths[keep], 1)
