@@ -1,17 +1,19 @@
-"""Benchmark decontamination by SimHash of item-sized windows, native.
+"""Benchmark decontamination by shared shingles and SimHash, native.
 
 1. Words are lower-case runs of letters and digits. The rows of documents that
    hold no five-word shingle of any item can have no window similar to one, so
-   only places near a shared shingle go on; this loses nothing, for a verified
+   only places of shared shingles go on; this loses nothing, for a verified
    window shares shingles.
-2. At those places windows of exactly the item sizes are cut and get a 64-bit
-   SimHash of their words, as the items do.
-3. Fingerprints are cut into RADIUS + 1 blocks. Two fingerprints within RADIUS
-   bits agree in a block, so joining on size, block and value finds all pairs
-   within the radius.
-4. Each pair is verified: the weighted share of the item's shingles that the
-   window holds must reach the threshold. A shingle weighs less the more
-   documents hold it.
+2. A shingle weighs less the more documents hold it. A document that holds none
+   of an item's heaviest shingles, just enough to exceed what a window may lack,
+   has no window that reaches the threshold; this loses nothing either.
+3. The other pairs are verified at every start that can be best: the weighted
+   share of the item's shingles that the window of the item's size holds must
+   reach the threshold. A window that starts elsewhere holds no more than the
+   one that starts at its first shared shingle.
+4. The windows of the highest share get a 64-bit SimHash of their words, as the
+   items do, and the nearest is reported. No pair is left out for its distance:
+   altered ends move a fingerprint by any number of bits.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SHINGLE = 5
+#: Bits that copies and lightly edited windows stay within: a mark to read
+#: ``distance`` by, no filter.
 RADIUS = 12
 THRESHOLD = 0.8
 #: Item shingles up to which their table is broadcast; beyond, it is joined by
@@ -40,11 +44,6 @@ def _shingles(words: str, k: str) -> str:
     return f"if(size({words}) >= {k}, transform(sequence(0, size({words}) - {k}), i -> xxhash64(slice({words}, i + 1, {k}))), array())"
 
 
-def _runs(words: str, k: str) -> str:
-    """SQL: the distinct runs of k words, as texts."""
-    return f"if(size({words}) >= {k}, array_distinct(transform(sequence(0, size({words}) - {k}), i -> array_join(slice({words}, i + 1, {k}), ' '))), array())"
-
-
 def simhash(words: str) -> Column:
     """64-bit SimHash of an array of words: bit b is the majority of bit b of
     the words' hashes."""
@@ -53,13 +52,6 @@ def simhash(words: str) -> Column:
     return F.expr(f"transform(array(named_struct('h', {hashes})), t -> aggregate(transform(sequence(0, 63), b -> if({bit}, shiftleft(1L, b), 0L)), 0L, (a, x) -> a | x))[0]")
 
 
-def _blocks(fingerprint: str) -> str:
-    """SQL: the values of RADIUS + 1 blocks that make up all 64 bits."""
-    cuts = [64 * k // (RADIUS + 1) for k in range(RADIUS + 2)]
-    parts = [f"shiftrightunsigned({fingerprint}, {a}) & {(1 << (b - a)) - 1}L" for a, b in zip(cuts, cuts[1:], strict=False)]
-    return f"array({', '.join(parts)})"
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The best window of each document and item that is similar enough.
 
@@ -72,10 +64,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """
     items = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), words_of(f"`{item_text}`").alias("words")).where("size(words) > 0")
     items = items.withColumn("n", F.size("words")).withColumn("k", F.least("n", F.lit(SHINGLE)))
-    items = items.withColumn("fp", simhash("words")).withColumn("runs", F.expr(_runs("words", "k")))
+    items = items.withColumn("fp", simhash("words")).withColumn("ik", F.xxhash64("item_id", "words"))
     items = cut(items.dropDuplicates(["item_id", "words"]), "items")
-    grams = items.select("item_id", "n", "k", F.posexplode(F.expr(_shingles("words", "k"))).alias("o", "g"))
-    places = grams.select("k", "g", "n", "o").distinct()
+    grams = items.select("ik", "n", "k", F.posexplode(F.expr(_shingles("words", "k"))).alias("o", "g"))
     lengths = [r.k for r in items.select("k").distinct().orderBy("k").toLocalIterator()]  # at most SHINGLE
     known = grams.select("k", "g").distinct()
     small = known.count() <= BROADCAST_ROWS
@@ -92,30 +83,35 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         hits = worded.where("false").select("id", "key", F.lit(0).alias("p"), F.lit(0).cast("long").alias("g"), F.lit(1).alias("k"))
     hits = cut(hits.distinct(), "hits")
 
-    # Windows that line a shared shingle up with its place in an item.
-    windows = hits.join(places, ["k", "g"]).select("id", "key", F.greatest(F.col("p") - F.col("o"), F.lit(0)).alias("s"), "n", "k").distinct()
-    wanted = windows.groupBy(F.col("id").alias("id1"), F.col("key").alias("key1")).agg(F.collect_list(F.struct("s", "n", "k")).alias("w"))
-    cutting = base.join(wanted, F.col("id").eqNullSafe(F.col("id1")) & (F.col("key") == F.col("key1"))).dropDuplicates(["id", "key"]).withColumn("words", words_of("t"))
-    cutting = cutting.select("id", "key", F.explode(F.expr("transform(w, x -> named_struct('s', x.s, 'n', x.n, 'k', x.k, 'words', slice(words, x.s + 1, x.n)))")).alias("w"))
-    windows = cutting.select("id", "key", "w.*").withColumn("fp", simhash("words")).withColumn("runs", F.expr(_runs("words", "k")))
-    windows = cut(windows.drop("words"), "windows")
-
-    left = windows.select("id", "key", "s", "n", "k", "fp", "runs", F.posexplode(F.expr(_blocks("fp"))).alias("b", "v"))
-    right = items.select("item_id", F.col("n").alias("n2"), F.col("fp").alias("fp2"), F.posexplode(F.expr(_blocks("fp"))).alias("b2", "v2"))
-    both = left.join(right, F.expr(f"n = n2 and b = b2 and v = v2 and bit_count(fp ^ fp2) <= {RADIUS}"))
-    # A pair is taken at the first block in which it agrees, so it comes once.
-    first = F.expr(f"array_position(zip_with({_blocks('fp')}, {_blocks('fp2')}, (x, y) -> x = y), true) = b + 1")
-    pairs = both.where(first).select("id", "key", "s", "n", "runs", "item_id", "fp2", F.expr("bit_count(fp ^ fp2)").alias("distance"))
-
     weights = hits.select("id", "key", "k", "g").distinct().groupBy("k", "g").agg(F.count("*").alias("df"))
-    weights = grams.select("k", "g").distinct().join(weights, ["k", "g"], "left").select("k", "g", (1 / F.log2(1 + F.greatest("df", F.lit(1)))).alias("weight"))
-    run = items.select("item_id", F.col("fp").alias("fp2"), "k", F.explode("runs").alias("r")).withColumn("g", F.xxhash64(F.split("r", " ", -1)))
-    of_item = run.join(weights, ["k", "g"]).groupBy("item_id", "fp2").agg(F.array_sort(F.collect_list(F.struct("r", "weight"))).alias("weighed"))
-    checked = pairs.join(of_item, ["item_id", "fp2"])
-    total = "aggregate(weighed, 0D, (a, x) -> a + x.weight)"
-    held = "aggregate(filter(weighed, x -> array_contains(runs, x.r)), 0D, (a, x) -> a + x.weight)"
-    checked = checked.withColumn("similarity", F.expr(f"{held} / {total}")).where(F.col("similarity") >= THRESHOLD - 1e-12)
-    best = Window.partitionBy("id", "item_id").orderBy(F.desc("similarity"), "distance", "s", "key")
+    weights = known.join(weights, ["k", "g"], "left").select("k", "g", (1 / F.log2(1 + F.greatest("df", F.lit(1)))).alias("weight"))
+    of_item = grams.groupBy("ik", "n", "k", "g").agg(F.collect_set("o").alias("o")).join(weights, ["k", "g"])
+    every = Window.partitionBy("ik")
+    heavier = every.orderBy(F.desc("weight"), "g").rowsBetween(Window.unboundedPreceding, -1)
+    of_item = of_item.withColumn("total", F.sum("weight").over(every)).withColumn("ahead", F.coalesce(F.sum("weight").over(heavier), F.lit(0.0)))
+    of_item = cut(of_item, "weights")
+
+    # A window that lacks all of these lacks too much.
+    lead = of_item.where(F.col("ahead") <= (1 - THRESHOLD) * F.col("total") + 1e-9).select("ik", "k", "g")
+    pairs = hits.join(F.broadcast(lead) if small else lead, ["k", "g"]).select(F.col("id").alias("id1"), F.col("key").alias("key1"), "ik").distinct()
+    shared = hits.join(pairs, F.col("id").eqNullSafe(F.col("id1")) & (F.col("key") == F.col("key1"))).drop("id1", "key1")
+    shared = cut(shared.join(F.broadcast(of_item) if small else of_item, ["ik", "k", "g"]).drop("ahead"), "shared")
+
+    # Windows that begin with a shared shingle, or line one up with its place.
+    starts = shared.select("id", "key", "ik", F.explode(F.expr("array_union(array(p), transform(o, x -> greatest(p - x, 0)))")).alias("s")).distinct()
+    there = shared.select(F.col("id").alias("id1"), F.col("key").alias("key1"), F.col("ik").alias("ik1"), "n", "k", "p", "g", "weight", "total")
+    held = starts.join(there, F.expr("id <=> id1 and key = key1 and ik = ik1 and p between s and s + n - k"))
+    held = held.select("id", "key", "ik", "s", "n", "g", "weight", "total").distinct()
+    held = held.groupBy("id", "key", "ik", "s", "n").agg((F.sum("weight") / F.max("total")).alias("similarity"))
+    held = held.where(F.col("similarity") >= THRESHOLD - 1e-12).withColumn("similarity", F.round("similarity", 9))
+    held = held.join(items.select("ik", "item_id", F.col("fp").alias("fp2")), "ik")
+    held = held.withColumn("r", F.rank().over(Window.partitionBy("id", "item_id").orderBy(F.desc("similarity")))).where("r = 1")
+
+    wanted = held.groupBy(F.col("id").alias("id1"), F.col("key").alias("key1")).agg(F.collect_list(F.struct("item_id", "fp2", "s", "n", "similarity")).alias("w"))
+    cutting = base.join(wanted, F.col("id").eqNullSafe(F.col("id1")) & (F.col("key") == F.col("key1"))).dropDuplicates(["id", "key"]).withColumn("text_words", words_of("t"))
+    cutting = cutting.select("id", "key", "text_words", F.explode("w").alias("w")).select("id", "key", "w.*", F.expr("slice(text_words, w.s + 1, w.n)").alias("words"))
+    checked = cutting.withColumn("fp", simhash("words")).withColumn("distance", F.expr("bit_count(fp ^ fp2)"))
+    best = Window.partitionBy("id", "item_id").orderBy("distance", "s", "key")
     out = checked.withColumn("r", F.row_number().over(best)).where("r = 1")
     return out.select(F.col("id").alias(id_col), "item_id", F.col("s").alias("start"), F.col("n").alias("n_words"), F.col("distance").cast("int").alias("distance"), F.round("similarity", 6).alias("similarity"))
 
@@ -125,5 +121,3 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
     marked = docs.withColumn("__mark", F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text}`")))
     leaks = find_leaks(marked, benchmark, "__mark", text).select("__mark").distinct()
     return marked.join(leaks, "__mark", "left_anti").drop("__mark")
-
-

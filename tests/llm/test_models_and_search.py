@@ -197,6 +197,49 @@ def test_edited_leaks_are_found(spark):
     assert [(r.doc_id, r.start) for r in find_leaks(d, b).collect()] == [(1, 0)]
 
 
+def shares_by_force(docs, items):
+    """The highest weighted share of each document and item, over all windows."""
+    runs = {i: {tuple(t.split()[a : a + 5]) for a in range(len(t.split()) - 4)} for i, t in items}
+    of_doc = {d: [tuple(t.split()[a : a + 5]) for a in range(len(t.split()) - 4)] for d, t in docs}
+    df = Counter(r for own in of_doc.values() for r in set(own))
+    weight = lambda rs: sum(1 / math.log2(1 + max(df[r], 1)) for r in rs)
+    out = {}
+    for d, own in of_doc.items():
+        for i, item in items:
+            if runs[i] & set(own):
+                wide = len(item.split()) - 4
+                out[d, i] = max(weight(runs[i] & set(own[s : s + wide])) for s in range(len(own))) / weight(runs[i])
+    return {x: share for x, share in out.items() if share >= 0.8}
+
+
+def test_altered_leaks_equal_force(spark):
+    """Items that begin or end otherwise, with a word changed, or in two swapped
+    parts; many are further than any small radius."""
+    rng = random.Random(7)
+    word = lambda: f"{rng.choice('bcdfg')}{rng.randrange(9000)}x"
+    items = [(i, " ".join(word() for _ in range(rng.randrange(15, 60)))) for i in range(40)]
+    items.append((40, " ".join(items[0][1].split()[:10]) + " " + " ".join(word() for _ in range(20))))
+    docs = []
+    for i in range(400):
+        w = items[i % 41][1].split()
+        lost = rng.randrange(1, max(2, len(w) // 4))
+        if i % 4 == 0:
+            w[-lost:] = [word() for _ in range(lost)]
+        elif i % 4 == 1:
+            w[:lost] = [word() for _ in range(lost)]
+        elif i % 4 == 2:
+            w[len(w) // 2] = word()
+        else:
+            w = w[len(w) // 2 :] + w[: len(w) // 2]
+        docs.append((i, " ".join([*(word() for _ in range(i % 19)), *w, *(word() for _ in range(i % 13))])))
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.item_id): r for r in find_leaks(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = shares_by_force(docs, items)
+    assert set(got) == set(want) and len(want) > 200
+    assert all(abs(got[x].similarity - want[x]) < 2e-6 for x in want)
+    assert any(r.distance > RADIUS for r in got.values())
+
+
 def test_simhash_equals_plain(spark):
     words = ["a", "b", "c", "a", "ü"]
     row = spark.createDataFrame([(words,)], "w array<string>").select(simhash("w").alias("s"), F.expr("transform(w, x -> xxhash64(x))").alias("h")).first()
