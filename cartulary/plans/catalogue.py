@@ -166,10 +166,11 @@ def q_contains_interval(spark, d):
 p as (select o_orderkey as place_id, o_orderkey as file_path, 2 as s, 4 as e from orders where o_orderkey % 20 = 0),
 b as (select place_id, u.*, p.s as ps, p.e as pe, u.id as uid from p left join u on p.file_path = u.file_path and u.s <= p.s and u.e >= p.e)
 select place_id, uid as id from (select *, row_number() over (partition by place_id order by uid is null, e - s, case when s = ps and e = pe then 0 else 1 end, case when s = ps and e = pe then -subtree else subtree end, uid) as r from b) where r = 1""")
-def q_min_covering(spark, d):
-    li = _t(spark, d, "lineitem").where("l_orderkey % 20 = 0")
+def q_min_covering(spark, d, every=20):
+    """Places' least covering units (S10), in every twentieth file."""
+    li = _t(spark, d, "lineitem").where(f"l_orderkey % {every} = 0")
     u = li.select(F.col("l_suppkey").alias("id"), F.col("l_orderkey").alias("file_path"), F.col("l_linenumber").alias("line_start"), F.expr("l_linenumber + cast(l_quantity as int) % 5").alias("line_end"), F.expr("cast(l_partkey % 7 as int)").alias("subtree"))
-    places = _t(spark, d, "orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("place_id"), F.col("o_orderkey").alias("file_path"), F.lit(2).alias("line_start"), F.lit(4).alias("line_end"))
+    places = _t(spark, d, "orders").where(f"o_orderkey % {every} = 0").select(F.col("o_orderkey").alias("place_id"), F.col("o_orderkey").alias("file_path"), F.lit(2).alias("line_start"), F.lit(4).alias("line_end"))
     return graph.CodeGraph(u, u).minimal_covering(places)
 
 
@@ -348,9 +349,10 @@ def q_relaxed_score(spark, d):
 
 @query("""with l as (select l_orderkey, l_linenumber, l_suppkey from lineitem where l_orderkey % 10 = 0), o as (select o_orderkey, 4 as gt from orders where o_orderkey % 10 = 0)
 select o_orderkey, arg_min(struct_pack(n := l_linenumber, s := l_suppkey), row(abs(l_linenumber - gt), l_suppkey)).n as near_line, arg_min(l_suppkey, row(abs(l_linenumber - gt), l_suppkey)) as near_supp from o left join l on o_orderkey = l_orderkey group by o_orderkey""")
-def q_nearest_row(spark, d):
-    left = _t(spark, d, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", F.lit(4).alias("gt"))
-    right = _t(spark, d, "lineitem").where("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("o_orderkey"), F.struct("l_linenumber", "l_suppkey").alias("x"), F.col("l_linenumber").alias("near_line"), F.col("l_suppkey").alias("near_supp")).drop("x")
+def q_nearest_row(spark, d, every=10):
+    """The nearest row of each tenth order."""
+    left = _t(spark, d, "orders").where(f"o_orderkey % {every} = 0").select("o_orderkey", F.lit(4).alias("gt"))
+    right = _t(spark, d, "lineitem").where(f"l_orderkey % {every} = 0").select(F.col("l_orderkey").alias("o_orderkey"), F.struct("l_linenumber", "l_suppkey").alias("x"), F.col("l_linenumber").alias("near_line"), F.col("l_suppkey").alias("near_supp")).drop("x")
     near = joins.nearest_row(left, right, ["o_orderkey"], "gt", "near_line", "near_supp")
     return near.select("o_orderkey", "near_line", "near_supp")
 

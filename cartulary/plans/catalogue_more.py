@@ -46,9 +46,10 @@ def q_contained_in(spark, d):
 @query("""with s as (select l_orderkey as f, l_suppkey as id, l_linenumber as a, l_linenumber + cast(l_quantity as int) % 4 as b, l_partkey as p from lineitem where l_orderkey % 50 = 0),
 u as (select distinct f || '/' || id || '/' || p || '/' || a as id, f, a, b from s)
 select x.id, count(*) as n from u x join u y on x.f = y.f and y.a >= x.a and y.b <= x.b and x.id <> y.id group by x.id""")
-def q_contains_functions(spark, d):
-    """Functions whose lines lie in another unit's lines."""
-    li = _t(spark, d, "lineitem").where("l_orderkey % 50 = 0")
+def q_contains_functions(spark, d, every=50):
+    """Functions whose lines lie in another unit's lines (J19), in every
+    fiftieth file."""
+    li = _t(spark, d, "lineitem").where(f"l_orderkey % {every} = 0")
     u = li.select(
         F.concat_ws("/", "l_orderkey", "l_suppkey", "l_partkey", "l_linenumber").alias("id"), F.lit("Function").alias("kind"), F.lit("f").alias("name"), F.lit(False).alias("is_external"), F.col("l_orderkey").alias("file_path"), F.col("l_linenumber").alias("line_start"), F.expr("l_linenumber + cast(l_quantity as int) % 4").alias("line_end")
     ).dropDuplicates(["id", "line_start", "line_end"])
@@ -116,8 +117,9 @@ def q_wrapper_gate(spark, d):
 
 
 @query("""select event_id, lpad(cast(event_id % 90000 as varchar), 5, ' ') || '| ' || event_type || chr(10) || lpad(cast(event_id % 90000 + 1 as varchar), 5, ' ') || '| x' as t from events where event_id % 50 = 0""")
-def q_numbered_lines(spark, d):
-    ev = _t(spark, d, "events").where("event_id % 50 = 0")
+def q_numbered_lines(spark, d, every=50):
+    """Two numbered lines for every fiftieth event."""
+    ev = _t(spark, d, "events").where(f"event_id % {every} = 0")
     return ev.select("event_id", numbered(F.array("event_type", F.lit("x")), F.col("event_id") % 90000).alias("t"))
 
 
@@ -138,9 +140,10 @@ def q_self_flow(spark, d):
 
 @query("""with l as (select l_orderkey as c, l_linenumber as n, l_suppkey as s from lineitem where l_orderkey % 7 = 0), g as (select o_orderkey as c, unnest([2, 5]) as gt from orders where o_orderkey % 7 = 0)
 select g.c, g.gt as gt_line, count(*) as n, min(s) as least from g join l on l.c = g.c and l.n between g.gt - 1 and g.gt + 1 group by g.c, g.gt""")
-def q_rows_on_line(spark, d):
-    rows = _t(spark, d, "lineitem").where("l_orderkey % 7 = 0").select(F.col("l_orderkey").alias("c"), F.lit("a/f.py").alias("file"), F.col("l_linenumber").alias("line"), "l_suppkey")
-    truth = _t(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("c"), F.lit("f.py").alias("gt_file"), F.explode(F.array(F.lit(2), F.lit(5))).alias("gt_line"))
+def q_rows_on_line(spark, d, every=7):
+    """Rows on the lines of every seventh order."""
+    rows = _t(spark, d, "lineitem").where(f"l_orderkey % {every} = 0").select(F.col("l_orderkey").alias("c"), F.lit("a/f.py").alias("file"), F.col("l_linenumber").alias("line"), "l_suppkey")
+    truth = _t(spark, d, "orders").where(f"o_orderkey % {every} = 0").select(F.col("o_orderkey").alias("c"), F.lit("f.py").alias("gt_file"), F.explode(F.array(F.lit(2), F.lit(5))).alias("gt_line"))
     return audit.rows_on_line(rows, truth, ["c"], 1).groupBy("c", "gt_line").agg(F.count("*").alias("n"), F.min("l_suppkey").alias("least"))
 
 
@@ -294,9 +297,9 @@ def q_supplement(spark, d):
 @query()
 def q_accept_records(spark, d):
     """Acceptance with ids and places held by accepted records only."""
-    li = _t(spark, d, "lineitem").where("l_orderkey % 200 = 0")
+    li = _t(spark, d, "lineitem")
     rows = li.select(
-        F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("pos"), F.col("l_suppkey").cast("string").alias("cve_id"), F.lit("p").alias("patch_commit"), F.when(F.col("l_returnflag") != "R", "v").alias("vulnerable_commit"), F.lit("r").alias("repo_url"),
+        F.xxhash64(*li.columns).alias("pos"), F.col("l_suppkey").cast("string").alias("cve_id"), F.lit("p").alias("patch_commit"), F.when(F.col("l_returnflag") != "R", "v").alias("vulnerable_commit"), F.lit("r").alias("repo_url"),
         F.col("l_orderkey").cast("string").alias("vulnerable_file"), F.array("l_linenumber").alias("vulnerable_lines"), F.lit(None).cast("string").alias("rejection"),
     )
     return curation.accept_records(rows).select("pos", "cve_id", "reason")

@@ -1,0 +1,52 @@
+"""Whole-table forms of the queries that run over part of their tables.
+
+The shorter queries keep their SQL, so each has its whole form beside it, under
+its name with ``_all``. Where only a filter goes, the SQL is the shorter
+query's without it.
+"""
+
+from __future__ import annotations
+
+from . import catalogue as c
+from . import catalogue_more as m
+from .catalogue import ORACLE, query
+
+
+def _without(name: str, *filters: str) -> str:
+    """The SQL of a query without these filters, each of which it must have."""
+    sql = ORACLE[name]
+    for text in filters:
+        if text not in sql:
+            raise ValueError(f"{name} has no {text}")
+        sql = sql.replace(text, "")
+    return sql
+
+
+@query(_without("q_min_covering", " where l_orderkey % 20 = 0", " where o_orderkey % 20 = 0"))
+def q_min_covering_all(spark, d):
+    """Places' least covering units (S10), in all files."""
+    return c.q_min_covering(spark, d, 1)
+
+
+@query(_without("q_nearest_row", " where l_orderkey % 10 = 0", " where o_orderkey % 10 = 0"))
+def q_nearest_row_all(spark, d):
+    """The nearest row of each order."""
+    return c.q_nearest_row(spark, d, 1)
+
+
+@query(_without("q_rows_on_line", " where l_orderkey % 7 = 0", " where o_orderkey % 7 = 0"))
+def q_rows_on_line_all(spark, d):
+    """Rows on the lines of all orders."""
+    return m.q_rows_on_line(spark, d, 1)
+
+
+@query(_without("q_contains_functions", " where l_orderkey % 50 = 0"))
+def q_contains_functions_all(spark, d):
+    """Functions whose lines lie in another unit's lines (J19), in all files."""
+    return m.q_contains_functions(spark, d, 1)
+
+
+@query(_without("q_numbered_lines", " where event_id % 50 = 0"))
+def q_numbered_lines_all(spark, d):
+    """Two numbered lines for every event."""
+    return m.q_numbered_lines(spark, d, 1)
