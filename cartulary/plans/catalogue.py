@@ -212,9 +212,12 @@ def q_sink_scan(spark, d):
 @query("""with l as (select doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line, string_split(text, chr(10)) as ls from documents),
 f as (select item_id as doc_id from benchmark)
 select l.doc_id, max(line) as n_lines, count(*) filter (trim(ls[line], ' ') <> '') as loc from l join f on l.doc_id = f.doc_id group by l.doc_id""")
-def q_loc_count(spark, d):
-    """Lines and non-blank lines of source text."""
-    docs = _t(spark, d, "documents").join(_t(spark, d, "benchmark").select(F.col("item_id").alias("doc_id")), "doc_id", "left_semi")
+def q_loc_count(spark, d, whole=False):
+    """Lines and non-blank lines of source text (A26), of documents that bear an
+    item's number."""
+    docs = _t(spark, d, "documents")
+    if not whole:
+        docs = docs.join(_t(spark, d, "benchmark").select(F.col("item_id").alias("doc_id")), "doc_id", "left_semi")
     lines = F.split("text", "\n", -1)
     return docs.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("long").alias("loc"))
 
@@ -230,13 +233,13 @@ def q_context_window(spark, d):
 
 @query("""with p as (select item_id, array_to_string(list_slice(string_split(text, ' '), 3, 4), ' ') || ' ' as e from benchmark)
 select item_id, count(*) filter (length(trim(e, ' ')) >= 2 and contains(text, ' ' || e)) as strict from p, documents where lang = 'en' group by item_id""")
-def q_evidence_brake(spark, d):
-    """Items' two words, found strictly in documents. A word between spaces is
+def q_evidence_brake(spark, d, where="lang = 'en'"):
+    """Items' two words, found strictly in English documents. A word between spaces is
     a word of the text as well, so texts and items meet on it before the whole
     evidence is looked for."""
     p = _t(spark, d, "benchmark").withColumn("w", F.split("text", " ", -1))
     p = p.select("item_id", F.concat(F.lit(" "), F.array_join(F.slice("w", 3, 2), " "), F.lit(" ")).alias("e"), F.get("w", F.lit(2)).alias("word"))
-    docs = _t(spark, d, "documents").where("lang = 'en'").select("doc_id", "text")
+    docs = _t(spark, d, "documents").where(where).select("doc_id", "text")
     words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " ", -1))).alias("word"))
     near = words.join(p, "word").select("doc_id", "item_id", "e")
     hits = docs.join(near, "doc_id").where(F.col("text").contains(F.col("e")) & evidence_strict("e", "text"))
@@ -483,10 +486,10 @@ def q_advisory_filter(spark, d):
 @query("""with k as (select doc_id, substr(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '), 1, 120) as k from documents),
 w as (select doc_id, min(doc_id) over (partition by k) as first_id, row_number() over (partition by k order by doc_id) as r from k)
 select doc_id, first_id from w where r > 1""")
-def q_dup_locations(spark, d):
+def q_dup_locations(spark, d, chars=120):
     """Documents whose normalised beginning an earlier one has (W05). Copies
     may be a third of all rows, so the first comes from an aggregate."""
-    k = _t(spark, d, "documents").select("doc_id", F.xxhash64(normal_space("text")).alias("h"), F.md5(normal_space("text")).alias("k"))
+    k = _t(spark, d, "documents").select("doc_id", F.xxhash64(normal_space("text", chars)).alias("h"), F.md5(normal_space("text", chars)).alias("k"))
     first = k.groupBy("h", "k").agg(F.min("doc_id").alias("first_id"))
     return k.join(first, ["h", "k"]).where("doc_id <> first_id").select("doc_id", "first_id")
 

@@ -108,9 +108,9 @@ def q_catalog_growth(spark, d):
 
 @query("""with t as (select lower(regexp_extract(text, '^([A-Za-z]+)', 1)) as t from benchmark where regexp_matches(text, '^[A-Za-z]')), w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as w from documents where lang = 'en' and n_chars < 800)
 select doc_id as name, bool_or(w in (select t from t)) as accepted from w group by doc_id""")
-def q_wrapper_gate(spark, d):
-    """Documents that name one of the items' first words."""
-    docs = _t(spark, d, "documents").where("lang = 'en' and n_chars < 800")
+def q_wrapper_gate(spark, d, where="lang = 'en' and n_chars < 800"):
+    """Short English documents that name one of the items' first words."""
+    docs = _t(spark, d, "documents").where(where)
     cand = docs.select(F.col("doc_id").alias("name"), F.array().cast("array<string>").alias("callees"), F.lit("").alias("code"), F.col("text").alias("evidence"))
     sinks = _t(spark, d, "benchmark").select(F.regexp_extract("text", "^([A-Za-z]+)", 1).alias("pattern")).where("pattern <> ''")
     return catalogs.gate_wrappers(cand, sinks).select("name", "accepted")

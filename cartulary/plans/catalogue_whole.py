@@ -50,3 +50,31 @@ def q_contains_functions_all(spark, d):
 def q_numbered_lines_all(spark, d):
     """Two numbered lines for every event."""
     return m.q_numbered_lines(spark, d, 1)
+
+
+@query("""select doc_id, len(string_split(text, chr(10))) as n_lines, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '')) as loc from documents""")
+def q_loc_count_all(spark, d):
+    """Lines and non-blank lines of every document."""
+    return c.q_loc_count(spark, d, whole=True)
+
+
+@query(_without("q_evidence_brake", " where lang = 'en'"))
+def q_evidence_brake_all(spark, d):
+    """Items' two words, found strictly in documents of any language."""
+    return c.q_evidence_brake(spark, d, "true")
+
+
+@query("""with t as (select lower(regexp_extract(text, '^([A-Za-z]+)', 1)) as t from benchmark where regexp_matches(text, '^[A-Za-z]')), w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as w from documents)
+select doc_id as name, doc_id in (select doc_id from w where w in (select t from t)) as accepted from documents""")
+def q_wrapper_gate_all(spark, d):
+    """Documents of any length and language that name one of the items' first
+    words (P11); those without a word as well, not accepted."""
+    return m.q_wrapper_gate(spark, d, "true")
+
+
+@query("""with k as (select doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), ' ') as k from documents),
+w as (select doc_id, min(doc_id) over (partition by k) as first_id, row_number() over (partition by k order by doc_id) as r from k)
+select doc_id, first_id from w where r > 1""")
+def q_dup_locations_all(spark, d):
+    """Documents whose whole normalised text an earlier one has."""
+    return c.q_dup_locations(spark, d, None)
