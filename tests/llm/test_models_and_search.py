@@ -45,6 +45,22 @@ def test_language_counts_equal_plain(languages):
     assert got == dict(want)
 
 
+def test_training_leaves_no_type_out(spark, languages, monkeypatch):
+    """However small the shared table may be, probabilities are those of all counts."""
+    rows, docs = languages
+    counts = {}
+    for lang in SYLLABLES:
+        s = [keys(symbols([t], alphabet())[0], ORDER) for _, t, own in rows if own == lang and re.search(r"[^\W\d_]", t or "")]
+        counts[lang] = np.unique(np.concatenate(s), return_counts=True)
+    whole = Scorer(fit(counts))
+    monkeypatch.setattr("cartulary.llm.language.MAX_CELLS", 900)
+    model = train(docs)
+    assert model.langs == whole.model.langs and np.allclose(model.floor, whole.model.floor)
+    texts = [prose(random.Random(k), lang, 30) for k, lang in enumerate(SYLLABLES)] + ["ひらがな and more", rows[0][1]]
+    assert np.allclose(Scorer(model).entropies(texts)[0], whole.entropies(texts)[0], atol=1e-5)
+    assert Scorer(model).predict(texts)[0] == whole.predict(texts)[0]
+
+
 def test_kneser_ney_equals_plain():
     """Probabilities against a direct computation, and that they sum to one."""
     rng = random.Random(2)
