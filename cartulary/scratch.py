@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,16 +16,22 @@ _MADE: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (local tests) a folder of this
-    process is used and set as the context's checkpoint folder.
+    Where the session leaves it unset, a local master (one process, as in
+    tests) gets a folder of this process, deleted at its end; any other master
+    is an error, for its executors see no folder of the driver.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    context = spark.sparkContext
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = context.applicationId
     if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="cartulary-")
-        spark.sparkContext.setCheckpointDir(_OWN[app])
+        folder = tempfile.mkdtemp(prefix="cartulary-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _OWN[app] = f"file://{folder}"
+        context.setCheckpointDir(_OWN[app])
     return _OWN[app]
 
 
@@ -52,9 +60,16 @@ def discard(*tables: DataFrame) -> None:
             _delete(table.sparkSession, path)
 
 
-def cleanup(spark: SparkSession) -> None:
-    """Delete every scratch table of this session, once results are written."""
-    for path in list(_MADE):
+def made() -> frozenset[str]:
+    """The scratch tables there are now: a mark for :func:`cleanup`."""
+    return frozenset(_MADE)
+
+
+def cleanup(spark: SparkSession, since: frozenset[str] = frozenset(), keep: DataFrame | None = None) -> None:
+    """Delete the scratch tables made after the mark ``since`` but ``keep``,
+    once what reads them is written; by default all of this process."""
+    kept = getattr(keep, "_cartulary_path", None)
+    for path in _MADE - since - {kept}:
         _delete(spark, path)
 
 
