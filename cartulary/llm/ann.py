@@ -3,11 +3,14 @@
 On a bounded sample a graph of nearest neighbours is cut into balanced parts,
 and a small network learns which part a vector belongs to. Every row is then
 put into its most probable part. A query goes to its most probable parts, as
-many as a calibration on the sample needs for the wanted recall, and is
-compared there exactly.
-
-Parts are split into blocks of a bounded size, so a vector that a third of the
-rows share fills more blocks, not a larger one; queries come in blocks as well.
+many as held-out rows of the sample need for the wanted recall, and is compared
+there exactly.
+
+The parts grow with the square root of the rows. A part's rows come in blocks
+of a bounded size, so a vector that a third of the rows share fills more
+blocks, not a larger one; the queries that are sent to a part come in chunks.
+Each block meets each chunk of its own part once, so a row is copied only as
+often as its own part has chunks, and not at all where no query goes.
 """
 
 from __future__ import annotations
@@ -16,21 +19,23 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, held, shared
 
-#: Rows that the graph, the network and the calibration are made from, at most.
-SAMPLE_ROWS = 8192
-#: Rows of a part on average, and parts at most.
-PART_ROWS, MOST_PARTS = 2048, 128
+#: Rows that the graph, the network and the calibration are made from, at most;
+#: the index holds every row.
+SAMPLE_ROWS = 16384
+#: Sampled rows of a part on average at least: more parts could not be learned.
+PART_SAMPLE = 16
 #: Rows, and queries, of a block at most on average.
 BLOCK_ROWS, BLOCK_QUERIES = 16384, 4096
-#: Recall at k on the sample that decides how many parts are searched.
-RECALL = 0.94
+#: Recall at k of the held-out rows that decides how many parts are searched.
+RECALL = 0.95
+#: One of so many sampled rows is held out for the calibration.
+HELD_OUT = 8
 
 
 @dataclass
@@ -104,13 +109,28 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int = 1
     return label
 
 
-def train_router(x: np.ndarray, parts: int, k: int, seed: int = 5, hidden: int = 128, epochs: int = 40) -> Router:
-    """Fit the network to the parts of the sample's graph and choose probes."""
+def part_count(rows: int, sampled: int) -> int:
+    """A power of two near a quarter of the square root of the rows; two parts
+    from 64 rows on, one for fewer."""
+    wanted = max(2, 1 << max(0, int(np.log2(max(1.0, rows**0.5 / 4)))))
+    learned = 1 << max(0, int(np.log2(max(1, sampled // PART_SAMPLE))))
+    return 1 if rows < 64 else min(wanted, learned)
+
+
+def train_router(sample: np.ndarray, parts: int, k: int, seed: int = 5, hidden: int = 128, epochs: int = 40) -> Router:
+    """Fit the network to the parts of a sample's graph and choose probes.
+
+    The network sees directions only, but neighbours are by inner product of
+    the vectors as they are. Held-out rows take no part in the fit.
+    """
     rng = np.random.default_rng(seed)
-    d = x.shape[1]
+    d = sample.shape[1]
     router = Router(rng.normal(0, d**-0.5, (d, hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, (hidden, parts)), np.zeros(parts), parts, parts)
     if parts == 1:
         return router
+    held_out = np.zeros(len(sample), bool)
+    held_out[rng.permutation(len(sample))[: max(1, len(sample) // HELD_OUT)]] = True
+    x = sample[~held_out]
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     label = balanced_parts(x, neighbour_graph(x, 10), parts)
     weights = [router.w1, router.b1, router.w2, router.b2]
@@ -131,14 +151,13 @@ def train_router(x: np.ndarray, parts: int, k: int, seed: int = 5, hidden: int =
                 m += 0.1 * (g - m)
                 s += 0.001 * (g * g - s)
                 w -= 0.003 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-    # Calibration: how far down a query's list are its neighbours' parts?
-    queries = rng.permutation(len(x))[:1024]
-    near = neighbour_graph(x, k)[queries]
-    order = np.argsort(np.argsort(-router.logits(x[queries]), axis=1, kind="stable"), axis=1)
-    part = router.part(x)
-    depth = order[np.arange(len(queries))[:, None], part[near]]
-    reached = np.cumsum(np.bincount(depth.ravel(), minlength=parts)) / depth.size
-    router.probes = int(np.searchsorted(reached, RECALL)) + 1
+    # How far down a held-out row's list are its neighbours' parts?
+    queries = np.flatnonzero(held_out)[:2048]
+    near = neighbour_graph(sample, k)[queries]
+    order = np.argsort(np.argsort(-router.logits(sample[queries]), axis=1, kind="stable"), axis=1)
+    depth = order[np.arange(len(queries))[:, None], router.part(sample)[near]]
+    reached = np.cumsum(np.bincount(depth.ravel(), minlength=parts)) / max(1, depth.size)
+    router.probes = min(parts, int(np.searchsorted(reached, RECALL)) + 1)
     return router
 
 
@@ -167,63 +186,62 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     rows = rows.where(F.size("v") == width)
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toArrow().column("v").combine_chunks()
     sample = np.asarray(sample.flatten()).reshape(-1, width)
-    parts = 1 << max(0, min(int(np.log2(MOST_PARTS)), int(np.log2(max(1, total // PART_ROWS)))))
-    router = spark.sparkContext.broadcast(train_router(sample, parts, k, seed))
+    parts = part_count(total, len(sample))
+    router_ = shared(spark, train_router(sample, parts, k, seed))
+
+    def vectors_of(column: pa.Array) -> np.ndarray:
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        return np.asarray(column.flatten()).reshape(-1, width)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        router = held(router_)
         for batch in batches:
-            x = np.asarray(batch.column(1).flatten()).reshape(-1, width)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(router.value.part(x).astype(np.int32))], ["id", "v", "part"])
+            part = router.part(vectors_of(batch.column(1))) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], ["id", "v", "part"])
 
     indexed = cut(rows.mapInArrow(assign, "id long, v array<double>, part int"), "indexed")
-    counts = {r["part"]: r["count"] for r in indexed.groupBy("part").count().toLocalIterator()}  # at most MOST_PARTS
-    blocks = np.array([-(-counts.get(p, 0) // BLOCK_ROWS) for p in range(parts)], np.int64)
     asked = indexed.where(query) if query else indexed
-    asked = asked.select("id", "v")
-    query_blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        router = held(router_)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
-                x = np.asarray(piece.column(1).flatten()).reshape(-1, width)
-                to = router.value.routes(x)
-                row = np.repeat(np.arange(len(x)), to.shape[1])
-                part = to.ravel()
-                row, part, times = np.repeat(row, blocks[part]), np.repeat(part, blocks[part]), blocks[part]
-                block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-                yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(row)), piece.column(1).take(pa.array(row)), pa.array(part.astype(np.int32)), pa.array(block)], ["id", "v", "part", "block"])
-
+            to = router.routes(vectors_of(batch.column(1))) if batch.num_rows else np.zeros((0, 1))
+            row = np.repeat(np.arange(len(to)), to.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(to.ravel().astype(np.int32))], ["id", "part"])
+
+    routed = cut(asked.select("id", "v").mapInArrow(route, "id long, part int"), "routed")
+    # A part's blocks of rows and chunks of queries; there are as many as parts.
+    sizes = indexed.groupBy("part").agg(F.count("*").alias("rows")).join(routed.groupBy("part").agg(F.count("*").alias("queries")), "part")
+    sizes = sizes.select("part", F.ceil(F.col("rows") / BLOCK_ROWS).alias("blocks"), F.ceil(F.col("queries") / BLOCK_QUERIES).alias("chunks"))
     tiles = ["part", "block", "chunk"]
-    lots = asked.mapInArrow(route, "id long, v array<double>, part int, block long").withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(query_blocks)))
-    size = F.element_at(F.array(*[F.lit(int(max(1, b))) for b in blocks]), F.col("part") + 1)
-    lots_of_rows = indexed.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "id"), size)).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
-
-    def compare(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        if not len(queries) or not len(rows):
-            return empty
-        r, ids = np.stack(rows["v"].to_numpy()), rows["id"].to_numpy()
-        own = queries["id"].to_numpy()
-        out = []
-        for at in range(0, len(queries), 256):
-            q = np.stack(queries["v"].iloc[at : at + 256].to_numpy())
-            g = q @ r.T
-            g[own[at : at + 256, None] == ids[None, :]] = -np.inf
-            m = min(k, len(r))
-            least = np.partition(g, len(r) - m, axis=1)[:, len(r) - m]
-            for i in range(len(q)):
-                # The product's last bits depend on its blocking, so what is
-                # close to the least is computed again, one row like another.
-                near = np.flatnonzero(g[i] >= least[i] - 1e-9 * max(1.0, abs(least[i]))) if np.isfinite(least[i]) else np.flatnonzero(np.isfinite(g[i]))
-                score = (r[near] * q[i]).sum(axis=1)
-                by = np.lexsort((ids[near], -score))[:k]
-                out.append((np.full(len(by), own[at + i]), ids[near][by], score[by]))
-        if not out:
-            return empty
-        query_id, vec_id, score = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pd.DataFrame({"query_id": query_id, "vec_id": vec_id, "score": score})
-
-    found = lots.groupBy(*tiles).cogroup(lots_of_rows.groupBy(*tiles)).applyInPandas(compare, "query_id long, vec_id long, score double")
+    up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    lots = routed.join(F.broadcast(sizes), "part").select("id", "part", F.pmod(F.xxhash64("id"), "chunks").alias("chunk"), up_to("blocks").alias("block"))
+    lots = lots.join(asked.select("id", "v"), "id").select(*tiles, "id", "v")
+    lots_of_rows = indexed.join(F.broadcast(sizes), "part").select("id", "v", "part", F.pmod(F.xxhash64(F.lit(1), "id"), "blocks").alias("block"), up_to("chunks").alias("chunk"))
+    lots_of_rows = lots_of_rows.select(*tiles, "id", "v")
+
+    def compare(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if queries.num_rows and rows.num_rows:
+            r, ids = vectors_of(rows.column("v")), rows.column("id").to_numpy()
+            every, own = vectors_of(queries.column("v")), queries.column("id").to_numpy()
+            for at in range(0, len(own), 256):
+                q = every[at : at + 256]
+                g = q @ r.T
+                g[own[at : at + 256, None] == ids[None, :]] = -np.inf
+                m = min(k, len(r))
+                least = np.partition(g, len(r) - m, axis=1)[:, len(r) - m]
+                for i in range(len(q)):
+                    # The product's last bits depend on its blocking, so what is
+                    # close to the least is computed again, one row like another.
+                    near = np.flatnonzero(g[i] >= least[i] - 1e-9 * max(1.0, abs(least[i]))) if np.isfinite(least[i]) else np.flatnonzero(np.isfinite(g[i]))
+                    score = (r[near] * q[i]).sum(axis=1)
+                    by = np.lexsort((ids[near], -score))[:k]
+                    out.append((np.full(len(by), own[at + i]), ids[near][by], score[by]))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+        return pa.Table.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+
+    found = lots.groupBy(*tiles).cogroup(lots_of_rows.groupBy(*tiles)).applyInArrow(compare, "query_id long, vec_id long, score double")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

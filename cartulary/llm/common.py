@@ -2,12 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pickle
+from collections.abc import Callable
+
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
+
+from ..scratch import cleanup, cut, discard, made, shared_dir
+
+__all__ = ["bounded_batches", "cleanup", "comparable", "connected_components", "cut", "discard", "documents", "held", "made", "set_aside", "shared", "shared_dir", "size_in_bytes"]
+
+
+def shared(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast whose value carries the classes it needs, so executors need
+    no copy of this package; :func:`held` gives the value."""
+    return spark.sparkContext.broadcast({"packed": cloudpickle.dumps(value)})
+
+
+def held(broadcast: Broadcast) -> object:
+    """The value of a broadcast made by :func:`shared`, unpacked once in each
+    worker process."""
+    box = broadcast.value
+    if "value" not in box:
+        box["value"] = pickle.loads(box["packed"])
+        box["packed"] = None
+    return box["value"]
+
+
+def set_aside(df: DataFrame, *replaced: str) -> tuple[DataFrame, dict[str, str], Callable[..., DataFrame]]:
+    """``df`` under names of its own that no operator uses, and the way back.
+
+    Columns named like ``replaced`` (in any case) go. Returns the table, the new
+    name of each column, and a function that takes a table with those columns
+    and the names of new ones and gives both under the proper names.
+    """
+    gone = {name.lower() for name in replaced}
+    every = [f"carried_{i}" for i in range(len(df.columns))]
+    kept = [(own, name) for own, name in zip(every, df.columns, strict=True) if name.lower() not in gone]
+
+    def back(out: DataFrame, *new: str) -> DataFrame:
+        return out.select(*[own for own, _ in kept], *new).toDF(*[name for _, name in kept], *new)
+
+    inner = df.toDF(*every).select(*[own for own, _ in kept])
+    return inner, {name: own for own, name in reversed(kept)}, back
+
+
+def comparable(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` in a form that can be hashed and ordered: those
+    that hold maps or variants as JSON."""
 
-from ..scratch import cleanup, cut, discard, shared_dir
+    def plain(kind: DataType) -> bool:
+        if isinstance(kind, ArrayType):
+            return plain(kind.elementType)
+        if isinstance(kind, StructType):
+            return all(plain(f.dataType) for f in kind.fields)
+        return not isinstance(kind, (MapType, VariantType))
 
-__all__ = ["bounded_batches", "cleanup", "connected_components", "cut", "discard", "documents", "shared_dir", "size_in_bytes"]
+    return [F.col(f"`{f.name}`") if plain(f.dataType) else F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in df.schema.fields]
 
 
 def size_in_bytes(df: DataFrame) -> int:
@@ -17,7 +70,8 @@ def size_in_bytes(df: DataFrame) -> int:
 
 def bounded_batches(df: DataFrame, rows: int = 1000) -> SparkSession:
     """Send Python workers at most ``rows`` rows at once: rows are long texts
-    here, and a batch stands in memory twice on both sides."""
+    here, and a batch stands in memory twice on both sides. The session keeps
+    the setting, for plans read it only as they run."""
     spark = df.sparkSession
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import set_aside
+
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 3) -> DataFrame:
     """Replace ``text`` by what remains and add ``n_lines``, ``n_removed`` and
@@ -20,12 +22,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", win
     a window, and windows of blank lines only, repeat nothing. A null text
     stays null with ``n_lines`` 0. Rows equal in id and text are one occurrence
     and get the same result. A null id comes before all others. Columns of
-    the new names in ``docs`` are replaced.
+    the new names in ``docs`` are replaced, all others stay, whatever their
+    names.
     """
     new = ("n_lines", "n_removed", "removed")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in new and c != text]
-    base = docs.select(*kept, F.col(f"`{text}`").alias("__text"), F.col(f"`{id_col}`").alias("__id"))
-    base = base.withColumn("__key", F.xxhash64("__id", "__text"))
+    inner, names, back = set_aside(docs, *new)
+    base = inner.withColumn("__text", F.col(names[text])).withColumn("__id", F.col(names[id_col]))
+    # Rows are told apart by id and two hashes of 64 bits of the text.
+    base = base.withColumn("__key", F.struct(F.xxhash64("__text").alias("a"), F.xxhash64(F.lit(1), "__text").alias("b")))
 
     lines = base.where(f"length(__text) - length(replace(__text, '\\n')) >= {window - 1}")
     lines = lines.select("__id", "__key", F.split("__text", "\n", -1).alias("__l"))
@@ -45,14 +49,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", win
     cover = runs.groupBy(F.col("__id").alias("__id1"), F.col("__key").alias("__key1")).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("__cover"))
 
     out = base.join(cover, F.col("__id").eqNullSafe(F.col("__id1")) & (F.col("__key") == F.col("__key1")), "left")
-    remains = F.expr("array_join(filter(split(__text, '\\n', -1), (l, i) -> not exists(__cover, c -> i between c.s and c.e)), '\\n')")
-    names = [c for c in docs.columns if c not in new]
-    return out.select(
-        *[F.when(F.col("__cover").isNull(), F.col("__text")).otherwise(remains).alias(text) if c == text else F.col(f"`{c}`") for c in names],
-        F.when(F.col("__text").isNull(), 0).otherwise(F.expr("length(__text) - length(replace(__text, '\\n')) + 1")).cast("long").alias("n_lines"),
-        F.expr("coalesce(aggregate(__cover, 0L, (n, c) -> n + c.e - c.s + 1), 0L)").alias("n_removed"),
-        F.expr("coalesce(array_join(transform(__cover, c -> concat(c.s, '-', c.e)), ','), '')").alias("removed"),
+    # What stands between the covers: from a line, or 0, to the next cover.
+    parts = "zip_with(concat(array(0), transform(__cover, c -> c.e + 1)), concat(transform(__cover, c -> c.s), array(size(__all))), (a, b) -> slice(__all, a + 1, b - a))"
+    rest = F.expr(f"transform(array(split(__text, '\\n', -1)), __all -> array_join(flatten({parts}), '\\n'))[0]")
+    out = out.withColumns(
+        {
+            "n_lines": F.when(F.col("__text").isNull(), 0).otherwise(F.expr("length(__text) - length(replace(__text, '\\n')) + 1")).cast("long"),
+            "n_removed": F.expr("coalesce(aggregate(__cover, 0L, (n, c) -> n + c.e - c.s + 1), 0L)"),
+            "removed": F.expr("coalesce(array_join(transform(__cover, c -> concat(c.s, '-', c.e)), ','), '')"),
+            names[text]: F.when(F.col("__cover").isNull(), F.col("__text")).otherwise(rest),
+        }
     )
+    return back(out, *new)
 
 
 ORACLE = """

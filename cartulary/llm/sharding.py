@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import comparable, set_aside
+
 #: Rows that a slice holds on average.
 SLICE_ROWS = 4096
 
@@ -23,21 +25,20 @@ def interleave(df: DataFrame, strata: str = "source", shards: int = 16, seed: in
     """Add ``shard`` (int, 0 to ``shards`` - 1) and ``slot`` (long, gapless from 0).
 
     Law: shards differ by one row at most, and each holds any source's share
-    within one row for each source. A null source is a source of its own. Rows
-    are ordered by a seeded hash of all their columns, then by the columns
-    that can be compared; fully equal rows are interchangeable. Columns of
-    ``df`` with the names of the results are replaced. An empty table stays
-    empty. Only orderable column types are meant, and names that begin with two
-    underscores are this operator's own.
+    to within two rows. A null source is a source of its own. Rows are ordered
+    by a seeded hash of all their columns, then by the columns (maps and
+    variants as JSON); fully equal rows are interchangeable. Columns of ``df``
+    with the names of the results are replaced, all others stay, whatever their
+    names. An empty table stays empty.
 
     ``rows`` saves counting the table where its size is known.
     """
-    own = [c for c in df.columns if c not in ("shard", "slot") and not c.startswith("__")]
-    columns = [F.col(f"`{c}`") for c in own]
+    inner, names, back = set_aside(df, "shard", "slot")
+    columns = comparable(inner)
     total = df.count() if rows is None else rows
     slices = max(1, min(1 << 30, total // SLICE_ROWS))
     h = F.xxhash64(F.lit(seed), *columns)
-    base = df.select(*columns, h.alias("__h"), F.col(f"`{strata}`").alias("__s"))
+    base = inner.select("*", h.alias("__h"), F.col(names[strata]).alias("__s"))
     # In slices of 2**64 / slices hashes each, in the order of the hashes.
     base = base.withColumn("__a", _slice(F.col("__h"), slices))
     counts = base.groupBy("__s", "__a").agg(F.count("*").alias("__n"))
@@ -61,7 +62,7 @@ def interleave(df: DataFrame, strata: str = "source", shards: int = 16, seed: in
     shard = F.expr(f"((__place * {shards}) div {max(total, 1)})")
     out = placed.withColumn("__place", place).withColumn("shard", shard.cast("int"))
     first = F.expr(f"((cast(shard as bigint) * {total} + {shards - 1}) div {shards})")
-    return out.withColumn("slot", F.col("__place") - first).select(*columns, "shard", "slot")
+    return back(out.withColumn("slot", F.col("__place") - first), "shard", "slot")
 
 
 def _slice(h: Column, slices: int) -> Column:
