@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, held, shared
+from .common import cut, held, share
 
 #: Rows that the graph, the network and the calibration are made from, at most;
 #: the index holds every row.
@@ -187,7 +187,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toArrow().column("v").combine_chunks()
     sample = np.asarray(sample.flatten()).reshape(-1, width)
     parts = part_count(total, len(sample))
-    router_ = shared(spark, train_router(sample, parts, k, seed))
+    router_ = share(spark, train_router(sample, parts, k, seed))
 
     def vectors_of(column: pa.Array) -> np.ndarray:
         if isinstance(column, pa.ChunkedArray):

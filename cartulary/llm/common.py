@@ -12,17 +12,17 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantT
 
 from ..scratch import cleanup, cut, discard, made, shared_dir
 
-__all__ = ["bounded_batches", "cleanup", "comparable", "connected_components", "cut", "discard", "documents", "held", "made", "set_aside", "shared", "shared_dir", "size_in_bytes"]
+__all__ = ["bounded_batches", "cleanup", "comparable", "connected_components", "cut", "discard", "documents", "held", "made", "set_aside", "share", "shared_dir", "size_in_bytes"]
 
 
-def shared(spark: SparkSession, value: object) -> Broadcast:
+def share(spark: SparkSession, value: object) -> Broadcast:
     """A broadcast whose value carries the classes it needs, so executors need
     no copy of this package; :func:`held` gives the value."""
     return spark.sparkContext.broadcast({"packed": cloudpickle.dumps(value)})
 
 
 def held(broadcast: Broadcast) -> object:
-    """The value of a broadcast made by :func:`shared`, unpacked once in each
+    """The value of a broadcast made by :func:`share`, unpacked once in each
     worker process."""
     box = broadcast.value
     if "value" not in box:
@@ -31,19 +31,21 @@ def held(broadcast: Broadcast) -> object:
     return box["value"]
 
 
-def set_aside(df: DataFrame, *replaced: str) -> tuple[DataFrame, dict[str, str], Callable[..., DataFrame]]:
+def set_aside(df: DataFrame, *replaced: str, consumed: str | None = None) -> tuple[DataFrame, dict[str, str], Callable[..., DataFrame]]:
     """``df`` under names of its own that no operator uses, and the way back.
 
     Columns named like ``replaced`` (in any case) go. Returns the table, the new
     name of each column, and a function that takes a table with those columns
-    and the names of new ones and gives both under the proper names.
+    (but the one ``consumed``) and the names of new ones and gives both under the
+    proper names.
     """
     gone = {name.lower() for name in replaced}
     every = [f"carried_{i}" for i in range(len(df.columns))]
     kept = [(own, name) for own, name in zip(every, df.columns, strict=True) if name.lower() not in gone]
 
     def back(out: DataFrame, *new: str) -> DataFrame:
-        return out.select(*[own for own, _ in kept], *new).toDF(*[name for _, name in kept], *new)
+        left = [(own, name) for own, name in kept if name != consumed]
+        return out.select(*[own for own, _ in left], *new).toDF(*[name for _, name in left], *new)
 
     inner = df.toDF(*every).select(*[own for own, _ in kept])
     return inner, {name: own for own, name in reversed(kept)}, back

@@ -1,8 +1,13 @@
-"""Token frequencies over all texts, as bitmaps of a fixed size."""
+"""Token frequencies over all texts, as bitmaps of a bounded size.
+
+The maps have about two bits for each token of the texts, up to MOST_BITS each.
+Beyond, more and more rare tokens fall on marked bits and count as frequent
+ones: callers then make more rows, in proportion to the texts, and no other
+results.
+"""
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -10,12 +15,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import size_in_bytes
 from .vectext import portions
 
-#: Bits of each map, as a power of two: 16 MB each.
-MAP_BITS = 27
+#: Bits of each map, as powers of two: 16 MB each at most.
+LEAST_BITS, MOST_BITS = 20, 27
 _FLUSH = 2_000_000
 
 
@@ -23,22 +28,25 @@ def frequency_maps(texts: DataFrame, tokens_of: Callable, above: tuple[int, ...]
     """Bitmaps of the tokens that occur over ``above[k]`` times, one for each k.
 
     ``tokens_of`` gives an array of 64-bit hashes for each row of an Arrow
-    column; ``texts`` has one column. Bit ``hash >> (64 - MAP_BITS)`` of a map
-    is set for every frequent token, and for few others.
+    column; ``texts`` has one column. A map's bit at the hash's upper bits is set
+    for every frequent token, and for few others.
 
     Tokens are counted by 40 bits of their hash. Each task sends sorted,
     delta-coded runs of them, one for each range of hashes, and each range is
     counted on its own; the driver gets the bitmaps, however many rows there
     are.
     """
-    ranges = 1 << max(4, min(18, math.ceil(math.log2(max(1, size_in_bytes(texts)) / (8 << 20)))))
+    size = texts.agg(F.sum(F.octet_length(texts.columns[0]))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, (size // 4).bit_length()))
+    # About 8 MB of text for each range; a range fills whole bytes of the maps.
+    ranges = 1 << min(bits - 6, max(4, (size >> 23).bit_length()))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def flush():
             all_ = np.sort(np.concatenate(held) >> np.uint64(24))
-            bounds = np.searchsorted(all_, (np.arange(ranges + 1, dtype=np.uint64)) << np.uint64(40 - int(math.log2(ranges))))
+            bounds = np.searchsorted(all_, (np.arange(ranges + 1, dtype=np.uint64)) << np.uint64(40 - (ranges.bit_length() - 1)))
             out = []
             for r in range(ranges):
                 own = all_[bounds[r] : bounds[r + 1]]
@@ -58,7 +66,7 @@ def frequency_maps(texts: DataFrame, tokens_of: Callable, above: tuple[int, ...]
         if n:
             yield flush()
 
-    cells = (1 << MAP_BITS) // ranges
+    cells = (1 << bits) // ranges
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
         parts = []
@@ -70,31 +78,31 @@ def frequency_maps(texts: DataFrame, tokens_of: Callable, above: tuple[int, ...]
         own = np.sort(np.concatenate(parts))
         edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]]))
         many = np.diff(edge)
-        bits = []
+        packed = []
         for least in above:
-            at = (own[edge[:-1][many > least]] >> np.uint64(40 - MAP_BITS)).astype(np.int64) % cells
+            at = (own[edge[:-1][many > least]] >> np.uint64(40 - bits)).astype(np.int64) % cells
             marks = np.zeros(cells, np.uint8)
             marks[at] = 1
-            bits.append(zlib.compress(np.packbits(marks).tobytes(), 1))
-        return pd.DataFrame({"r": [int(group["r"].iloc[0])], "maps": [bits]})
+            packed.append(zlib.compress(np.packbits(marks).tobytes(), 1))
+        return pd.DataFrame({"r": [int(group["r"].iloc[0])], "maps": [packed]})
 
     rows = texts.mapInArrow(runs, "r int, run binary").groupBy("r").applyInPandas(count, "r int, maps array<binary>").collect()
-    return TokenMaps({r.r: [bytes(x) for x in r.maps] for r in rows}, len(above), ranges)
+    return TokenMaps({r.r: [bytes(x) for x in r.maps] for r in rows}, len(above), ranges, bits)
 
 
 class TokenMaps:
     """Bitmaps in compressed parts; a worker unpacks them once."""
 
-    def __init__(self, parts: dict[int, list[bytes]], maps: int, ranges: int):
-        self.parts, self.maps, self.ranges, self.unpacked = parts, maps, ranges, None
+    def __init__(self, parts: dict[int, list[bytes]], maps: int, ranges: int, bits: int):
+        self.parts, self.maps, self.ranges, self.bits, self.unpacked = parts, maps, ranges, bits, None
 
     def levels(self, tokens: np.ndarray) -> np.ndarray:
         """In how many of the maps each token's bit is set."""
         if self.unpacked is None:
-            bits = np.zeros((self.maps, self.ranges, (1 << MAP_BITS) // self.ranges // 8), np.uint8)
+            cells = np.zeros((self.maps, self.ranges, (1 << self.bits) // self.ranges // 8), np.uint8)
             for r, packed in self.parts.items():
                 for k, part in enumerate(packed):
-                    bits[k, r] = np.frombuffer(zlib.decompress(part), np.uint8)
-            self.unpacked = bits.reshape(self.maps, -1)
-        cell = (tokens >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+                    cells[k, r] = np.frombuffer(zlib.decompress(part), np.uint8)
+            self.unpacked = cells.reshape(self.maps, -1)
+        cell = (tokens >> np.uint64(64 - self.bits)).astype(np.int64)
         return ((self.unpacked[:, cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & np.uint8(1)).sum(axis=0, dtype=np.int8)

@@ -71,9 +71,10 @@ def op8_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later copies of passages; spans of fewer than 24 words are phrases."""
     from .substring_dedup import repeated_spans
 
-    return repeated_spans(documents(spark, sf_dir).select("doc_id", "text")).drop("text_key")
+    return repeated_spans(documents(spark, sf_dir).select("doc_id", "text"), min_words=24).drop("text_key")
 
 
 def op10_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:

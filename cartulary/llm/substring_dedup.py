@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import bounded_batches, cut
+from .common import bounded_batches, cut, held, set_aside, share
 from .frequency import frequency_maps
 from .vectext import portions, run_hashes, text_bytes
 
@@ -28,9 +28,6 @@ from .vectext import portions, run_hashes, text_bytes
 ENDING = 12
 #: No boundary follows another this closely, and none is further away.
 LEAST, MOST = 8, 512
-#: Words that a repeated span covers at least. The passage is longer, by a
-#: part of a chunk at both ends.
-MIN_WORDS = 24
 #: The gear: a fixed random number for each byte.
 GEAR = np.frombuffer(hashlib.shake_256(b"gear").digest(1024), dtype="<u4")
 
@@ -86,7 +83,7 @@ def _digests(column) -> Iterator[np.ndarray]:
         yield h[a:b]
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = 0) -> DataFrame:
     """Later occurrences of repeated text, one row per merged span.
 
     Returns ``id_col``, ``text_key`` (a hash of the text, so that rows with one
@@ -94,17 +91,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     exclusive), ``n_words`` (words that start inside) and ``first_doc_ids``
     (documents of the first occurrences, null ids left out). Order is by id,
     null first, then text, then place. Rows equal in id and text are one
-    occurrence. Spans of fewer words than ``min_words`` are left out; null and
-    empty texts have none.
+    occurrence. Every repeated chunk is in a span; a caller who looks for
+    passages only leaves out spans of fewer words than ``min_words``. A passage is
+    longer than its span, by a part of a chunk at both ends. Null and empty texts
+    have none; texts may be of any length.
     """
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("t"))
-    maps = bounded_batches(docs).sparkContext.broadcast(frequency_maps(source.select("t"), _digests, (1,)))
+    maps = share(bounded_batches(docs), frequency_maps(source.select("t"), _digests, (1,)))
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in portions(b, 1)):
             data, offsets, starts, lengths = chunks_of(batch.column(1))
             one = run_hashes(data, starts, lengths)
-            keep = np.flatnonzero(maps.value.levels(one) > 0)
+            keep = np.flatnonzero(held(maps).levels(one) > 0)
             if not len(keep):
                 continue
             two = run_hashes(data, starts[keep], lengths[keep], 1)
@@ -150,17 +149,20 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
     """``docs`` without the text of ``spans`` that :func:`repeated_spans` found
     in them; null texts stay null."""
 
+    inner, names, back = set_aside(docs)
+    at = inner.columns.index(names[text])
+
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [None if t is None else int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little", signed=True) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, "__key"])
 
-    at = docs.columns.index(text)
-    keyed = docs.mapInArrow(key, StructType([*docs.schema.fields, StructField("__key", LongType())]))
+    keyed = inner.mapInArrow(key, StructType([*inner.schema.fields, StructField("__key", LongType())]))
     cover = spans.groupBy(F.col(id_col).alias("__id"), F.col("text_key").alias("__k")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cover"))
-    joined = keyed.join(cover, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left")
+    joined = keyed.join(cover, F.col(names[id_col]).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left")
     # What stands between the spans: from an end, or 0, to the next start.
     ends = "concat(array(0), transform(__cover, c -> c.end))"
     starts = "concat(transform(__cover, c -> c.start), array(length({t})))"
-    rest = f"array_join(zip_with({ends}, {starts.format(t=f'`{text}`')}, (a, b) -> substr(`{text}`, a + 1, b - a)), '')"
-    return joined.select(*[F.expr(f"if(__cover is null, `{text}`, {rest})").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    t = names[text]
+    rest = f"array_join(zip_with({ends}, {starts.format(t=t)}, (a, b) -> substr({t}, a + 1, b - a)), '')"
+    return back(joined.withColumn(t, F.expr(f"if(__cover is null, {t}, {rest})")))
