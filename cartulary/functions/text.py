@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,6 +109,20 @@ def escaped(x: Column | str) -> Column:
     return F.regexp_replace(col(x), r"([^A-Za-z0-9_])", r"\\$1")
 
 
+def regex_union(patterns: list[str]) -> str:
+    """One expression for all patterns that compile; one that never matches
+    where none does (P14). An empty pattern would match anything and goes."""
+    good = []
+    for p in patterns:
+        try:
+            re.compile(p)
+        except (re.error, TypeError):
+            continue
+        if p:
+            good.append(f"(?:{p})")
+    return "|".join(good) or "(?!)"
+
+
 def hash16(x: Column | str) -> Column:
     return F.substring(F.sha2(col(x), 256), 1, 16)
 

@@ -101,10 +101,22 @@ def audit(results: DataFrame, truth: DataFrame, hunks: DataFrame, tolerance: int
     }
 
 
-def last_by(df: DataFrame, key: str) -> DataFrame:
-    """Of equal keys the last row in reading order."""
-    numbered = df.withColumn("__n", F.monotonically_increasing_id())
-    return numbered.groupBy(key).agg(F.max_by(F.struct(*df.columns), "__n").alias("r")).select("r.*")
+def last_by(df: DataFrame, key: str, pos: str = "pos") -> DataFrame:
+    """Of equal keys the row of the highest ``pos``. A table without that column
+    must come straight from its files: then the last in reading order counts."""
+    order = F.col(pos) if pos in df.columns else F.col("__n")
+    placed = df.withColumn("__n", F.monotonically_increasing_id())
+    return placed.groupBy(key).agg(F.max_by(F.struct(*df.columns), order).alias("r")).select("r.*")
+
+
+def arm_totals(its: DataFrame, chosen: list[tuple[int, bool]]) -> DataFrame:
+    """``tp, fp, fn`` of chosen arms, each a k and whether it is the patched
+    one, in the order of (k, patched) (A08, T10)."""
+    want = F.lit(False)
+    for k, patched in chosen:
+        want = want | ((F.col("k") == k) & (F.col("patched") == patched))
+    sums = [F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("tp", "fp", "fn")]
+    return its.where(want).groupBy("k", "patched").agg(F.count("*").alias("cases"), *sums).orderBy("k", "patched")
 
 
 def top_cases(rows: DataFrame, case: str, n: int = 10) -> DataFrame:
@@ -149,14 +161,24 @@ def dedup_flows(flows: DataFrame) -> DataFrame:
     line = F.coalesce(F.expr("try_cast(sink_line as int)"), F.lit(0))
     rows = flows.withColumns({"recovery_kind": kind, "__prio": prio, "__norm": norm, "sink_line": line})
     row = F.struct("recovery_kind", "sink_code", "source_file", "source_line", "source_code", "arrival")
-    source = F.when(F.coalesce("source_code", F.lit("")) != "", F.struct("arrival", F.col("source_code").alias("code")))
-    out = rows.groupBy("sink_file", "sink_line", "sink_name", "__norm").agg(
-        F.max_by(row, F.struct("__prio", -F.col("arrival"))).alias("best"),
-        F.count("*").alias("dedup_count"),
-        F.min("arrival").alias("first_arrival"),
-        F.array_sort(F.collect_set("recovery_kind")).alias("recovery_kinds_seen"),
-        F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(source)), lambda s: s.code)), 1, 8).alias("dedup_sources"),
+    sink, code = ["sink_file", "sink_line", "sink_name", "__norm"], F.coalesce("source_code", F.lit("")).alias("__code")
+    # By source first: a popular sink then has one row for each of its sources,
+    # of which the eight earliest are gathered.
+    rank = F.struct("__prio", -F.col("arrival"))
+    seen = [F.max(F.col("recovery_kind") == k).alias(f"__{k}") for k in PRIORITY]
+    by_source = rows.groupBy(*sink, code).agg(F.max_by(row, rank).alias("best"), F.max(rank).alias("__rank"), F.count("*").alias("n"), F.min("arrival").alias("first"), *seen)
+    place = F.row_number().over(Window.partitionBy(*sink).orderBy(F.col("__code") == "", "first", "__code"))
+    by_source = by_source.withColumn("__place", place)
+    listed = F.when((F.col("__place") <= 8) & (F.col("__code") != ""), F.struct("first", "__code"))
+    out = by_source.groupBy(*sink).agg(
+        F.max_by("best", "__rank").alias("best"),
+        F.sum("n").alias("dedup_count"),
+        F.min("first").alias("first_arrival"),
+        F.array_sort(F.collect_list(listed)).alias("__sources"),
+        *[F.max(f"__{k}").alias(f"__{k}") for k in PRIORITY],
     )
+    kinds = F.array(*[F.when(F.col(f"__{k}"), F.lit(k)) for k in PRIORITY])
+    out = out.withColumn("recovery_kinds_seen", F.array_sort(F.array_compact(kinds))).withColumn("dedup_sources", F.transform("__sources", lambda x: x["__code"]))
     taint = F.col("recovery_kind") == "taint"
     out = out.select("sink_file", "sink_line", "sink_name", "best.*", "dedup_count", "first_arrival", "recovery_kinds_seen", "dedup_sources").drop("arrival")
     return out.withColumns(

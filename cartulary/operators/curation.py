@@ -152,8 +152,10 @@ def duplicate_locations(records: DataFrame) -> DataFrame:
     files and line lists are not compared."""
     loc = location_key("repo_url", "vulnerable_file", "vulnerable_lines")
     own = records.where("coalesce(vulnerable_file, '') <> '' and size(vulnerable_lines) > 0").withColumn("__loc", loc)
-    w = Window.partitionBy("__loc").orderBy("pos")
-    return own.withColumn("first_id", F.first_value("cve_id").over(w)).withColumn("__rn", F.row_number().over(w)).where("__rn > 1").select("cve_id", "first_id")
+    # A place may be that of very many records, so the first is an aggregate.
+    first = own.groupBy("__loc").agg(F.min(F.struct("pos", "cve_id")).alias("__first"))
+    later = own.join(first, "__loc").where(F.struct("pos", "cve_id") != F.col("__first"))
+    return later.select("cve_id", F.col("__first.cve_id").alias("first_id"))
 
 
 def loc_bin(loc: str) -> Column:
@@ -171,8 +173,12 @@ def length_summary(records: DataFrame, column: str = "loc") -> DataFrame:
     value whose rank is half the count; ranks come from counts by value."""
     c = records.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
     total = c.agg(F.sum("c").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.sum(F.col("v") * F.col("c")).alias("s"))
-    cum = c.withColumn("upto", F.sum("c").over(Window.orderBy("v")))
-    median = cum.crossJoin(total).where(F.col("upto") > F.expr("n div 2")).agg(F.min("v").alias("median"))
+    # Sums within about a thousand ranges of values, and over the ranges.
+    c = c.crossJoin(F.broadcast(total.select("n", "least", "most"))).withColumn("__b", F.floor((F.col("v") - F.col("least")) / F.greatest((F.col("most") - F.col("least")) / 1000, F.lit(1))))
+    ranges = c.groupBy("__b").agg(F.sum("c").alias("m"))
+    ranges = ranges.select("__b", (F.sum("m").over(Window.orderBy("__b")) - F.col("m")).alias("before"))
+    cum = c.join(ranges, "__b").withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("__b").orderBy("v")))
+    median = cum.where(F.col("upto") > F.expr("n div 2")).agg(F.min("v").alias("median"))
     return total.crossJoin(median).select("n", "least", "most", "median", F.expr("s div n").alias("mean"))
 
 
@@ -180,18 +186,20 @@ def stratified_sample(records: DataFrame, target: int = 100, minima: dict[str, i
     """A sample with a least number of each length bin, then sink, then
     severity, filled up to ``target`` (T07).
 
-    Rows are ordered by a seeded hash of their id instead of a sequential
-    draw: a row is taken if it is among the first of its stratum, and the rest
-    by the same order. The quota may exceed ``target`` where strata are many.
+    Each step takes what its strata still need, given what the steps before
+    took. Rows are ordered by a seeded hash of their id instead of a sequential
+    draw. The quota may exceed ``target`` where strata are many.
     """
-    h = F.xxhash64(F.lit(seed), "cve_id")
-    df = records.withColumn("__h", h).withColumn("__bin", loc_bin("loc"))
-    rank = lambda c: F.row_number().over(Window.partitionBy(c).orderBy("__h", "cve_id"))
-    df = df.withColumn("__need", (rank("__bin") <= minima["bin"]) | (rank("sink_api") <= minima["sink"]) | (rank("cvss_severity") <= minima["severity"]))
-    need = df.where("__need")
-    n = need.count()
-    rest = df.where("not __need").orderBy("__h", "cve_id").limit(max(0, target - n))
-    return need.unionByName(rest).drop("__h", "__bin", "__need")
+    order = [F.md5(F.concat(F.lit(f"{seed}|"), F.col("cve_id").cast("string"))).alias("__h"), F.col("cve_id")]
+    df = records.withColumn("__h", order[0]).withColumn("__bin", loc_bin("loc")).withColumn("__in", F.lit(False))
+    for column, least in (("__bin", minima["bin"]), ("sink_api", minima["sink"]), ("cvss_severity", minima["severity"])):
+        taken = df.groupBy(F.col(column).alias("__s")).agg(F.count_if("__in").alias("__have"))
+        first = Window.partitionBy(column, "__in").orderBy("__h", "cve_id")
+        more = df.withColumn("__r", F.row_number().over(first)).join(taken, F.col(column).eqNullSafe(F.col("__s")))
+        df = cut(more.withColumn("__in", F.col("__in") | (F.col("__r") <= F.lit(least) - F.col("__have"))).drop("__r", "__s", "__have"), "sample")
+    need = df.where("__in")
+    rest = df.where("not __in").orderBy("__h", "cve_id").limit(max(0, target - need.count()))
+    return need.unionByName(rest).drop("__h", "__bin", "__in")
 
 
 def supplement(existing: DataFrame, new: DataFrame, key: str = "cve_id") -> DataFrame:

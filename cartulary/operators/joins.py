@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import cut
+
 
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], point: str, start: str, end: str, tolerance: int = 0, how: str = "inner", bin_width: int | None = None) -> DataFrame:
     """Rows of ``left`` whose ``point`` lies in a range of ``right``, widened by
     ``tolerance``, where ``keys`` agree.
 
     The keys make it an equi-join. With ``bin_width`` ranges are also dealt
-    to bins, for keys with very many rows and ranges; then only inner joins.
+    to bins, for keys with very many rows and ranges; other than inner joins are
+    an error then, for a row unmatched in one bin may match in another.
     """
+    if bin_width and how != "inner":
+        raise ValueError("bin_width is for inner joins")
     r = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys])
     inside = F.col(point).between(F.col(start) - tolerance, F.col(end) + tolerance)
     on = inside
@@ -27,6 +32,32 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], point: str
     return out.drop("__bin", "__bins", *[f"__{k}" for k in keys])
 
 
+def ordinal(df: DataFrame, order: str, name: str = "ordinal") -> DataFrame:
+    """Add each row's place (from 0) by ``order``, which has no ties.
+
+    Rows are dealt by ranges and written; places are ranks within a range and the
+    sizes of the ranges before, so no task sees all rows.
+    """
+    parts = cut(df.repartitionByRange(order).withColumn("__part", F.spark_partition_id()), "ordinal")
+    sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"))  # a row a range
+    sizes = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
+    return parts.withColumn("__rank", rank).join(F.broadcast(sizes), "__part").withColumn(name, F.col("__before") + F.col("__rank")).drop("__part", "__rank", "__before")
+
+
+def running(counts: DataFrame, key: str, n: str, name: str) -> DataFrame:
+    """Add the sum of ``n`` over all rows of a lesser ``key``, which has no ties.
+
+    Sums go within ranges of keys and over the ranges, of which there are as many
+    as tasks, so no task sees all keys.
+    """
+    placed = cut(counts.repartitionByRange(key).withColumn("__part", F.spark_partition_id()), "running")
+    ranges = placed.groupBy("__part").agg(F.sum(n).alias("__m"))
+    ranges = ranges.select("__part", (F.sum("__m").over(Window.orderBy("__part")) - F.col("__m")).alias("__ahead"))
+    within = F.sum(n).over(Window.partitionBy("__part").orderBy(key)) - F.col(n)
+    return placed.withColumn("__within", within).join(F.broadcast(ranges), "__part").withColumn(name, F.col("__ahead") + F.col("__within")).drop("__part", "__within", "__ahead")
+
+
 def ordered_first(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     """The first row of each key in the given order."""
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__rn = 1").drop("__rn")

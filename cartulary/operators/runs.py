@@ -8,7 +8,7 @@ import random
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import overlay
+from .joins import ordinal, overlay
 
 SEED, TRAIN_FRACTION = 235711, 0.25
 
@@ -84,24 +84,27 @@ def patched_stats(rows: DataFrame) -> DataFrame:
 
 def seeded_subset(df: DataFrame, key: str, n: int, seed: int = SEED) -> DataFrame:
     """``n`` cases by a seeded choice, in their old order (T05). The driver
-    sees only the keys of the cases, which a study lists by hand."""
-    keys = [r[0] for r in df.select(key, "pos").orderBy("pos").select(key).collect()]
-    chosen = set(random.Random(seed).sample(keys, min(n, len(keys))))
-    return df.where(F.col(key).isin(list(chosen))).orderBy("pos")
+    draws ``n`` places; it sees no rows."""
+    placed = ordinal(df, "pos", "__at")
+    total = placed.count()
+    chosen = random.Random(seed).sample(range(total), min(n, total))
+    places = df.sparkSession.createDataFrame([(i,) for i in chosen], "__at long")
+    return placed.join(places, "__at", "left_semi").drop("__at").orderBy("pos")
 
 
 def split(df: DataFrame, key: str, fraction: float = TRAIN_FRACTION, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """Train and validation cases (T06): the first keeps the shuffled order."""
-    spark = df.sparkSession
-    keys = [r[0] for r in df.select(key, "pos").orderBy("pos").select(key).collect()]
-    if len(keys) < 2:
+    """Train and validation cases (T06): the first keeps the shuffled order.
+    The driver shuffles places, a number a case; it sees no rows."""
+    placed = ordinal(df, "pos", "__at")
+    total = placed.count()
+    if total < 2:
         return df.limit(0), df
-    n = min(len(keys) - 1, max(1, math.ceil(len(keys) * fraction)))
-    shuffled = keys[:]
+    n = min(total - 1, max(1, math.ceil(total * fraction)))
+    shuffled = list(range(total))
     random.Random(seed).shuffle(shuffled)
-    order = spark.createDataFrame([(k, i) for i, k in enumerate(shuffled[:n])], f"__k {dict(df.dtypes)[key]}, train_pos int")
-    train = df.join(order, F.col(key) == F.col("__k")).drop("__k").orderBy("train_pos")
-    return train, df.join(order, F.col(key) == F.col("__k"), "left_anti").orderBy("pos")
+    order = df.sparkSession.createDataFrame([(at, i) for i, at in enumerate(shuffled[:n])], "__at long, train_pos int")
+    train = placed.join(order, "__at").drop("__at").orderBy("train_pos")
+    return train, placed.join(order, "__at", "left_anti").drop("__at").orderBy("pos")
 
 
 def variance_plan(cases: DataFrame, key: str, n: int = 20, seeds: int = 5, k: int = 3, seed: int = SEED) -> DataFrame:

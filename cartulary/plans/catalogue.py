@@ -138,39 +138,15 @@ def q_shortest_path(spark, d):
     return p.select(F.array_join("path", ">").alias("path"), (F.size("path").cast("long") - 1).alias("hops")).withColumn("hops", F.when(F.col("path").isNotNull(), F.col("hops")))
 
 
-@query(f"""with recursive e as {_FLOW_SQL}, r(node, depth) as (
-  select c_custkey, 0 from customer where c_name like '%0000012%'
-  union all select e.src, r.depth + 1 from r join e on r.node = e.dst where r.depth < 3)
-select node as id, min(depth) as depth from r group by node""")
-def q_khop_callers(spark, d):
-    c = _t(spark, d, "customer")
-    u = c.select(F.col("c_custkey").alias("id"), F.lit("Function").alias("kind"), F.col("c_name").alias("name"), F.lit(False).alias("is_external"), F.lit("f").alias("file_path"), F.lit(1).alias("line_start"), F.lit("").alias("code"))
-    # Nodes that are no customer have no unit; callers by edge still count.
-    e = _sparse(spark, d).withColumn("kind", F.lit("Calls"))
-    g = graph.CodeGraph(u, e)
-    start = u.where(F.col("name").contains("0000012")).select("id")
-    above = g.reachable(start, "Calls", max_depth=3, backwards=True).select(F.col("node").alias("id"), "depth")
-    return start.select("id", F.lit(0).alias("depth")).unionByName(above).groupBy("id").agg(F.min("depth").alias("depth"))
-
-
-@query("""with s as (select user_id as f, event_id, ts, ts + interval 2 hour as e from events where event_type = 'purchase')
-select s.event_id as unit_id, count(*) as inner_n from s join events p on p.user_id = s.f and p.ts between s.ts and s.e and p.event_id <> s.event_id group by s.event_id""")
-def q_contains_interval(spark, d):
-    ev = _t(spark, d, "events")
-    outer = ev.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("unit_id"), F.col("ts").alias("s"), F.expr("ts + interval 2 hours").alias("e"))
-    both = ev.join(outer.withColumnRenamed("user_id", "f"), F.expr("user_id = f and ts between s and e and event_id <> unit_id"))
-    return both.groupBy("unit_id").agg(F.count("*").alias("inner_n"))
-
-
-@query("""with u as (select l_orderkey as file_path, l_suppkey as id, l_linenumber as s, l_linenumber + cast(l_quantity as int) % 5 as e, cast(l_partkey % 7 as int) as subtree from lineitem where l_orderkey % 20 = 0),
-p as (select o_orderkey as place_id, o_orderkey as file_path, 2 as s, 4 as e from orders where o_orderkey % 20 = 0),
+@query("""with u as (select l_orderkey as file_path, l_suppkey as id, l_linenumber as s, l_linenumber + cast(l_quantity as int) % 5 as e, cast(l_partkey % 7 as int) as subtree from lineitem),
+p as (select o_orderkey as place_id, o_orderkey as file_path, 2 as s, 4 as e from orders),
 b as (select place_id, u.*, p.s as ps, p.e as pe, u.id as uid from p left join u on p.file_path = u.file_path and u.s <= p.s and u.e >= p.e)
 select place_id, uid as id from (select *, row_number() over (partition by place_id order by uid is null, e - s, case when s = ps and e = pe then 0 else 1 end, case when s = ps and e = pe then -subtree else subtree end, uid) as r from b) where r = 1""")
-def q_min_covering(spark, d, every=20):
-    """Places' least covering units (S10), in every twentieth file."""
-    li = _t(spark, d, "lineitem").where(f"l_orderkey % {every} = 0")
+def q_min_covering(spark, d):
+    """Places' least covering units."""
+    li = _t(spark, d, "lineitem")
     u = li.select(F.col("l_suppkey").alias("id"), F.col("l_orderkey").alias("file_path"), F.col("l_linenumber").alias("line_start"), F.expr("l_linenumber + cast(l_quantity as int) % 5").alias("line_end"), F.expr("cast(l_partkey % 7 as int)").alias("subtree"))
-    places = _t(spark, d, "orders").where(f"o_orderkey % {every} = 0").select(F.col("o_orderkey").alias("place_id"), F.col("o_orderkey").alias("file_path"), F.lit(2).alias("line_start"), F.lit(4).alias("line_end"))
+    places = _t(spark, d, "orders").select(F.col("o_orderkey").alias("place_id"), F.col("o_orderkey").alias("file_path"), F.lit(2).alias("line_start"), F.lit(4).alias("line_end"))
     return graph.CodeGraph(u, u).minimal_covering(places)
 
 
@@ -209,19 +185,6 @@ def q_sink_scan(spark, d):
     return scans.sink_calls(units, catalog).select("doc_id", "line", "sink_api")
 
 
-@query("""with l as (select doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line, string_split(text, chr(10)) as ls from documents),
-f as (select item_id as doc_id from benchmark)
-select l.doc_id, max(line) as n_lines, count(*) filter (trim(ls[line], ' ') <> '') as loc from l join f on l.doc_id = f.doc_id group by l.doc_id""")
-def q_loc_count(spark, d, whole=False):
-    """Lines and non-blank lines of source text (A26), of documents that bear an
-    item's number."""
-    docs = _t(spark, d, "documents")
-    if not whole:
-        docs = docs.join(_t(spark, d, "benchmark").select(F.col("item_id").alias("doc_id")), "doc_id", "left_semi")
-    lines = F.split("text", "\n", -1)
-    return docs.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("long").alias("loc"))
-
-
 @query("""with l as (select doc_id, string_split(text, chr(10)) as ls from documents),
 f as (select item_id, item_id as doc_id, 2 as s, 3 as e from benchmark)
 select item_id, coalesce(array_to_string(list_transform(range(greatest(s - 2, 1), least(e + 2, len(ls)) + 1), lambda i: lpad(cast(i as varchar), 5, ' ') || '| ' || ls[i]), chr(10)), '') as context from f left join l on f.doc_id = l.doc_id""")
@@ -232,14 +195,14 @@ def q_context_window(spark, d):
 
 
 @query("""with p as (select item_id, array_to_string(list_slice(string_split(text, ' '), 3, 4), ' ') || ' ' as e from benchmark)
-select item_id, count(*) filter (length(trim(e, ' ')) >= 2 and contains(text, ' ' || e)) as strict from p, documents where lang = 'en' group by item_id""")
-def q_evidence_brake(spark, d, where="lang = 'en'"):
-    """Items' two words, found strictly in English documents. A word between spaces is
+select item_id, count(*) filter (length(trim(e, ' ')) >= 2 and contains(text, ' ' || e)) as strict from p, documents group by item_id""")
+def q_evidence_brake(spark, d):
+    """Items' two words, found strictly in documents (P07). A word between spaces is
     a word of the text as well, so texts and items meet on it before the whole
     evidence is looked for."""
     p = _t(spark, d, "benchmark").withColumn("w", F.split("text", " ", -1))
     p = p.select("item_id", F.concat(F.lit(" "), F.array_join(F.slice("w", 3, 2), " "), F.lit(" ")).alias("e"), F.get("w", F.lit(2)).alias("word"))
-    docs = _t(spark, d, "documents").where(where).select("doc_id", "text")
+    docs = _t(spark, d, "documents").select("doc_id", "text")
     words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " ", -1))).alias("word"))
     near = words.join(p, "word").select("doc_id", "item_id", "e")
     hits = docs.join(near, "doc_id").where(F.col("text").contains(F.col("e")) & evidence_strict("e", "text"))
@@ -350,12 +313,12 @@ def q_relaxed_score(spark, d):
     return scoring.relaxed_scores(rows, gt, hunks, ["case_id"])
 
 
-@query("""with l as (select l_orderkey, l_linenumber, l_suppkey from lineitem where l_orderkey % 10 = 0), o as (select o_orderkey, 4 as gt from orders where o_orderkey % 10 = 0)
+@query("""with l as (select l_orderkey, l_linenumber, l_suppkey from lineitem), o as (select o_orderkey, 4 as gt from orders)
 select o_orderkey, arg_min(struct_pack(n := l_linenumber, s := l_suppkey), row(abs(l_linenumber - gt), l_suppkey)).n as near_line, arg_min(l_suppkey, row(abs(l_linenumber - gt), l_suppkey)) as near_supp from o left join l on o_orderkey = l_orderkey group by o_orderkey""")
-def q_nearest_row(spark, d, every=10):
-    """The nearest row of each tenth order."""
-    left = _t(spark, d, "orders").where(f"o_orderkey % {every} = 0").select("o_orderkey", F.lit(4).alias("gt"))
-    right = _t(spark, d, "lineitem").where(f"l_orderkey % {every} = 0").select(F.col("l_orderkey").alias("o_orderkey"), F.struct("l_linenumber", "l_suppkey").alias("x"), F.col("l_linenumber").alias("near_line"), F.col("l_suppkey").alias("near_supp")).drop("x")
+def q_nearest_row(spark, d):
+    """The nearest row of each order."""
+    left = _t(spark, d, "orders").select("o_orderkey", F.lit(4).alias("gt"))
+    right = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.struct("l_linenumber", "l_suppkey").alias("x"), F.col("l_linenumber").alias("near_line"), F.col("l_suppkey").alias("near_supp")).drop("x")
     near = joins.nearest_row(left, right, ["o_orderkey"], "gt", "near_line", "near_supp")
     return near.select("o_orderkey", "near_line", "near_supp")
 
@@ -363,28 +326,29 @@ def q_nearest_row(spark, d, every=10):
 # -- findings -----------------------------------------------------------------
 
 
-@query("""with f as (select l_orderkey as sf, l_linenumber as sl, cast(l_quantity as int) % 4 as kq, l_suppkey, l_partkey, l_orderkey::bigint * 1000000 + l_suppkey * 100 + l_partkey % 100 as arr, l_extendedprice as px from lineitem),
-g as (select *, case kq when 0 then 'direct_sink' when 1 then 'def_use' when 2 then 'relaxed' else 'bogus' end as k0 from f),
-h as (select sf, sl, case when k0 = 'bogus' then 'taint' else k0 end as kind, case k0 when 'bogus' then 4 when 'relaxed' then 3 when 'def_use' then 2 else 1 end as pri, row_number() over (order by sf, sl, l_suppkey, l_partkey, px) as a, 'src' || l_suppkey % 11 as code from g),
-s as (select sf, sl, arg_max(kind, row(pri, -a)) as recovery_kind, arg_max(code, row(pri, -a)) as source_code, count(*) as dedup_count, min(a) as first_arrival, array_to_string(list_sort(list(distinct kind)), ',') as kinds from h group by sf, sl),
-d as (select sf, sl, code, min(a) as a from h group by sf, sl, code), e as (select sf, sl, string_agg(code, ',' order by a) as sources from (select *, row_number() over (partition by sf, sl order by a) as r from d) where r <= 8 group by sf, sl)
-select s.sf as sink_file, s.sl as sink_line, s.recovery_kind, s.source_code, s.dedup_count, s.first_arrival, s.kinds, e.sources, case when s.recovery_kind = 'taint' then 'joern-taint-reachability' else 'joern-' || s.recovery_kind || '-recovery' end as rule_id from s join e on s.sf = e.sf and s.sl = e.sl""")
-def q_flow_dedup(spark, d):
+def flow_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as flows; arrivals are places in the order of the whole table."""
     li = _t(spark, d, "lineitem")
     kind = F.expr("case cast(l_quantity as int) % 4 when 0 then 'direct_sink' when 1 then 'def_use' when 2 then 'relaxed' else 'bogus' end")
     # Arrivals over the whole table come from counts by order, not from one sort.
-    by_order = li.groupBy("l_orderkey").agg(F.count("*").alias("c"))
+    starts = joins.running(li.groupBy("l_orderkey").agg(F.count("*").alias("c")), "l_orderkey", "c", "at")
     from pyspark.sql import Window
 
-    starts = by_order.withColumn("bucket", F.expr("l_orderkey div 4096"))
-    buckets = starts.groupBy("bucket").agg(F.sum("c").alias("m")).withColumn("ahead", F.sum("m").over(Window.orderBy("bucket")) - F.col("m")).select("bucket", "ahead")
-    starts = starts.withColumn("within", F.sum("c").over(Window.partitionBy("bucket").orderBy("l_orderkey")) - F.col("c")).join(buckets, "bucket").select("l_orderkey", (F.col("within") + F.col("ahead")).alias("at"))
     r = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice"))
-    flows = li.withColumn("r", r).join(starts, "l_orderkey").select(
+    return li.withColumn("r", r).join(starts.select("l_orderkey", "at"), "l_orderkey").select(
         F.col("l_orderkey").alias("sink_file"), F.col("l_linenumber").cast("string").alias("sink_line"), F.lit("s").alias("sink_name"), F.lit("s( x )").alias("sink_code"), F.lit("f").alias("source_file"), F.lit("1").alias("source_line"),
         F.concat(F.lit("src"), F.col("l_suppkey") % 11).alias("source_code"), kind.alias("recovery_kind"), (F.col("at") + F.col("r")).alias("arrival"),
     )
-    out = audit.dedup_flows(flows)
+
+
+@query("""with f as (select l_orderkey as sf, l_linenumber as sl, cast(l_quantity as int) % 4 as kq, l_suppkey, l_partkey, l_orderkey::bigint * 1000000 + l_suppkey * 100 + l_partkey % 100 as arr, l_extendedprice as px from lineitem),
+g as (select *, case kq when 0 then 'direct_sink' when 1 then 'def_use' when 2 then 'relaxed' else 'bogus' end as k0 from f),
+h as (select sf, sl, case when k0 = 'bogus' then 'taint' else k0 end as kind, case k0 when 'bogus' then 4 when 'relaxed' then 3 when 'def_use' then 2 else 1 end as pri, row_number() over (order by sf, sl, l_suppkey, l_partkey, px) as a, 'src' || l_suppkey % 11 as code from g),
+s as (select sf, sl, arg_max(kind, row(pri, -a)) as recovery_kind, arg_max(code, row(pri, -a)) as source_code, count(*) as dedup_count, min(a) as first_arrival, array_to_string(list_sort(list(distinct kind)), ',') as kinds from h group by sf, sl),
+d as (select sf, sl, code, min(a) as a from h group by sf, sl, code), e as (select sf, sl, string_agg(code, ',' order by a) as sources from (select *, row_number() over (partition by sf, sl order by a) as r from d) where r <= 8 group by sf, sl)
+select s.sf as sink_file, s.sl as sink_line, s.recovery_kind, s.source_code, s.dedup_count, s.first_arrival, s.kinds, e.sources, case when s.recovery_kind = 'taint' then 'joern-taint-reachability' else 'joern-' || s.recovery_kind || '-recovery' end as rule_id from s join e on s.sf = e.sf and s.sl = e.sl""")
+def q_flow_dedup(spark, d):
+    out = audit.dedup_flows(flow_rows(spark, d))
     return out.select("sink_file", "sink_line", "recovery_kind", "source_code", "dedup_count", "first_arrival", F.array_join("recovery_kinds_seen", ",").alias("kinds"), F.array_join("dedup_sources", ",").alias("sources"), "rule_id")
 
 
@@ -393,17 +357,6 @@ def q_findings_fingerprint(spark, d):
     return audit.fingerprint(_t(spark, d, "events").withColumn("v", F.concat_ws("|", "event_type", "event_id")), ["user_id"], "v")
 
 
-@query("""with t as (select conv_id, turn, role, substr(md5(role), 1, 8) as h from conversations), f as (select *, first_value(h) over (partition by conv_id order by turn, role) as h0 from t)
-select conv_id, count(distinct h) as hashes, count(*) as n, count(distinct h) = 1 and count(*) > 1 as invariant, count(*) filter (h <> h0) as changed from f group by conv_id""")
-def q_findings_invariance(spark, d):
-    from pyspark.sql import Window
-
-    t = _t(spark, d, "conversations").withColumn("h", F.substring(F.md5("role"), 1, 8))
-    t = t.withColumn("h0", F.first_value("h").over(Window.partitionBy("conv_id").orderBy("turn", "role")))
-    out = t.groupBy("conv_id").agg(F.count_distinct("h").alias("hashes"), F.count("*").alias("n"), F.count_if(F.col("h") != F.col("h0")).alias("changed"))
-    return out.withColumn("invariant", (F.col("hashes") == 1) & (F.col("n") > 1))
-
-
 @query("""with j as (select d.lang as arm, quality, toxic from documents d join labels l on d.doc_id = l.doc_id),
 s as (select coalesce(arm, 'ALL') as arm, cast(count(*) filter (quality = 1 and toxic = 0) as bigint) as tp, cast(count(*) filter (quality = 1 and toxic = 1) as bigint) as fp, cast(count(*) filter (quality = 0) as bigint) as fn from j group by rollup (arm)),
 p as (select *, case when tp + fp > 0 then tp / (tp + fp) else 0.0 end as p, case when tp + fn > 0 then tp / (tp + fn) else 0.0 end as r from s)
@@ -483,17 +436,6 @@ def q_advisory_filter(spark, d):
     return curation.advisory_filter(rows).select("page_id")
 
 
-@query("""with k as (select doc_id, substr(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '), 1, 120) as k from documents),
-w as (select doc_id, min(doc_id) over (partition by k) as first_id, row_number() over (partition by k order by doc_id) as r from k)
-select doc_id, first_id from w where r > 1""")
-def q_dup_locations(spark, d, chars=120):
-    """Documents whose normalised beginning an earlier one has (W05). Copies
-    may be a third of all rows, so the first comes from an aggregate."""
-    k = _t(spark, d, "documents").select("doc_id", F.xxhash64(normal_space("text", chars)).alias("h"), F.md5(normal_space("text", chars)).alias("k"))
-    first = k.groupBy("h", "k").agg(F.min("doc_id").alias("first_id"))
-    return k.join(first, ["h", "k"]).where("doc_id <> first_id").select("doc_id", "first_id")
-
-
 @query("""select case when n_chars < 100 then '<100' when n_chars < 500 then '100-499' when n_chars < 2000 then '500-1999' else '>=2000' end as bin, count(*) as n, min(n_chars) as least, max(n_chars) as most from documents group by 1""")
 def q_loc_bins(spark, d):
     return _t(spark, d, "documents").groupBy(curation.loc_bin("n_chars").alias("bin")).agg(F.count("*").alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
@@ -505,15 +447,6 @@ def q_length_summary(spark, d):
     return curation.length_summary(_t(spark, d, "documents"), "n_chars")
 
 
-@query("""with r as (select doc_id, lang, row_number() over (partition by lang order by md5(cast(doc_id as varchar)), doc_id) as r from documents) select doc_id, lang from r where r <= 5""")
-def q_stratified_hash(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id", "lang", F.md5(F.col("doc_id").cast("string")).alias("h"))
-    # The five least of each stratum, kept as such in every task before the shuffle.
-    from pyspark.sql import Window
-
-    return docs.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where("r <= 5").select("doc_id", "lang")
-
-
 @query("""select event_id, json_extract_string(props, '$.k') as k from events where event_id % 2 = 0 union all select event_id, json_extract_string(props, '$.k') from events where event_id % 2 = 1""")
 def q_json_recover(spark, d):
     """A field from strict JSON, from a fenced block, and from broken JSON."""

@@ -35,21 +35,20 @@ def q_edge_filter(spark, d):
     return graph.CodeGraph(e, e).relations("Flow", "src < 100 and dst % 2 = 1").select("src", "dst")
 
 
-@query("""select 'customer:' || c_custkey as id, 'nation:' || c_nationkey as file_id from customer where c_custkey % 9 = 0 and c_nationkey in (select n_nationkey from nation)""")
+@query("""select 'customer:' || c_custkey as id, 'nation:' || c_nationkey as file_id from customer where c_nationkey in (select n_nationkey from nation)""")
 def q_contained_in(spark, d):
     c = _t(spark, d, "customer").select(F.concat(F.lit("customer:"), "c_custkey").alias("id"), F.lit("Function").alias("kind"), F.concat(F.lit("n"), "c_nationkey").alias("file_path"), "c_custkey")
     n = _t(spark, d, "nation").select(F.concat(F.lit("nation:"), "n_nationkey").alias("id"), F.lit("File").alias("kind"), F.concat(F.lit("n"), "n_nationkey").alias("file_path"), F.lit(None).cast("long").alias("c_custkey"))
     u = c.union(n)
-    return graph.CodeGraph(u, u).contained_in(u.where("c_custkey % 9 = 0").select("id"))
+    return graph.CodeGraph(u, u).contained_in(u.where("kind = 'Function'").select("id"))
 
 
-@query("""with s as (select l_orderkey as f, l_suppkey as id, l_linenumber as a, l_linenumber + cast(l_quantity as int) % 4 as b, l_partkey as p from lineitem where l_orderkey % 50 = 0),
+@query("""with s as (select l_orderkey as f, l_suppkey as id, l_linenumber as a, l_linenumber + cast(l_quantity as int) % 4 as b, l_partkey as p from lineitem),
 u as (select distinct f || '/' || id || '/' || p || '/' || a as id, f, a, b from s)
 select x.id, count(*) as n from u x join u y on x.f = y.f and y.a >= x.a and y.b <= x.b and x.id <> y.id group by x.id""")
-def q_contains_functions(spark, d, every=50):
-    """Functions whose lines lie in another unit's lines (J19), in every
-    fiftieth file."""
-    li = _t(spark, d, "lineitem").where(f"l_orderkey % {every} = 0")
+def q_contains_functions(spark, d):
+    """Functions whose lines lie in another unit's lines."""
+    li = _t(spark, d, "lineitem")
     u = li.select(
         F.concat_ws("/", "l_orderkey", "l_suppkey", "l_partkey", "l_linenumber").alias("id"), F.lit("Function").alias("kind"), F.lit("f").alias("name"), F.lit(False).alias("is_external"), F.col("l_orderkey").alias("file_path"), F.col("l_linenumber").alias("line_start"), F.expr("l_linenumber + cast(l_quantity as int) % 4").alias("line_end")
     ).dropDuplicates(["id", "line_start", "line_end"])
@@ -63,11 +62,11 @@ def q_find_callers(spark, d):
     return found.select("id", "name", F.size("callers").cast("long").alias("callers"))
 
 
-@query("""select o_orderkey, count(*) as n, cast(sum(l_linenumber) as bigint) as s from orders join lineitem on l_orderkey = o_orderkey and l_linenumber between 2 and 5 where o_orderkey % 3 = 0 group by o_orderkey""")
+@query("""select o_orderkey, count(*) as n, cast(sum(l_linenumber) as bigint) as s from orders join lineitem on l_orderkey = o_orderkey and l_linenumber between 2 and 5 group by o_orderkey""")
 def q_interval_join(spark, d):
     """Points in ranges of their key, dealt to bins as well."""
     left = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
-    right = _t(spark, d, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", F.lit(3).alias("s"), F.lit(4).alias("e"))
+    right = _t(spark, d, "orders").select("o_orderkey", F.lit(3).alias("s"), F.lit(4).alias("e"))
     both = joins.interval_join(left, right, ["o_orderkey"], "l_linenumber", "s", "e", tolerance=1, bin_width=4)
     return both.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("s"))
 
@@ -106,20 +105,20 @@ def q_catalog_growth(spark, d):
     return catalogs.grew(pre, _t(spark, d, "nation").select(F.lit("sink").alias("role"))).select("role", "pre", "post", "grew")
 
 
-@query("""with t as (select lower(regexp_extract(text, '^([A-Za-z]+)', 1)) as t from benchmark where regexp_matches(text, '^[A-Za-z]')), w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as w from documents where lang = 'en' and n_chars < 800)
-select doc_id as name, bool_or(w in (select t from t)) as accepted from w group by doc_id""")
-def q_wrapper_gate(spark, d, where="lang = 'en' and n_chars < 800"):
-    """Short English documents that name one of the items' first words."""
-    docs = _t(spark, d, "documents").where(where)
+@query("""with t as (select lower(regexp_extract(text, '^([A-Za-z]+)', 1)) as t from benchmark where regexp_matches(text, '^[A-Za-z]')), w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as w from documents)
+select doc_id as name, doc_id in (select doc_id from w where w in (select t from t)) as accepted from documents""")
+def q_wrapper_gate(spark, d):
+    """Documents that name one of the items' first words."""
+    docs = _t(spark, d, "documents")
     cand = docs.select(F.col("doc_id").alias("name"), F.array().cast("array<string>").alias("callees"), F.lit("").alias("code"), F.col("text").alias("evidence"))
     sinks = _t(spark, d, "benchmark").select(F.regexp_extract("text", "^([A-Za-z]+)", 1).alias("pattern")).where("pattern <> ''")
     return catalogs.gate_wrappers(cand, sinks).select("name", "accepted")
 
 
-@query("""select event_id, lpad(cast(event_id % 90000 as varchar), 5, ' ') || '| ' || event_type || chr(10) || lpad(cast(event_id % 90000 + 1 as varchar), 5, ' ') || '| x' as t from events where event_id % 50 = 0""")
-def q_numbered_lines(spark, d, every=50):
-    """Two numbered lines for every fiftieth event."""
-    ev = _t(spark, d, "events").where(f"event_id % {every} = 0")
+@query("""select event_id, lpad(cast(event_id % 90000 as varchar), 5, ' ') || '| ' || event_type || chr(10) || lpad(cast(event_id % 90000 + 1 as varchar), 5, ' ') || '| x' as t from events""")
+def q_numbered_lines(spark, d):
+    """Two numbered lines for every event."""
+    ev = _t(spark, d, "events")
     return ev.select("event_id", numbered(F.array("event_type", F.lit("x")), F.col("event_id") % 90000).alias("t"))
 
 
@@ -138,12 +137,12 @@ def q_self_flow(spark, d):
 # -- scoring and audit --------------------------------------------------------
 
 
-@query("""with l as (select l_orderkey as c, l_linenumber as n, l_suppkey as s from lineitem where l_orderkey % 7 = 0), g as (select o_orderkey as c, unnest([2, 5]) as gt from orders where o_orderkey % 7 = 0)
+@query("""with l as (select l_orderkey as c, l_linenumber as n, l_suppkey as s from lineitem), g as (select o_orderkey as c, unnest([2, 5]) as gt from orders)
 select g.c, g.gt as gt_line, count(*) as n, min(s) as least from g join l on l.c = g.c and l.n between g.gt - 1 and g.gt + 1 group by g.c, g.gt""")
-def q_rows_on_line(spark, d, every=7):
-    """Rows on the lines of every seventh order."""
-    rows = _t(spark, d, "lineitem").where(f"l_orderkey % {every} = 0").select(F.col("l_orderkey").alias("c"), F.lit("a/f.py").alias("file"), F.col("l_linenumber").alias("line"), "l_suppkey")
-    truth = _t(spark, d, "orders").where(f"o_orderkey % {every} = 0").select(F.col("o_orderkey").alias("c"), F.lit("f.py").alias("gt_file"), F.explode(F.array(F.lit(2), F.lit(5))).alias("gt_line"))
+def q_rows_on_line(spark, d):
+    """Rows on the lines of orders."""
+    rows = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("c"), F.lit("a/f.py").alias("file"), F.col("l_linenumber").alias("line"), "l_suppkey")
+    truth = _t(spark, d, "orders").select(F.col("o_orderkey").alias("c"), F.lit("f.py").alias("gt_file"), F.explode(F.array(F.lit(2), F.lit(5))).alias("gt_line"))
     return audit.rows_on_line(rows, truth, ["c"], 1).groupBy("c", "gt_line").agg(F.count("*").alias("n"), F.min("l_suppkey").alias("least"))
 
 
@@ -175,15 +174,6 @@ def q_recovery_breakdown(spark, d):
     return audit.recovery_breakdown(rows, rows.where("label <> 'tp'"), fn)
 
 
-@query("""with t as (select conv_id as c, turn as k, md5(role) as h, row_number() over (partition by conv_id order by turn, role, text) as r from conversations), f as (select c, k, r, h <> first_value(h) over (partition by c order by r) as changed from t) select c as cve_id, count(*) filter (changed) as changed from f group by c""")
-def q_changed_vs_first(spark, d):
-    from pyspark.sql import Window
-
-    t = _t(spark, d, "conversations").withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))).withColumn("h", F.md5("role"))
-    base = t.where("r = 1").select(F.col("conv_id").alias("c"), F.col("h").alias("h0"))
-    return t.join(base, F.col("conv_id") == F.col("c")).groupBy(F.col("conv_id").alias("cve_id")).agg(F.count_if(F.col("h") != F.col("h0")).alias("changed"))
-
-
 @query("""select k, cast(sum(tp) as bigint) as tp, cast(sum(fp) as bigint) as fp, cast(sum(fn) as bigint) as fn from (select cast(extract(year from o_orderdate) % 4 as int) as k, case when o_orderstatus = 'F' then 1 else 0 end as tp, case when o_orderstatus = 'O' then 1 else 0 end as fp, case when o_orderstatus = 'P' then 1 else 0 end as fn from orders where o_custkey % 2 = 0) group by k""")
 def q_totals_by_k(spark, d):
     s = F.col("o_orderstatus")

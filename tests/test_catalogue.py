@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+import cartulary.plans.catalogue_flows
 import cartulary.plans.catalogue_more  # noqa: F401
 from cartulary.plans.catalogue import ORACLE, QUERIES
 
