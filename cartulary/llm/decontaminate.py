@@ -178,7 +178,7 @@ def _windows(base: DataFrame, items: DataFrame) -> DataFrame:
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark item (``text`` of
     ``benchmark``). All other rows stay as they are, repeated ones, null texts and
-    columns of any name as well."""
+    columns of any name as well. Equal texts are one document here."""
     inner, names, back = set_aside(docs)
     marked = inner.withColumn("h", F.xxhash64(names[text])).withColumn("g", F.xxhash64(F.lit(1), names[text]))
     # What a text holds does not depend on its row, so texts stand for rows.

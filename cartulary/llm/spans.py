@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SHIFT = 6
-_BLOCK = 1 << _SHIFT
+_BLOCK = 64
 
 
 def with_matches(df: DataFrame, text: str, name: str, pattern: str, guard: Column, group: int | None = None) -> DataFrame:
@@ -30,19 +29,16 @@ def with_matches(df: DataFrame, text: str, name: str, pattern: str, guard: Colum
     df = df.withColumn(seg, F.when(F.col(p), F.split(text, pattern, -1)).otherwise(empty))
     df = df.withColumn(m, F.when(F.col(p), F.regexp_extract_all(text, F.lit(pattern), 0)).otherwise(empty))
     df = df.withColumn(g, F.when(F.col(p), F.regexp_extract_all(text, F.lit(pattern), group)).otherwise(empty) if group else F.col(m))
-    # Lengths of each part and the match after it, summed before each match.
+    # Lengths of each part and the match after it, summed before each match. What
+    # is read once an element is bound to a variable first: the optimizer would
+    # put the expression of a column in its place, to be made anew each time.
     df = df.withColumn(n, F.expr(f"transform({m}, (x, i) -> length({seg}[i]) + length(x))"))
-    sums = f"transform(sequence(0, shiftright(greatest(size({n}) - 1, 0), {_SHIFT})), b -> aggregate(slice({n}, (b << {_SHIFT}) + 1, {_BLOCK}), 0, (a, x) -> a + x))"
-    df = df.withColumn(f"{n}b", F.expr(f"aggregate({sums}, array(0), (a, x) -> concat(a, array(element_at(a, -1) + x)))"))
-    start = f"{n}b[i >> {_SHIFT}] + aggregate(slice({n}, (i >> {_SHIFT} << {_SHIFT}) + 1, i & {_BLOCK - 1}), 0, (a, y) -> a + y) + length({seg}[i])"
-    df = df.withColumn(f"{n}s", F.expr(f"transform({m}, (x, i) -> {start})"))
-    df = df.withColumn(
-        name,
-        F.expr(
-            f"transform({m}, (x, i) -> named_struct('start', {n}s[i], 'end', {n}s[i] + length(x), 'value', x, 'group', {g}[i], 'lhs', right({seg}[i], 96), 'rhs', left({seg}[i + 1], 48)))"
-        ),
-    )
-    return df.drop(p, seg, m, g, n, f"{n}b", f"{n}s")
+    sums = f"transform(sequence(0, cast(greatest(size({n}) - 1, 0) div {_BLOCK} as int)), b -> aggregate(slice({n}, b * {_BLOCK} + 1, {_BLOCK}), 0, (a, x) -> a + x))"
+    before = f"aggregate({sums}, array(0), (a, x) -> concat(a, array(element_at(a, -1) + x)))"
+    start = f"q.b[cast(i div {_BLOCK} as int)] + aggregate(slice(q.n, i - i % {_BLOCK} + 1, i % {_BLOCK}), 0, (a, y) -> a + y) + length(q.seg[i])"
+    made = f"named_struct('start', {start}, 'end', {start} + length(x), 'value', x, 'group', q.g[i], 'lhs', right(q.seg[i], 96), 'rhs', left(q.seg[i + 1], 48))"
+    df = df.withColumn(name, F.expr(f"transform(array(named_struct('b', {before}, 'n', {n}, 'seg', {seg}, 'g', {g})), q -> transform({m}, (x, i) -> {made}))[0]"))
+    return df.drop(p, seg, m, g, n)
 
 
 def joined(spans: str, kinds: list[str]) -> str:

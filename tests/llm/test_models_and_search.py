@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -307,3 +308,98 @@ def test_interleaving(spark, n):
     for s in ("hot", "b", None, "c"):
         own = Counter(r.shard for r in out if r.source == s)
         assert max((own[k] for k in range(16)), default=0) - min((own[k] for k in range(16)), default=0) <= 2
+
+
+def weighted_leaks(docs, items, threshold=0.8):
+    """All windows of an item's size, by the weighted share of its shingles."""
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    runs = lambda v, k: [tuple(v[a : a + k]) for a in range(len(v) - k + 1)]
+    texts, out = {(d, t) for d, t in docs}, {}
+    held = {key: {k: set(runs(words(key[1]), k)) for k in range(1, 6)} for key in texts}
+    for i, item in items:
+        v = words(item)
+        k = min(5, len(v))
+        if not v:
+            continue
+        weight = {g: 1 / math.log2(1 + max(1, sum(g in h[k] for h in held.values()))) for g in set(runs(v, k))}
+        for d, t in texts:
+            w = words(t)
+            for s in range(len(w)):
+                share = sum(weight[g] for g in set(runs(w[s : s + len(v)], k)) if g in weight) / sum(weight.values())
+                if share >= threshold - 1e-9:
+                    out[d, i] = max(out.get((d, i), 0), share)
+    return out
+
+
+def test_leaks_equal_all_windows_by_weight(spark):
+    """Insertions, deletions and cut ends around the threshold, with shingles
+    of unequal weight; near in bits or not."""
+    from cartulary.llm.decontaminate import RADIUS, find_leaks, remove_contaminated
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    some = lambda n: [word() for _ in range(n)]
+    items = [(i, some(n)) for i, n in enumerate([32, 32, 15, 60, 24, 6, 3])] + [(9, [])]
+    docs = []
+    for d in range(140):
+        _, v = items[d % 7]
+        n, w = len(v), list(v)
+        cut, how = rng.randrange(1, max(2, n // 3)), d % 6
+        if how == 0:
+            w[n // 2 : n // 2] = some(2)
+        elif how == 1:
+            w = w[: n - cut]
+        elif how == 2:
+            w = w[cut:]
+        elif how == 3:
+            w[rng.randrange(n)] = word()
+        elif how == 4:
+            del w[rng.randrange(n)]
+        docs.append((d, " ".join(some(rng.randrange(12)) + w + some(rng.randrange(12)))))
+    docs += [(300, " ".join(items[0][1] * 60)), (301, None), (302, ""), (302, docs[5][1]), (303, docs[5][1]), (303, docs[5][1]), (None, docs[6][1])]
+    items = [(i, " ".join(v)) for i, v in items] + [(10, None)]
+    table = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, distance int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = weighted_leaks(docs, items)
+    found = {(r.doc_id, r.item_id): r for r in find_leaks(table, bench).collect()}
+    assert set(found) == set(want) and any(r.distance > RADIUS for r in found.values()) and len(want) < 147
+    for key, r in found.items():
+        assert r.similarity <= want[key] + 1e-5 and (r.distance <= RADIUS or r.similarity >= want[key] - 1e-5)
+    # Removal looks at distinct texts, each of which counts once.
+    texts = list({t for _, t in docs})
+    held = {texts[n] for n, _ in weighted_leaks(list(enumerate(texts)), items)}
+    left = remove_contaminated(table, bench).collect()
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in left))) == sorted(repr((d, t)) for d, t in docs if t not in held)
+    assert find_leaks(table.where("false"), bench).count() == 0 and find_leaks(table, bench.where("false")).count() == 0
+
+
+HIDDEN = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+absent = spark.range(1).mapInArrow(lambda b: (x for x in b if __import__("importlib").util.find_spec("cartulary") is None), "id long").count()
+assert absent == 1, "workers see the package"
+from cartulary.llm import queries
+for name in ("op3_learned_partitions", "op6_ngram_jaccard", "op9_gear_chunks", "op10_kneser_ney_language"):
+    assert queries.queries()[name](spark, {tables!r}).count() > 0, name
+print("fine")
+"""
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "of", "the", "und", "der"], 60)) for _ in range(40)]
+    pq.write_table(pa.table({"doc_id": list(range(41)), "text": [*texts, texts[0]], "lang": ["en"] * 41}), tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"vec_id": list(range(200)), "embedding": rng.normal(size=(200, 4)).tolist()}), tmp_path / "embeddings.parquet")
+    code = HIDDEN.format(repo=str(Path(__file__).parents[2]), tables=str(tmp_path))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=400)
+    assert "fine" in done.stdout, done.stderr[-2000:]

@@ -1,6 +1,7 @@
 """Personal data and secrets against Python's regular expressions."""
 
 import hashlib
+import math
 import re
 
 import pytest
@@ -117,3 +118,58 @@ def test_empty_tables(spark):
 def test_columns_stay(docs):
     out = find_pii(docs.withColumn("spans", F.lit(1)).withColumn("extra", F.lit("e")))
     assert {"doc_id", "text", "extra", "base", "spans"} == set(out.columns)
+
+
+def all_entropy_spans(text):
+    """Runs of overlapping windows over the threshold, candidate by candidate."""
+    from collections import Counter
+
+    from cartulary.llm.secrets import ALLOWED, CLASSES, WINDOW
+
+    found = set()
+    for symbols, bits in CLASSES.values():
+        for m in re.finditer(f"[{re.escape(symbols)}]{{{WINDOW},}}", text or ""):
+            value, covered = m.group(), []
+            if any(re.search(p, value) for p in ALLOWED):
+                continue
+            for s in range(len(value) - WINDOW + 1):
+                counts = Counter(value[s : s + WINDOW]).values()
+                if -sum(c / WINDOW * math.log2(c / WINDOW) for c in counts) >= bits - 1e-9:
+                    if covered and s <= covered[-1][1]:
+                        covered[-1] = (covered[-1][0], s + WINDOW)
+                    else:
+                        covered.append((s, s + WINDOW))
+            found |= {(m.start() + a, m.start() + b) for a, b in covered}
+    base = [(a, b) for a, _, b in base_secrets(text)]
+    found = {(a, b) for a, b in found if not any(x <= a and b <= y for x, y in base)}
+    return {(a, b) for a, b in found if not any((x, y) != (a, b) and x <= a and b <= y for x, y in found)}
+
+
+def test_entropy_equals_a_plain_scan(spark):
+    import random
+
+    rng = random.Random(12)
+    every = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+    pieces = [
+        lambda: "".join(rng.choice(every) for _ in range(rng.randrange(10, 90))),
+        lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.randrange(10, 60))),
+        lambda: "".join(rng.choice("0123456789abcdefABCDEF") for _ in range(rng.randrange(20, 60))),
+        lambda: rng.choice(["aaaa", "ab-", "x/", "12"]) * rng.randrange(1, 40),
+        lambda: "-".join(rng.choice(["alpha", "Beta", "GAMMA", "getElementById"]) for _ in range(rng.randrange(1, 9))),
+        lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(rng.randrange(20, 50))),
+        lambda: f"token = {rng.randrange(10**9)}{rng.choice('abc')}",
+    ]
+    texts = [rng.choice(["", " "]).join(rng.choice(pieces)() for _ in range(rng.randrange(1, 7))) for _ in range(250)]
+    docs = spark.createDataFrame([*enumerate(texts), (900, None), (901, "")], "doc_id long, text string").withColumn("__text", F.lit("own")).withColumn("secret_spans", F.lit(1))
+    got = {r.doc_id: r for r in scan_secrets(docs).collect()}
+    assert len(got) == 252 and {r["__text"] for r in got.values()} == {"own"} and not got[900].secret_spans and not got[901].secret_spans
+    spans = {i: all_entropy_spans(t) for i, t in enumerate(texts)}
+    assert sum(map(bool, spans.values())) > 60
+    for i in spans:
+        assert {(s.start, s.end) for s in got[i].secret_spans if s.kind == 3} == spans[i], texts[i]
+
+
+def test_secrets_in_very_long_strings(spark):
+    texts = ["a-" * 200_000, "1-" * 200_000, "ab/" * 200_000, "Ab" * 100_000, "x" * 300_000, "password=" * 50_000, "+1 (" * 50_000, "a@b." * 50_000, "1.2.3.4." * 30_000, "1 2 " * 100_000]
+    docs = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
+    assert len(scan_secrets(docs).collect()) == len(texts) == len(find_pii(docs).collect())
