@@ -33,7 +33,8 @@ class CodeGraph:
     # -- lookups ----------------------------------------------------------
 
     def sql(self, text: str) -> DataFrame:
-        """Run SQL over the views ``units``, ``edges`` and the facts."""
+        """Run SQL over the views ``units``, ``edges`` and the facts (S02). Spark
+        runs a failed task again, so no call is repeated here."""
         for name in ("units", "edges", "unit_facts", "relation_facts", "meta"):
             if (table := getattr(self, name)) is not None:
                 table.createOrReplaceTempView(name)

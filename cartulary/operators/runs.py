@@ -92,6 +92,13 @@ def seeded_subset(df: DataFrame, key: str, n: int, seed: int = SEED) -> DataFram
     return placed.join(places, "__at", "left_semi").drop("__at").orderBy("pos")
 
 
+def spot_check(records: DataFrame, key: str, share: int = 10, seed: int = SEED) -> DataFrame:
+    """One record in ``share`` by a seeded choice, one at least, to be reviewed
+    by hand (T08)."""
+    n = max(1, records.count() // share)
+    return seeded_subset(records, key, n, seed).withColumn("manual_review_status", F.lit("pending"))
+
+
 def split(df: DataFrame, key: str, fraction: float = TRAIN_FRACTION, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """Train and validation cases (T06): the first keeps the shuffled order.
     The driver shuffles places, a number a case; it sees no rows."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.text import human_size
+from .writers import exists
 
 IGNORED = ("__pycache__", "venv", "node_modules")
 
@@ -82,14 +83,22 @@ PARSED = "id string, kind string, code string, name string, file_path string, li
 def parse_python(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Units, call and containment edges, and flow edges of Python sources.
 
+    Besides files, classes, functions, parameters, calls, field accesses and
+    identifiers there are units of modules, statements, comments, variables (at
+    their first assignment; a function's own are local, a module's global) and
+    of the other expressions that operators and displays make (S08). A module
+    has no code of its own: it is its file's.
     Each file is parsed on its own, so calls resolve within the file by name.
     Flow edges run from a name's or attribute's reading to the assignment, the
     call or the return it is part of, and from assignments and parameters to
-    later readings. Files with syntax errors give their file unit only.
+    later readings. Files with syntax errors, or nested
+    beyond the parser's stack, give their file unit only.
     """
 
     def parse(batches):
         import ast
+        import io
+        import tokenize
 
         import pandas as pd
 
@@ -98,76 +107,118 @@ def parse_python(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             out = []
 
             def unit(kind, node, name, path, out=out):
-                uid = f"{path}:{kind}:{node.lineno}:{node.col_offset}:{name}"
-                out.append({"id": uid, "kind": kind, "code": ast.unparse(node), "name": name, "file_path": path, "line_start": node.lineno, "line_end": node.end_lineno, "column_start": node.col_offset, "is_external": False, "is_synthetic": False})
+                # Chained calls begin at one place, so the end is part of the id.
+                uid = f"{path}:{kind}:{node.lineno}:{node.col_offset}:{node.end_lineno}:{node.end_col_offset}:{name}"
+                return plain(uid, kind, ast.unparse(node), name, path, node.lineno, node.end_lineno, node.col_offset)
+
+            def plain(uid, kind, code, name, path, first, last, column, out=out):
+                out.append({"id": uid, "kind": kind, "code": code, "name": name, "file_path": path, "line_start": first, "line_end": last, "column_start": column, "is_external": False, "is_synthetic": False})
                 return uid
 
+            def variables(node, kind, path, seen, outside):
+                """Units of the names a scope assigns first, and of the scopes below."""
+                for child in ast.iter_child_nodes(node):
+                    if isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef | ast.Lambda | ast.ListComp | ast.SetComp | ast.DictComp | ast.GeneratorExp):
+                        declared = {n for d in ast.walk(child) if isinstance(d, ast.Global | ast.Nonlocal) for n in d.names}
+                        variables(child, "LocalVariable", path, set(), declared)
+                    elif isinstance(child, ast.ClassDef):
+                        variables(child, None, path, set(), set())
+                    else:
+                        if isinstance(child, ast.Name) and isinstance(child.ctx, ast.Store) and kind and child.id not in seen | outside:
+                            seen.add(child.id)
+                            unit(kind, child, child.id, path)
+                        variables(child, kind, path, seen, outside)
+
+            def comments(text, path):
+                try:
+                    for t in tokenize.generate_tokens(io.StringIO(text).readline):
+                        if t.type == tokenize.COMMENT:
+                            plain(f"{path}:Comment:{t.start[0]}:{t.start[1]}", "Comment", t.string, t.string.lstrip("# "), path, t.start[0], t.end[0], t.start[1])
+                except (tokenize.TokenError, SyntaxError):
+                    return
+
             def edge(a, b, kind, code=None, line=None, out=out):
                 out.append({"src": a, "dst": b, "edge": kind, "callsite_code": code, "callsite_line": line})
 
             for path, text in zip(batch["file_path"], batch["text"], strict=True):
-                file_id = f"synthetic:file:{path}"
+                file_id, begin = f"synthetic:file:{path}", len(out)
                 out.append({"id": file_id, "kind": "File", "code": text, "name": path, "file_path": path, "line_start": 1, "line_end": text.count("\n") + 1, "is_external": False, "is_synthetic": True})
                 try:
                     tree = ast.parse(text)
-                except (SyntaxError, ValueError):
+                except (SyntaxError, ValueError, RecursionError, MemoryError):
                     continue
-                functions = {}
-
-                def walk(node, owner, scope, path=path, functions=functions, file_id=file_id):
-                    """Emit units below a node; return ids whose value flows out of it."""
-                    if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
-                        uid = unit("Function", node, node.name, path)
-                        functions[node.name] = uid
-                        edge(uid, file_id, "ContainedIn")
-                        inner = dict(scope)
-                        for a in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]:
-                            inner[a.arg] = [unit("Parameter", a, a.arg, path)]
-                        for child in node.body:
-                            walk(child, uid, inner)
-                        return []
-                    if isinstance(node, ast.ClassDef):
-                        uid = unit("Class", node, node.name, path)
-                        for child in node.body:
-                            walk(child, owner, dict(scope))
-                        return [uid]
-                    if isinstance(node, ast.Call):
-                        name = node.func.attr if isinstance(node.func, ast.Attribute) else getattr(node.func, "id", "")
-                        uid = unit("Call", node, name, path)
-                        edge(owner, name, "calls-by-name", ast.unparse(node)[:200], node.lineno)
-                        for child in ast.iter_child_nodes(node):
-                            for source in walk(child, owner, scope):
+                try:
+                    functions, inner = {}, set()
+                    last = text.count("\n") + 1
+                    plain(f"{path}:Module", "Module", None, path.removesuffix(".py").replace("/", "."), path, 1, last, 0)
+                    variables(tree, "GlobalVariable", path, set(), set())
+                    comments(text, path)
+                    for node in ast.walk(tree):
+                        if isinstance(node, ast.stmt) and not isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
+                            unit("Statement", node, type(node).__name__, path)
+                        elif isinstance(node, ast.expr) and not isinstance(node, ast.Call | ast.Attribute | ast.Name | ast.Constant | ast.Slice | ast.FormattedValue | ast.JoinedStr):
+                            if id(node) not in inner:
+                                unit("Expression", node, type(node).__name__, path)
+                            # A chain of operators is one expression.
+                            if isinstance(node, ast.BinOp) and isinstance(node.left, ast.BinOp):
+                                inner.add(id(node.left))
+
+                    def walk(node, owner, scope, path=path, functions=functions, file_id=file_id):
+                        """Emit units below a node; return ids whose value flows out of it."""
+                        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
+                            uid = unit("Function", node, node.name, path)
+                            functions[node.name] = uid
+                            edge(uid, file_id, "ContainedIn")
+                            inner = dict(scope)
+                            for a in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]:
+                                inner[a.arg] = [unit("Parameter", a, a.arg, path)]
+                            for child in node.body:
+                                walk(child, uid, inner)
+                            return []
+                        if isinstance(node, ast.ClassDef):
+                            uid = unit("Class", node, node.name, path)
+                            for child in node.body:
+                                walk(child, owner, dict(scope))
+                            return [uid]
+                        if isinstance(node, ast.Call):
+                            name = node.func.attr if isinstance(node.func, ast.Attribute) else getattr(node.func, "id", "")
+                            uid = unit("Call", node, name, path)
+                            edge(owner, name, "calls-by-name", ast.unparse(node)[:200], node.lineno)
+                            for child in ast.iter_child_nodes(node):
+                                for source in walk(child, owner, scope):
+                                    edge(source, uid, "flow")
+                            return [uid]
+                        if isinstance(node, ast.Attribute):
+                            uid = unit("FieldAccess", node, node.attr, path)
+                            for source in walk(node.value, owner, scope):
+                                edge(source, uid, "flow")
+                            return [uid]
+                        if isinstance(node, ast.Name) and isinstance(node.ctx, ast.Load):
+                            uid = unit("Identifier", node, node.id, path)
+                            for source in scope.get(node.id, []):
                                 edge(source, uid, "flow")
-                        return [uid]
-                    if isinstance(node, ast.Attribute):
-                        uid = unit("FieldAccess", node, node.attr, path)
-                        for source in walk(node.value, owner, scope):
-                            edge(source, uid, "flow")
-                        return [uid]
-                    if isinstance(node, ast.Name) and isinstance(node.ctx, ast.Load):
-                        uid = unit("Identifier", node, node.id, path)
-                        for source in scope.get(node.id, []):
-                            edge(source, uid, "flow")
-                        return [uid]
-                    if isinstance(node, ast.Assign | ast.AugAssign | ast.AnnAssign) and node.value is not None:
-                        sources = walk(node.value, owner, scope)
-                        targets = node.targets if isinstance(node, ast.Assign) else [node.target]
-                        for target in targets:
-                            for name in (n for n in ast.walk(target) if isinstance(n, ast.Name)):
-                                scope[name.id] = sources + (scope.get(name.id, []) if isinstance(node, ast.AugAssign) else [])
-                        return sources
-                    found = []
-                    for child in ast.iter_child_nodes(node):
-                        found += walk(child, owner, scope)
-                    return found if isinstance(node, ast.expr) else []
-
-                walk(tree, file_id, {})
-                for name, uid in functions.items():
-                    edge(name, uid, "names")
-                    out[-1]["file_path"] = path
-                for row in out:
-                    if row.get("edge") == "calls-by-name" and "file_path" not in row:
-                        row["file_path"] = path
+                            return [uid]
+                        if isinstance(node, ast.Assign | ast.AugAssign | ast.AnnAssign) and node.value is not None:
+                            sources = walk(node.value, owner, scope)
+                            targets = node.targets if isinstance(node, ast.Assign) else [node.target]
+                            for target in targets:
+                                for name in (n for n in ast.walk(target) if isinstance(n, ast.Name)):
+                                    scope[name.id] = sources + (scope.get(name.id, []) if isinstance(node, ast.AugAssign) else [])
+                            return sources
+                        found = []
+                        for child in ast.iter_child_nodes(node):
+                            found += walk(child, owner, scope)
+                        return found if isinstance(node, ast.expr) else []
+
+                    walk(tree, file_id, {})
+                    for name, uid in functions.items():
+                        edge(name, uid, "names")
+                        out[-1]["file_path"] = path
+                    for row in out[begin:]:
+                        if row.get("edge") == "calls-by-name" and "file_path" not in row:
+                            row["file_path"] = path
+                except RecursionError:
+                    del out[begin + 1 :]
             yield pd.DataFrame(out, columns=cols).astype(object).where(lambda d: d.notna(), None)
 
     rows = files.select("file_path", "text").mapInPandas(parse, PARSED)
@@ -193,6 +244,20 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.RESULTS).option("multiLine", "true").json(path)
 
 
+def resume_results(spark: SparkSession, path: str) -> DataFrame:
+    """The results an earlier run left, to go on from: no rows where it left
+    none, or no array of cases (S16)."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schemas.RESULTS)
+    return read_results(spark, path).where("cve_id is not null")
+
+
+def left_to_run(planned: DataFrame, done: DataFrame, skip: DataFrame | None = None, key: str = "cve_id") -> DataFrame:
+    """Planned cases that no earlier row holds and nobody asked to skip."""
+    out = planned.join(done.select(key).distinct(), key, "left_anti")
+    return out if skip is None else out.join(skip.select(key).distinct(), key, "left_anti")
+
+
 def read_json_tree(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """All JSON files below a folder; malformed ones are left out."""
     return spark.read.schema(schema).option("recursiveFileLookup", "true").option("multiLine", "true").option("mode", "DROPMALFORMED").json(root)

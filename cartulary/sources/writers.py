@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
+
 PUBLIC = ("cve_id", "ghsa_id", "package", "repo_url", "vulnerable_commit", "patch_commit", "patch_diff_path", "vulnerable_file", "vulnerable_lines", "sink_api", "loc", "cvss_score", "cvss_severity", "source_db", "taint_hops", "notes", "manual_review_status")
 
 
@@ -15,6 +17,11 @@ def append_results(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("cve_id").parquet(path)
 
 
+def rewrite_results(rows: DataFrame, path: str) -> None:
+    """Rewrite the folders of the cases in ``rows`` and leave the others."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cve_id").parquet(path)
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """CSV with its header even where there are no rows (K02); nested columns
     as JSON."""
@@ -49,6 +56,22 @@ def load_facts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def dispatch_facts(tags: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Serialized facts (column ``fact``, JSON) as unit facts and relation facts
+    by their ``__kind__`` (K06, F06). A fact of another kind, or of none, is an
+    error when the rows are read."""
+    kind, name = F.get_json_object("fact", "$.__kind__"), F.get_json_object("fact", "$.__class__")
+    wrong = F.raise_error(F.concat(F.lit("unknown kind of fact: "), F.coalesce(kind, F.lit("none"))))
+    known = tags.where("fact is not null").select("fact", name.alias("fact_class"), F.when(kind.isin("unit", "relation"), kind).otherwise(wrong).alias("__k"))
+
+    def of(which: str, schema: str) -> DataFrame:
+        rows = known.where(F.col("__k") == which).select(F.col("fact_class").alias("__c"), F.from_json("fact", schema).alias("f"))
+        names = [c.split()[0] for c in schema.split(", ")]
+        return rows.select(*[F.col("__c" if c == "fact_class" else f"f.{c}").alias(c) for c in names])
+
+    return of("unit", schemas.UNIT_FACTS), of("relation", schemas.RELATION_FACTS)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

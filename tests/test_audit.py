@@ -7,7 +7,8 @@ from cartulary import schemas
 from cartulary.operators import audit, runs
 from cartulary.operators.curation import old_hunks
 from cartulary.sources.readers import read_results
-from cartulary.sources.writers import append_results, cached, fact_row, markdown, prebuild_status, save_facts, seed_key, write_audit
+from cartulary.sources import readers
+from cartulary.sources.writers import append_results, cached, dispatch_facts, fact_row, markdown, prebuild_status, rewrite_results, save_facts, seed_key, write_audit
 
 FLOW = "arrival long, sink_file string, sink_line string, sink_name string, sink_code string, source_file string, source_line string, source_code string, recovery_kind string"
 
@@ -155,3 +156,33 @@ def test_hunks(spark):
     df = spark.createDataFrame([("c", diff), ("e", "")], schemas.DIFFS)
     assert sorted((r.path, r.start, r.end) for r in old_hunks(df).collect()) == [("o.py", 5, 5), ("src/app.py", 10, 15), ("src/app.py", 42, 44)]
     assert old_hunks(df).where(F.col("case_id") == "e").count() == 0
+
+
+def test_resume_and_rewrite(spark, tmp_path):
+    path = tmp_path / "results.json"
+    assert readers.resume_results(spark, str(path)).count() == 0
+    path.write_text('[{"cve_id": "c0", "loc": 3}, {"cve_id": "c1"}]')
+    done = readers.resume_results(spark, str(path))
+    planned = spark.createDataFrame([(f"c{i}",) for i in range(5)], "cve_id string")
+    skip = spark.createDataFrame([("c3",)], "cve_id string")
+    assert sorted(r.cve_id for r in readers.left_to_run(planned, done, skip).collect()) == ["c2", "c4"]
+    path.write_text("[broken")
+    assert readers.resume_results(spark, str(path)).count() == 0
+    rows = lambda *r: spark.createDataFrame(list(r), "cve_id string, n int")
+    rewrite_results(rows(("a", 1), ("b", 1)), str(tmp_path / "table"))
+    rewrite_results(rows(("b", 2), ("c", 2)), str(tmp_path / "table"))
+    assert {(r.cve_id, r.n) for r in spark.read.parquet(str(tmp_path / "table")).collect()} == {("a", 1), ("b", 2), ("c", 2)}
+    cases = spark.createDataFrame([(f"c{i:02}", i) for i in range(25)], "cve_id string, pos int")
+    drawn = runs.spot_check(cases, "cve_id").collect()
+    assert len(drawn) == 2 and {r.manual_review_status for r in drawn} == {"pending"}
+    assert runs.spot_check(cases.limit(3), "cve_id").count() == 1
+
+
+def test_fact_dispatch(spark):
+    facts = ['{"__kind__": "unit", "__class__": "Note", "unit_id": "u1", "name": "n"}', '{"__kind__": "relation", "__class__": "Edge", "src": "a", "dst": "b", "seq": 2}']
+    units, relations = dispatch_facts(spark.createDataFrame([(f,) for f in [*facts, None]], "fact string"))
+    assert [(r.unit_id, r.fact_class, r.name) for r in units.collect()] == [("u1", "Note", "n")]
+    assert [(r.src, r.dst, r.seq, r.fact_class) for r in relations.collect()] == [("a", "b", 2, "Edge")]
+    for bad in ('{"__kind__": "other"}', "{}"):
+        with pytest.raises(Exception, match="unknown kind of fact"):
+            dispatch_facts(spark.createDataFrame([(bad,)], "fact string"))[0].collect()

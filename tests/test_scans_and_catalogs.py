@@ -191,3 +191,18 @@ def test_text_cuts(spark):
     files = spark.createDataFrame([("a.py", "l1\nl2\nl3")], "file_path string, text string")
     f = spark.createDataFrame([("k", "a.py", 2, 2), ("k", "a.py", 3, 3)], "k string, file_path string, line_start int, line_end int")
     assert scans.seed_snippets(f, files, ["k"], 0).first().snippet == "    2| l2\n    3| l3"
+
+
+def test_all_unit_kinds(spark):
+    code = "# top\nimport os\nlimit = 1 + 2 + 3\n\nclass A:\n    size = 4\n\ndef f(a):\n    global limit\n    limit = 2\n    b = [x for x in a]  # all\n    b = a\n    return q.one(a).one(b)\n"
+    deep = "x = " + " + ".join(["y"] * 5000) + "\n"
+    units = readers.parse_python(spark.createDataFrame([("m.py", code), ("deep.py", deep)], "file_path string, text string"))[0]
+    found = {}
+    for r in units.where("file_path = 'm.py'").collect():
+        found.setdefault(r.kind, []).append((r.name, r.line_start))
+    assert sorted(found["LocalVariable"]) == [("b", 11), ("x", 11)] and found["GlobalVariable"] == [("limit", 3)]
+    assert found["Module"] == [("m", 1)] and sorted(found["Comment"]) == [("all", 11), ("top", 1)]
+    assert sorted(found["Expression"]) == [("BinOp", 3), ("ListComp", 11)]
+    assert sorted(n for n, _ in found["Statement"]) == ["Assign", "Assign", "Assign", "Assign", "Assign", "Global", "Import", "Return"]
+    assert [n for n, _ in found["Call"]] == ["one", "one"]
+    assert units.where("file_path = 'deep.py' and kind = 'File'").count() == 1
