@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import code_lines, human_size, is_synthetic, regex_union
 from ..operators import audit, catalogs, curation, graph, joins, runs, scans, scoring
+from ..sources import readers, writers
 from .catalogue import _FLOW_SQL, _LABEL_CASE, _LABEL_SQL, ORACLE, _findings, _sparse, _t, query
 
 # -- flows --------------------------------------------------------------------
@@ -377,3 +378,24 @@ def q_human_size(spark, d):
 def q_only(spark, d):
     """Cases named by hand."""
     return runs.only(_t(spark, d, "nation"), [1, 3], "n_regionkey").select("n_nationkey")
+
+
+@query("""select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem where l_quantity >= 40) and o_custkey not in (select c_custkey from customer where c_nationkey < 5)""")
+def q_left_to_run(spark, d):
+    """Planned cases that no earlier row holds and nobody asked to skip."""
+    planned = _t(spark, d, "orders").select(F.col("o_orderkey").alias("cve_id"), "o_custkey")
+    done = _t(spark, d, "lineitem").where("l_quantity >= 40").select(F.col("l_orderkey").alias("cve_id"))
+    skip = planned.join(_t(spark, d, "customer").where("c_nationkey < 5"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+    return readers.left_to_run(planned, done, skip).select(F.col("cve_id").alias("o_orderkey"))
+
+
+@query("""select 'unit' as which, 'Segment' as fact_class, cast(c_custkey as varchar) as at, c_mktsegment as name, null as seq from customer where c_custkey % 3 <> 0
+union all select 'relation', 'Order', cast(o_orderkey as varchar), cast(o_custkey as varchar), o_orderkey from orders""")
+def q_fact_dispatch(spark, d):
+    """Serialized facts told apart by the kind and class they name."""
+    kind = lambda k, c: (F.lit(k).alias("__kind__"), F.lit(c).alias("__class__"))
+    units = _t(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.to_json(F.struct(*kind("unit", "Segment"), F.col("c_custkey").cast("string").alias("unit_id"), F.col("c_mktsegment").alias("name"))).alias("fact"))
+    relations = _t(spark, d, "orders").select(F.to_json(F.struct(*kind("relation", "Order"), F.col("o_orderkey").cast("string").alias("src"), F.col("o_custkey").cast("string").alias("dst"), F.col("o_orderkey").alias("seq"))).alias("fact"))
+    one, two = writers.dispatch_facts(units.union(relations))
+    one = one.select(F.lit("unit").alias("which"), "fact_class", F.col("unit_id").alias("at"), "name", F.lit(None).cast("long").alias("seq"))
+    return one.union(two.select(F.lit("relation"), "fact_class", "src", "dst", "seq"))
