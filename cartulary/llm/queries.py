@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, ngram_join
+from . import cover_tree, divergence, fill_in_middle, line_dedup, ngram_join
 from .common import documents
 
 
@@ -86,8 +86,26 @@ def op10_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_bootstrapped_pii, op3_learned_partitions, op4_three_line_windows, op5_stratified_interleaving, op6_ngram_jaccard, op7_simhash_decontamination, op8_entropy_secrets, op9_gear_chunks, op10_kneser_ney_language)}
-ORACLE: dict[str, str] = {"op4_three_line_windows": line_dedup.ORACLE, "op6_ngram_jaccard": ngram_join.ORACLE}
+def op11_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cover_tree import near_vectors
+
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select("vec_id", "n_links", "component_id", "kept")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence_audit
+
+    return divergence_audit(documents(spark, sf_dir))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_in_middle import fill_in_middle_digest
+
+    return fill_in_middle_digest(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_bootstrapped_pii, op3_learned_partitions, op4_three_line_windows, op5_stratified_interleaving, op6_ngram_jaccard, op7_simhash_decontamination, op8_entropy_secrets, op9_gear_chunks, op10_kneser_ney_language, op11_cover_tree, op12_source_divergence, op13_fill_in_middle)}
+ORACLE: dict[str, str] = {"op4_three_line_windows": line_dedup.ORACLE, "op6_ngram_jaccard": ngram_join.ORACLE, "op11_cover_tree": cover_tree.ORACLE, "op12_source_divergence": divergence.ORACLE, "op13_fill_in_middle": fill_in_middle.ORACLE}
 
 
 def queries() -> dict:
