@@ -230,17 +230,19 @@ def _assigned(rows: DataFrame, centres: DataFrame, keep: bool = False) -> DataFr
 
 
 def _cell_pairs(tops: list[DataFrame], limit: float) -> DataFrame:
-    """Pairs of cells (``a`` <= ``b``) that their covering radii do not rule out:
+    """Pairs of cells (``a``, ``b``), each once, that their covering radii do not rule out:
     from each tree's root with itself, a level of children at a time."""
     pairs = tops[0].select(F.col("cell").alias("a"), F.col("cell").alias("b"), *[F.col(c).alias(f"{s}_{c}") for s in "ab" for c in ("centre", "radius")])
     pairs = pairs.withColumns({f"{s}_centre": F.col(f"{s}_centre").cast("array<double>") for s in "ab"})
     for nodes in tops[1:]:
+        # Children of one node meet in both orders, those of two nodes in one.
+        pairs = pairs.withColumn("own", F.col("a") == F.col("b"))
         for s in "ab":
             child = nodes.select(F.col("parent").alias(s), F.col("cell").alias("c"), F.col("centre").alias("c_centre"), F.col("radius").alias("c_radius"))
             pairs = pairs.join(child, s, "left").withColumns({s: F.coalesce("c", s), f"{s}_centre": F.coalesce("c_centre", f"{s}_centre"), f"{s}_radius": F.coalesce("c_radius", f"{s}_radius")}).drop("c", "c_centre", "c_radius")
         apart = F.expr("sqrt(aggregate(zip_with(a_centre, b_centre, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x))")
-        near = (F.col("a") < F.col("b")) & (apart <= F.col("a_radius") + F.col("b_radius") + F.lit(limit + SLACK))
-        pairs = cut(pairs.where((F.col("a") == F.col("b")) | near), "node-pairs")
+        near = (~F.col("own") | (F.col("a") < F.col("b"))) & (apart <= F.col("a_radius") + F.col("b_radius") + F.lit(limit + SLACK))
+        pairs = cut(pairs.where((F.col("a") == F.col("b")) | near).drop("own"), "node-pairs")
     return pairs.select("a", "b")
 
 
