@@ -155,7 +155,8 @@ def dedup_flows(flows: DataFrame) -> DataFrame:
     sources and all kinds are listed. Results come with ``first_arrival``,
     the order of the findings.
     """
-    kind = F.when(F.col("recovery_kind").isin(*PRIORITY), F.col("recovery_kind")).otherwise("taint")
+    named = F.lower(F.regexp_replace("recovery_kind", r"(?U)^\s+|\s+$", ""))
+    kind = F.when(named.isin(*PRIORITY), named).otherwise("taint")
     prio = F.create_map(*[x for k, v in PRIORITY.items() for x in (F.lit(k), F.lit(v))])[kind]
     norm = F.substring(F.trim(F.regexp_replace(F.coalesce("sink_code", F.lit("")), r"(?U)\s+", " ")), 1, 120)
     line = F.coalesce(F.expr("try_cast(sink_line as int)"), F.lit(0))
@@ -184,8 +185,9 @@ def dedup_flows(flows: DataFrame) -> DataFrame:
     return out.withColumns(
         {
             "rule_id": F.when(taint, "joern-taint-reachability").otherwise(F.concat(F.lit("joern-"), "recovery_kind", F.lit("-recovery"))),
-            "message": F.when(F.col("recovery_kind") == "direct_sink", F.concat(F.lit("Direct sink call: "), F.coalesce("sink_name", F.lit("")))).otherwise(
-                F.concat(F.lit("Taint flow: "), F.coalesce("source_code", F.lit("")), F.lit(" -> "), F.coalesce("sink_name", F.lit("")))
+            # A source tells a flow from a direct call, whatever its kind.
+            "message": F.when(F.coalesce("source_code", F.lit("")) == "", F.concat(F.lit("Direct sink call: "), F.coalesce("sink_code", F.lit("")))).otherwise(
+                F.concat(F.lit("Taint flow: "), "source_code", F.lit(" -> "), F.coalesce("sink_code", F.lit("")))
             ),
             "line_end": F.col("sink_line"),
         }

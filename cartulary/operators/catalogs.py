@@ -11,6 +11,10 @@ from .joins import ordered_first
 #: Bare sinks that say too little.
 BARE_SINKS = ("shell", "exec", "eval", "system")
 SOURCE_DROP_BOUND = 0.25
+#: Blanks of any kind at both ends.
+BLANK_ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+#: A run of letters, digits and underscores of any script.
+WORD = r"[\p{L}\p{N}_]+"
 
 
 def normalised(catalog: DataFrame) -> DataFrame:
@@ -38,23 +42,27 @@ def ancestors(df: DataFrame, name: str) -> DataFrame:
 def cleaned(catalog: DataFrame, blacklist: list[str], bound: float = SOURCE_DROP_BOUND) -> tuple[DataFrame, DataFrame]:
     """The kept rows, and the dropped ones with a ``reason``.
 
-    Sinks drop bare words. Sources drop what is blacklisted (letters in either
-    case, leading dots aside), what equals a sink, and what is a dotted
-    ancestor of one, with the first reason. Sanitizers drop what equals a sink.
-    Repeats vanish uncounted. Dropping a larger share of the sources than
-    ``bound`` is an error.
+    Patterns are compared without blanks around them and without leading dots;
+    blank ones vanish. Sinks drop bare words (in either case). Sources drop what is
+    blacklisted (in either case), what equals a kept sink, and what is a dotted
+    ancestor of one, with the first reason; of kept sources that compare equal
+    the first stays, the others vanish uncounted. Sanitizers drop what equals a
+    sink. Dropping a larger share of the sources than ``bound`` is an error.
     """
-    key = F.lower(F.regexp_replace("pattern", r"^\.+", ""))
-    first = ordered_first(catalog, ["role", "pattern"], "pos").withColumn("__key", key)
-    sinks = first.where("role = 'sink'").withColumn("reason", F.when(F.col("__key").isin(*BARE_SINKS), "bare_sink"))
-    good = sinks.where("reason is null").select("pattern")
-    up = ancestors(good, "pattern").select(F.col("ancestor").alias("pattern")).distinct().withColumn("__up", F.lit(True))
+    plain = catalog.withColumn("__plain", F.regexp_replace(F.regexp_replace("pattern", BLANK_ENDS, ""), r"^\.+", ""))
+    plain = plain.where(F.regexp_replace("pattern", BLANK_ENDS, "") != "")
+    low = F.lower("__plain")
+    sinks = plain.where("role = 'sink'").withColumn("reason", F.when(low.isin(*BARE_SINKS), "bare_sink"))
+    good = sinks.where("reason is null and __plain <> ''").select("__plain").distinct()
+    up = ancestors(good, "__plain").select(F.col("ancestor").alias("__plain")).distinct().withColumn("__up", F.lit(True))
     same = good.withColumn("__same", F.lit(True))
-    sources = first.where("role = 'source'").join(same, "pattern", "left").join(up, "pattern", "left")
-    reason = F.when(F.col("__key").isin(*[b.lower().lstrip(".") for b in blacklist]), "blacklist").when(F.col("__same"), "equals_sink").when(F.col("__up"), "ancestor_of_sink")
+    sources = plain.where("role = 'source'").join(same, "__plain", "left").join(up, "__plain", "left")
+    banned = [b.strip().lstrip(".").lower() for b in blacklist]
+    reason = F.when((low != "") & low.isin(*banned), "blacklist").when(F.col("__same"), "equals_sink").when(F.col("__up"), "ancestor_of_sink")
     sources = sources.withColumn("reason", reason).drop("__same", "__up")
-    sanitizers = first.where("role = 'sanitizer'").join(same, "pattern", "left").withColumn("reason", F.when(F.col("__same"), "equals_sink")).drop("__same")
-    every = sinks.unionByName(sources).unionByName(sanitizers).drop("__key")
+    sources = ordered_first(sources.where("reason is null"), ["__plain"], "pos", "pattern").unionByName(sources.where("reason is not null"))
+    sanitizers = plain.where("role = 'sanitizer'").join(same, "__plain", "left").withColumn("reason", F.when(F.col("__same"), "equals_sink")).drop("__same")
+    every = sinks.unionByName(sources).unionByName(sanitizers).drop("__plain")
     count = every.where("role = 'source'").agg(F.count("*").alias("n"), F.count("reason").alias("d")).first()
     if count.n and count.d / count.n > bound:
         raise ValueError(f"{count.d} of {count.n} sources would be dropped")
@@ -68,20 +76,27 @@ def grew(pre: DataFrame, post: DataFrame) -> DataFrame:
 
 
 def gate_wrappers(candidates: DataFrame, sinks: DataFrame) -> DataFrame:
-    """Add ``accepted``: whether a candidate sink wrapper calls a known sink,
-    by its callees, its code or the evidence (P11); none without sinks.
-
-    ``candidates``: ``name, callees, code, evidence``. The tails are joined as
-    rows, so a large catalog is shuffled like any table.
+    """Add ``accepted``: whether a candidate sink wrapper calls a known sink
+    (P11); none without sinks.
+
+    ``candidates``: ``name, callees, code, evidence``. A sink's last part counts as a
+    whole callee name, as a whole word ahead of a parenthesis in the code, or as
+    a whole word of the evidence, letters as they are; words are of any script.
+    A last part that is no word (catalogs hold identifiers) is met as a callee
+    only. Each row is judged by what it holds, so rows of one name may differ.
+    The tails are joined as rows, so a large catalog is shuffled like any table.
     """
-    tails = sinks.select(F.lower(tail("pattern")).alias("__tail")).where("__tail <> ''").distinct()
-    body = F.lower(F.coalesce("code", F.lit("")))
-    words = F.regexp_extract_all(body, F.lit(r"([a-z0-9_]+)\s*\("), 1)
-    told = F.regexp_extract_all(F.lower(F.coalesce("evidence", F.lit(""))), F.lit(r"([a-z0-9_]+)"), 1)
-    named = F.transform(F.coalesce("callees", F.array().cast("array<string>")), lambda c: F.lower(F.element_at(F.split(c, "[.]", -1), -1)))
-    exploded = candidates.select("name", F.explode(F.array_distinct(F.concat(named, words, told))).alias("__tail"))
-    hit = exploded.join(tails, "__tail", "left_semi").select("name").distinct().withColumn("accepted", F.lit(True))
-    return candidates.join(hit, "name", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    tails = sinks.where("pattern <> ''").select(tail("pattern").alias("__tail")).distinct()
+    words = F.regexp_extract_all(F.coalesce("code", F.lit("")), F.lit(rf"(?U)({WORD})[\s\x1c-\x1f]*\("), 1)
+    told = F.regexp_extract_all(F.coalesce("evidence", F.lit("")), F.lit(f"({WORD})"), 1)
+    named = F.filter(F.coalesce("callees", F.array().cast("array<string>")), lambda c: c != "")
+    # Rows with the same contents have the same answer; they are told by two
+    # hashes, which skip nulls and so need to be told of them.
+    held = [F.coalesce(F.size("callees"), F.lit(-1)), "callees", F.isnull("code"), "code", F.isnull("evidence"), "evidence"]
+    keyed = candidates.withColumn("__row", F.struct(F.xxhash64(*held).alias("a"), F.xxhash64(F.lit(1), *held).alias("b")))
+    exploded = keyed.select("__row", F.explode(F.array_distinct(F.concat(named, words, told))).alias("__tail"))
+    hit = exploded.join(tails, "__tail", "left_semi").select("__row").distinct().withColumn("accepted", F.lit(True))
+    return keyed.join(hit, "__row", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False))).drop("__row")
 
 
 def refined(rules: DataFrame, patches: DataFrame) -> DataFrame:

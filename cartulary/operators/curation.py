@@ -8,22 +8,31 @@ from pyspark.sql import functions as F
 from ..scratch import cut
 from .joins import ordered_first
 
-COMMIT_URL = r"https?://github\.com/([^/\s]+/[^/\s]+)/commit/([0-9a-f]{7,40})"
-PULL_URL = r"https?://github\.com/([^/\s]+/[^/\s]+)/pull/([0-9]+)"
-RELEASE_URL = r"https?://github\.com/([^/\s]+/[^/\s]+)/releases/tag/([^\s)]+)"
+COMMIT_URL = r"https?://github\.com/([^/]+/[^/]+)/commit/([0-9a-fA-F]{7,40})"
+PULL_URL = r"https?://github\.com/([^/]+/[^/]+)/pull/([0-9]+)"
+RELEASE_URL = r"https?://github\.com/([^/]+/[^/]+)/releases/tag/([^\s/]+)"
 MINIMA = {"bin": 10, "sink": 3, "severity": 3}
 
 
-def advisory_filter(advisories: DataFrame, cwe: str = "CWE-78") -> DataFrame:
-    """Advisories of a weakness for Python (P17): by ecosystem, or by a keyword
-    together with a commit or pull-request link.
+#: Words that tell an advisory about Python, and the links that
+#: make one without an ecosystem count.
+PYTHON_SIGNALS = ("python", "pypi", "pip install", ".py", "django", "flask", "fastapi", "ansible", "salt", "celery", "scrapy", "paramiko")
+CHANGE_URL = r"github\.com/[^/]+/[^/]+/(commit|pull)/"
 
-    ``advisories``: ``cwes`` and ``ecosystems`` (arrays), ``description``,
-    ``references`` (array).
+
+def advisory_filter(advisories: DataFrame, cwe: str = "CWE-78", signals: tuple[str, ...] = PYTHON_SIGNALS) -> DataFrame:
+    """Advisories of a weakness for Python (P17): by ecosystem, or by one of the
+    signals anywhere in the record together with a commit or pull-request link.
+
+    ``advisories``: ``cwes``, ``ecosystems`` and ``references`` (arrays) and whatever else
+    a record holds; all columns are searched, as JSON in lower case.
     """
-    python = F.exists("ecosystems", lambda e: F.lower(e).isin("pip", "pypi"))
-    linked = F.exists("references", lambda r: r.rlike(COMMIT_URL) | r.rlike(PULL_URL))
-    return advisories.where(F.array_contains("cwes", cwe) & (python | (F.lower("description").contains("python") & linked)))
+    python = F.exists(F.coalesce("ecosystems", F.array().cast("array<string>")), lambda e: F.coalesce(F.lower(e).isin("pip", "pypi"), F.lit(False)))
+    linked = F.exists(F.coalesce("references", F.array().cast("array<string>")), lambda r: F.coalesce(r.rlike(CHANGE_URL), F.lit(False)))
+    whole, told = F.lower(F.to_json(F.struct(*[F.col(f"`{c}`") for c in advisories.columns]))), F.lit(False)
+    for s in signals:
+        told = told | whole.contains(s)
+    return advisories.where(F.array_contains("cwes", cwe) & (python | (linked & told)))
 
 
 def keyword_filter(df: DataFrame, column: str, words: list[str]) -> DataFrame:
@@ -34,18 +43,35 @@ def keyword_filter(df: DataFrame, column: str, words: list[str]) -> DataFrame:
     return df.where(hit)
 
 
-def commit_of(references: str, pulls: DataFrame, tags: DataFrame, df: DataFrame, key: str) -> DataFrame:
-    """``key, commit, how``: a commit link, else a looked-up pull request, else
-    a looked-up tag (J32). ``pulls``: ``repo, number, commit``; ``tags``: ``repo,
-    tag, commit``."""
+def _tagged(tags: DataFrame) -> DataFrame:
+    """``repo, wanted, commit``: what each version finds, which is the first tag that
+    begins with it, else the tag of its name behind a v. A tag gives a row
+    for each of its beginnings, so versions are looked up by equality."""
+    own = tags.select("repo", "tag", "commit").where("tag <> ''")
+    begun = own.select("repo", F.explode(F.expr("transform(sequence(1, length(tag)), n -> left(tag, n))")).alias("wanted"), F.struct(F.lit(0).alias("rank"), "tag").alias("place"), "commit")
+    behind_v = own.where("tag like 'v_%'").select("repo", F.expr("substr(tag, 2)").alias("wanted"), F.struct(F.lit(1).alias("rank"), "tag").alias("place"), "commit")
+    return begun.union(behind_v).groupBy("repo", "wanted").agg(F.min_by("commit", "place").alias("commit"))
+
+
+def commit_of(references: str, pulls: DataFrame, tags: DataFrame, df: DataFrame, key: str, repo_url: str | None = None, fixed_version: str | None = None) -> DataFrame:
+    """``key, commit, how``: a commit link, else a looked-up pull request, else the
+    tag of the fixed version in the record's repository (``version``; if the columns
+    are named), else the tag of a release link (J32). ``pulls``: ``repo, number,
+    commit``; ``tags``: ``repo, tag, commit``."""
     urls = df.select(key, F.posexplode_outer(references).alias("pos", "url"))
     urls = urls.withColumns({"commit_": F.nullif(F.regexp_extract("url", COMMIT_URL, 2), F.lit("")), "pr": F.regexp_extract("url", PULL_URL, 2), "pr_repo": F.regexp_extract("url", PULL_URL, 1), "tag_": F.regexp_extract("url", RELEASE_URL, 2), "tag_repo": F.regexp_extract("url", RELEASE_URL, 1)})
     p = pulls.select(F.col("repo").alias("pr_repo"), F.col("number").cast("string").alias("pr"), F.col("commit").alias("pr_commit"))
-    t = tags.select(F.col("repo").alias("tag_repo"), F.col("tag").alias("tag_"), F.col("commit").alias("tag_commit"))
+    lookup = _tagged(tags)
+    t = lookup.select(F.col("repo").alias("tag_repo"), F.col("wanted").alias("tag_"), F.col("commit").alias("tag_commit"))
     urls = urls.join(p, ["pr_repo", "pr"], "left").join(t, ["tag_repo", "tag_"], "left")
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("pos")))
     out = urls.groupBy(key).agg(first("commit_").alias("a"), first("pr_commit").alias("b"), first("tag_commit").alias("c"))
-    return out.select(key, F.coalesce("a", "b", "c").alias("commit"), F.when(F.col("a").isNotNull(), "commit").when(F.col("b").isNotNull(), "pull").when(F.col("c").isNotNull(), "tag").alias("how"))
+    out = out.withColumn("v", F.lit(None).cast("string"))
+    if repo_url and fixed_version:
+        own = df.select(key, F.replace(F.col(repo_url), F.lit("https://github.com/"), F.lit("")).alias("repo"), F.col(fixed_version).alias("wanted")).where("repo <> '' and wanted <> ''")
+        fixed = own.join(lookup, ["repo", "wanted"]).groupBy(key).agg(F.min("commit").alias("v"))
+        out = out.drop("v").join(fixed, key, "left")
+    return out.select(key, F.coalesce("a", "b", "v", "c").alias("commit"), F.when(F.col("a").isNotNull(), "commit").when(F.col("b").isNotNull(), "pull").when(F.col("v").isNotNull(), "version").when(F.col("c").isNotNull(), "tag").alias("how"))
 
 
 def diff_lines(diffs: DataFrame, case: str = "case_id", text: str = "diff") -> DataFrame:
@@ -113,8 +139,9 @@ def sink_of(removed: str, sinks: list[str]) -> Column:
 
 
 def location_key(repo: str, file: str, lines: str) -> Column:
-    """Repository, file and the first five lines, sorted."""
-    return F.concat_ws("|", repo, file, F.array_join(F.array_sort(F.slice(lines, 1, 5)), ","))
+    """A hash of repository, file and the first five lines, sorted; a null is not
+    an empty string, and no part runs into another."""
+    return F.sha2(F.to_json(F.struct(F.col(repo).alias("repo"), F.col(file).alias("file"), F.array_sort(F.slice(lines, 1, 5)).alias("lines")), {"ignoreNullFields": "false"}), 256)
 
 
 def accept_records(records: DataFrame) -> DataFrame:

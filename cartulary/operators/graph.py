@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import cut, discard
+from .bins import containment_join
 
 EDGE_KEY = ["src", "dst", "kind", "level", "metadata"]
 
@@ -78,11 +79,15 @@ class CodeGraph:
         wins, else the one with the smallest; then the least id. Places that
         nothing covers have a null ``id``.
         """
-        u = self.units.where("line_start is not null and line_end is not null").select("id", "file_path", F.col("line_start").alias("s"), F.col("line_end").alias("e"), "subtree")
-        both = places.join(u.withColumnRenamed("file_path", "__f"), F.expr("file_path = __f and s <= line_start and e >= line_end"), "left")
+        u = self.units.select(F.col("id"), "file_path", F.col("line_start").alias("s"), F.col("line_end").alias("e"), "subtree")
+        asked = places.select("place_id", "file_path", "line_start", "line_end")
+        met = containment_join(u, asked, ["file_path"], ("s", "e"), ("line_start", "line_end"))
         exact = F.expr("s = line_start and e = line_end")
         order = F.struct(F.expr("e - s"), F.when(exact, 0).otherwise(1), F.when(exact, -F.col("subtree")).otherwise(F.col("subtree")), "id")
-        return both.groupBy("place_id").agg(F.min_by("id", F.when(F.col("id").isNotNull(), order)).alias("id"))
+        found = met.select("place_id", "id", order.alias("order"))
+        # Places without a unit come by a row of their own, not by an outer join.
+        none = places.select("place_id", F.lit(None).cast(found.schema["id"].dataType).alias("id"), F.lit(None).cast(found.schema["order"].dataType).alias("order"))
+        return found.union(none).groupBy("place_id").agg(F.min_by("id", "order").alias("id"))
 
     # -- relations --------------------------------------------------------
 
@@ -126,7 +131,8 @@ class CodeGraph:
         inner = self.functions().select(F.col("id").alias("inner_id"), "file_path", "line_start", "line_end")
         if level != "function":
             inner = inner.where("false")
-        return outer.join(inner, F.expr("f = file_path and line_start >= s and line_end <= e and inner_id <> id")).select("id", "inner_id")
+        both = containment_join(outer.withColumnRenamed("f", "file_path"), inner, ["file_path"], ("s", "e"), ("line_start", "line_end"))
+        return both.where("inner_id <> id").select("id", "inner_id")
 
     def contained_in(self, ids: DataFrame) -> DataFrame:
         """The file unit of each unit."""

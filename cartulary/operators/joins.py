@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import cut
+from .asof import asof_join
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], point: str, start: str, end: str, tolerance: int = 0, how: str = "inner", bin_width: int | None = None) -> DataFrame:
@@ -67,16 +68,9 @@ def nearest_row(left: DataFrame, right: DataFrame, keys: list[str], left_point:
     """For each row of ``left`` the row of ``right`` with the closest point;
     ties go to the least ``tie`` (J04). Unmatched rows keep nulls.
 
-    The candidates meet in an aggregate, so no window sorts them.
+    An as-of join, so a key with very many rows on both sides stays linear.
     """
-    own = [c for c in right.columns if c not in keys]
-    r = right.select(*[F.col(k).alias(f"__{k}") for k in keys], F.struct(*own).alias("__row"))
-    left = left.withColumn("__id", F.monotonically_increasing_id())
-    on = [F.col(k) == F.col(f"__{k}") for k in keys]
-    both = left.join(r, on, "left")
-    order = F.struct(F.abs(F.col(f"__row.{right_point}") - F.col(left_point)), F.col(f"__row.{tie}"))
-    best = both.groupBy("__id", *[c for c in left.columns if c != "__id"]).agg(F.min_by("__row", order).alias("__best"))
-    return best.select(*[c for c in left.columns if c != "__id"], *[F.col(f"__best.{c}").alias(c) for c in own])
+    return asof_join(left, right, keys, left_point, right_point, "nearest", tie)
 
 
 def overlay(prior: DataFrame, rerun: DataFrame, key: str, pos: str = "pos") -> DataFrame:

@@ -26,7 +26,8 @@ def label(verdict: Column, on_truth: Column, in_snippet: Column) -> Column:
 
 def match_truth(findings: DataFrame, truth: DataFrame, keys: list[str], tolerance: int = TOLERANCE) -> DataFrame:
     """Add ``gt_line``: the first ground-truth line, in list order, near a
-    finding on a matching path, else null (J02).
+    finding on a matching path, else null (J02). An empty or missing
+    ground-truth file matches no path.
 
     ``truth``: ``keys, gt_file, gt_lines`` (an array). The lines stay an array, so no
     finding is copied for each of them.
@@ -35,7 +36,7 @@ def match_truth(findings: DataFrame, truth: DataFrame, keys: list[str], toleranc
     on = [F.col(k) == F.col(f"__{k}") for k in keys]
     hits = F.filter("gt_lines", lambda v: near(F.col("line_start"), v, tolerance))
     found = findings.join(t, on, "left")
-    return found.withColumn("gt_line", F.when(paths_match("file_path", "gt_file"), F.get(hits, F.lit(0)))).drop(*[f"__{k}" for k in keys], "gt_file", "gt_lines")
+    return found.withColumn("gt_line", F.when((F.coalesce("gt_file", F.lit("")) != "") & paths_match("file_path", "gt_file"), F.get(hits, F.lit(0)))).drop(*[f"__{k}" for k in keys], "gt_file", "gt_lines")
 
 
 def label_findings(findings: DataFrame, triage: DataFrame, truth: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
@@ -104,9 +105,13 @@ def committed(label_: Column, verdict: Column, source_in_snippet: Column) -> Col
     return F.when(label_.isin("tp", "fp_by_llm_overclaim"), True).when(~empty, False).otherwise((verdict == "true_positive") & F.coalesce(source_in_snippet, F.lit(True)))
 
 
-def hallucinated(label_: Column, source_in_snippet: Column) -> Column:
-    """A claim whose evidence is not there."""
-    return (F.coalesce(label_, F.lit("")) == "fp_by_hallucinated_source") | ((F.coalesce(label_, F.lit("")) == "") & ~F.coalesce(source_in_snippet, F.lit(True)))
+def hallucinated(label_: Column, verdict: Column, source_in_snippet: Column) -> Column:
+    """A claimed true positive whose evidence is not there (P09). A label decides
+    alone; without one only a true positive with a source that is known to be
+    missing counts, so uncertain and dismissed rows do not."""
+    own = F.coalesce(label_, F.lit(""))
+    claimed = F.coalesce(verdict == "true_positive", F.lit(False)) & ~F.coalesce(source_in_snippet, F.lit(True))
+    return (own == "fp_by_hallucinated_source") | ((own == "") & claimed)
 
 
 def relaxed_scores(rows: DataFrame, gt_clusters: DataFrame, hunks: DataFrame, keys: list[str], tolerance: int = TOLERANCE) -> DataFrame:
@@ -124,7 +129,7 @@ def relaxed_scores(rows: DataFrame, gt_clusters: DataFrame, hunks: DataFrame, ke
     suffix = F.col("file").endswith(F.col("path")) | F.col("path").endswith(F.col("file"))
     in_hunk = rows.join(h, (F.col("case_id") == F.col("__c")) & suffix & F.col("line").between(F.col("hs"), F.col("he"))).select("row_id").distinct().withColumn("in_hunk", F.lit(True))
     out = rows.join(idx, "row_id", "left").join(in_hunk, "row_id", "left").withColumn("in_hunk", F.coalesce("in_hunk", F.lit(False)))
-    halluc = hallucinated(F.col("label"), F.col("source_in_snippet"))
+    halluc = hallucinated(F.col("label"), F.col("verdict"), F.col("source_in_snippet"))
     sure = committed(F.col("label"), F.col("verdict"), F.col("source_in_snippet"))
     hit = F.col("idx").isNotNull() | F.col("in_hunk")
     kind = F.when(halluc, "fp").when(sure & hit, "tp").when(sure, "fp").when((F.col("verdict") == "uncertain") & F.col("idx").isNotNull(), "uncertain")

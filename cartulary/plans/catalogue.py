@@ -211,7 +211,7 @@ def q_evidence_brake(spark, d):
 
 _FINDINGS_SQL = """(select o_custkey as c, cast(extract(year from o_orderdate) % 4 as int) as k, l_linenumber as line, l_partkey % 3 as f, l_orderkey as ok, l_suppkey as sk, l_extendedprice as x,
   case l_returnflag when 'A' then 'true_positive' when 'R' then 'false_positive' else 'uncertain' end as verdict, l_linestatus = 'F' as snip from lineitem join orders on l_orderkey = o_orderkey)"""
-_TRUTH_SQL = "(select distinct o_custkey as c, [2, 7] as lines, 0 as gf from orders where o_custkey % 2 = 0)"
+_TRUTH_SQL = "(select distinct o_custkey as c, [2, 7] as lines, case when o_custkey % 10 = 0 then null else 0 end as gf from orders where o_custkey % 2 = 0)"
 _LABEL_SQL = f"""(select f.*, t.lines, case when t.gf = f.f then list_filter(t.lines, lambda v: abs(v - f.line) <= 1)[1] end as g from {_FINDINGS_SQL} f left join {_TRUTH_SQL} t on f.c = t.c)"""
 _LABEL_CASE = """case when verdict = 'false_positive' and g is null then 'tn' when verdict = 'false_positive' then 'fn_by_llm' when verdict = 'true_positive' and not snip then 'fp_by_hallucinated_source'
   when verdict = 'true_positive' and g is not null then 'tp' when verdict = 'true_positive' then 'fp_by_llm_overclaim' when g is not null then 'uncertain_on_gt' else 'uncertain_off_gt' end"""
@@ -228,7 +228,9 @@ def _findings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
         F.when(F.col("l_returnflag") == "A", "true_positive").when(F.col("l_returnflag") == "R", "false_positive").otherwise("neither").alias("verdict"), "l_extendedprice",
     )
     triage = rows.select("case_id", "k", "finding_index", "verdict", F.lit("source(x)").alias("source_expr"))
-    truth = o.where("o_custkey % 2 = 0").select(F.col("o_custkey").alias("case_id")).distinct().select("case_id", F.lit("f0").alias("gt_file"), F.array(F.lit(2), F.lit(7)).alias("gt_lines"))
+    truth = o.where("o_custkey % 2 = 0").select(F.col("o_custkey").alias("case_id")).distinct()
+    # A file that is not known is an empty one, and matches no path.
+    truth = truth.select("case_id", F.when(F.col("case_id") % 10 == 0, "").otherwise("f0").alias("gt_file"), F.array(F.lit(2), F.lit(7)).alias("gt_lines"))
     return rows, triage, truth
 
 
@@ -265,9 +267,9 @@ def q_fp_causes(spark, d):
 
 
 @query(f"""with l as (select *, {_LABEL_CASE} as label from {_LABEL_SQL}),
-g as (select c, unnest([2, 7]) as line from {_TRUTH_SQL}),
+g as (select c, gf, unnest([2, 7]) as line from {_TRUTH_SQL}),
 a as (select g.c, g.line, bool_or(l.label = 'tp') as hit, bool_or(l.label = 'fn_by_llm' or l.verdict = 'false_positive') as sup, bool_or(l.label = 'fp_by_hallucinated_source') as hal
-  from g left join l on l.c = g.c and l.f = 0 and abs(l.line - g.line) <= 1 group by g.c, g.line)
+  from g left join l on l.c = g.c and l.f = g.gf and abs(l.line - g.line) <= 1 group by g.c, g.line)
 select case when sup then 'triager_suppressed_gt' when hal then 'hallucinated_source_on_gt' else 'joern_candidate_missing' end as cause, count(*) as n from a where not coalesce(hit, false) group by 1""")
 def q_fn_causes(spark, d):
     labelled, truth = _labelled(spark, d)
@@ -292,13 +294,13 @@ _REL = f"""gt as (select distinct user_id, {_HOUR} - 473000 as line from events
 b as (select *, case when line - lag(line) over (partition by user_id order by line) <= 8 then 0 else 1 end as x from gt),
 r as (select *, sum(x) over (partition by user_id order by line rows between unbounded preceding and current row) as cluster from b),
 cl as (select user_id, cluster, min(line) as s, max(line) as e from r group by user_id, cluster),
-rows as (select event_id, user_id, {_HOUR} - 473000 as line, case event_id % 3 when 0 then 'true_positive' when 1 then 'uncertain' else 'false_positive' end as verdict, case when event_id % 7 = 0 then 'fp_by_hallucinated_source' else '' end as label from events),
+rows as (select event_id, user_id, {_HOUR} - 473000 as line, case event_id % 3 when 0 then 'true_positive' when 1 then 'uncertain' else 'false_positive' end as verdict, case when event_id % 7 = 0 then 'fp_by_hallucinated_source' else '' end as label, event_id % 5 <> 0 as src from events),
 hunk as (select user_id, {_HOUR} - 473000 as s, {_HOUR} - 473000 + 2 as e from events where event_type = 'error')"""
 
 
 @query(f"""with {_REL},
 m as (select rows.*, (select min(cluster) from cl where cl.user_id = rows.user_id and rows.line between cl.s - 5 and cl.e + 5) as idx, exists (select 1 from hunk where hunk.user_id = rows.user_id and rows.line between hunk.s and hunk.e) as hk from rows),
-k as (select *, case when label <> '' then 'fp' when verdict = 'true_positive' and (idx is not null or hk) then 'tp' when verdict = 'true_positive' then 'fp' when verdict = 'uncertain' and idx is not null then 'uncertain' end as kind from m),
+k as (select *, case when label <> '' or verdict = 'true_positive' and not src then 'fp' when verdict = 'true_positive' and (idx is not null or hk) then 'tp' when verdict = 'true_positive' then 'fp' when verdict = 'uncertain' and idx is not null then 'uncertain' end as kind from m),
 a as (select user_id, count(*) filter (kind = 'tp') as tp, count(*) filter (kind = 'fp') as fp, count(distinct case when kind = 'tp' then idx end) as covered from k group by user_id),
 u as (select user_id, count(distinct idx) as credits from k where kind = 'uncertain' and not exists (select 1 from k k2 where k2.user_id = k.user_id and k2.kind = 'tp' and k2.idx = k.idx) group by user_id),
 n as (select user_id, count(*) as clusters from cl group by user_id)
@@ -308,15 +310,15 @@ def q_relaxed_score(spark, d):
     ev = _t(spark, d, "events").select("event_id", F.col("user_id").alias("case_id"), "event_type", F.expr("cast(floor(unix_timestamp(ts) / 3600) as bigint) - 473000").alias("line"))
     gt = scoring.clusters(ev.where("event_type = 'purchase'"), ["case_id"]).withColumn("gt_file", F.lit("a/f.py"))
     verdict = F.expr("case event_id % 3 when 0 then 'true_positive' when 1 then 'uncertain' else 'false_positive' end")
-    rows = ev.select(F.col("event_id").alias("row_id"), "case_id", F.lit("f.py").alias("file"), "line", verdict.alias("verdict"), F.expr("if(event_id % 7 = 0, 'fp_by_hallucinated_source', '')").alias("label"), F.lit(True).alias("source_in_snippet"))
+    rows = ev.select(F.col("event_id").alias("row_id"), "case_id", F.lit("f.py").alias("file"), "line", verdict.alias("verdict"), F.expr("if(event_id % 7 = 0, 'fp_by_hallucinated_source', '')").alias("label"), (F.col("event_id") % 5 != 0).alias("source_in_snippet"))
     hunks = ev.where("event_type = 'error'").select("case_id", F.lit("f.py").alias("path"), F.col("line").alias("start"), (F.col("line") + 2).alias("end"))
     return scoring.relaxed_scores(rows, gt, hunks, ["case_id"])
 
 
 @query("""with l as (select l_orderkey, l_linenumber, l_suppkey from lineitem), o as (select o_orderkey, 4 as gt from orders)
-select o_orderkey, arg_min(struct_pack(n := l_linenumber, s := l_suppkey), row(abs(l_linenumber - gt), l_suppkey)).n as near_line, arg_min(l_suppkey, row(abs(l_linenumber - gt), l_suppkey)) as near_supp from o left join l on o_orderkey = l_orderkey group by o_orderkey""")
+select o_orderkey, arg_min(struct_pack(n := l_linenumber, s := l_suppkey), row(abs(l_linenumber - gt), l_suppkey, l_linenumber)).n as near_line, arg_min(l_suppkey, row(abs(l_linenumber - gt), l_suppkey, l_linenumber)) as near_supp from o left join l on o_orderkey = l_orderkey group by o_orderkey""")
 def q_nearest_row(spark, d):
-    """The nearest row of each order."""
+    """The nearest row of each order; equally near ones of one tie: the earlier."""
     left = _t(spark, d, "orders").select("o_orderkey", F.lit(4).alias("gt"))
     right = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.struct("l_linenumber", "l_suppkey").alias("x"), F.col("l_linenumber").alias("near_line"), F.col("l_suppkey").alias("near_supp")).drop("x")
     near = joins.nearest_row(left, right, ["o_orderkey"], "gt", "near_line", "near_supp")
@@ -329,7 +331,7 @@ def q_nearest_row(spark, d):
 def flow_rows(spark: SparkSession, d: str) -> DataFrame:
     """Line items as flows; arrivals are places in the order of the whole table."""
     li = _t(spark, d, "lineitem")
-    kind = F.expr("case cast(l_quantity as int) % 4 when 0 then 'direct_sink' when 1 then 'def_use' when 2 then 'relaxed' else 'bogus' end")
+    kind = F.expr("case cast(l_quantity as int) % 4 when 0 then 'direct_sink' when 1 then 'def_use' when 2 then ' Relaxed ' else 'bogus' end")
     # Arrivals over the whole table come from counts by order, not from one sort.
     starts = joins.running(li.groupBy("l_orderkey").agg(F.count("*").alias("c")), "l_orderkey", "c", "at")
     from pyspark.sql import Window
@@ -337,19 +339,20 @@ def flow_rows(spark: SparkSession, d: str) -> DataFrame:
     r = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice"))
     return li.withColumn("r", r).join(starts.select("l_orderkey", "at"), "l_orderkey").select(
         F.col("l_orderkey").alias("sink_file"), F.col("l_linenumber").cast("string").alias("sink_line"), F.lit("s").alias("sink_name"), F.lit("s( x )").alias("sink_code"), F.lit("f").alias("source_file"), F.lit("1").alias("source_line"),
-        F.concat(F.lit("src"), F.col("l_suppkey") % 11).alias("source_code"), kind.alias("recovery_kind"), (F.col("at") + F.col("r")).alias("arrival"),
+        F.when(F.col("l_suppkey") % 11 == 0, "").otherwise(F.concat(F.lit("src"), F.col("l_suppkey") % 11)).alias("source_code"), kind.alias("recovery_kind"), (F.col("at") + F.col("r")).alias("arrival"),
     )
 
 
 @query("""with f as (select l_orderkey as sf, l_linenumber as sl, cast(l_quantity as int) % 4 as kq, l_suppkey, l_partkey, l_orderkey::bigint * 1000000 + l_suppkey * 100 + l_partkey % 100 as arr, l_extendedprice as px from lineitem),
 g as (select *, case kq when 0 then 'direct_sink' when 1 then 'def_use' when 2 then 'relaxed' else 'bogus' end as k0 from f),
-h as (select sf, sl, case when k0 = 'bogus' then 'taint' else k0 end as kind, case k0 when 'bogus' then 4 when 'relaxed' then 3 when 'def_use' then 2 else 1 end as pri, row_number() over (order by sf, sl, l_suppkey, l_partkey, px) as a, 'src' || l_suppkey % 11 as code from g),
+h as (select sf, sl, case when k0 = 'bogus' then 'taint' else k0 end as kind, case k0 when 'bogus' then 4 when 'relaxed' then 3 when 'def_use' then 2 else 1 end as pri, row_number() over (order by sf, sl, l_suppkey, l_partkey, px) as a, case when l_suppkey % 11 = 0 then '' else 'src' || l_suppkey % 11 end as code from g),
 s as (select sf, sl, arg_max(kind, row(pri, -a)) as recovery_kind, arg_max(code, row(pri, -a)) as source_code, count(*) as dedup_count, min(a) as first_arrival, array_to_string(list_sort(list(distinct kind)), ',') as kinds from h group by sf, sl),
-d as (select sf, sl, code, min(a) as a from h group by sf, sl, code), e as (select sf, sl, string_agg(code, ',' order by a) as sources from (select *, row_number() over (partition by sf, sl order by a) as r from d) where r <= 8 group by sf, sl)
-select s.sf as sink_file, s.sl as sink_line, s.recovery_kind, s.source_code, s.dedup_count, s.first_arrival, s.kinds, e.sources, case when s.recovery_kind = 'taint' then 'joern-taint-reachability' else 'joern-' || s.recovery_kind || '-recovery' end as rule_id from s join e on s.sf = e.sf and s.sl = e.sl""")
+d as (select sf, sl, code, min(a) as a from h where code <> '' group by sf, sl, code), e as (select sf, sl, string_agg(code, ',' order by a) as sources from (select *, row_number() over (partition by sf, sl order by a) as r from d) where r <= 8 group by sf, sl)
+select s.sf as sink_file, s.sl as sink_line, s.recovery_kind, s.source_code, s.dedup_count, s.first_arrival, s.kinds, coalesce(e.sources, '') as sources, case when s.recovery_kind = 'taint' then 'joern-taint-reachability' else 'joern-' || s.recovery_kind || '-recovery' end as rule_id,
+  case when s.source_code = '' then 'Direct sink call: s( x )' else 'Taint flow: ' || s.source_code || ' -> s( x )' end as message from s left join e on s.sf = e.sf and s.sl = e.sl""")
 def q_flow_dedup(spark, d):
     out = audit.dedup_flows(flow_rows(spark, d))
-    return out.select("sink_file", "sink_line", "recovery_kind", "source_code", "dedup_count", "first_arrival", F.array_join("recovery_kinds_seen", ",").alias("kinds"), F.array_join("dedup_sources", ",").alias("sources"), "rule_id")
+    return out.select("sink_file", "sink_line", "recovery_kind", "source_code", "dedup_count", "first_arrival", F.array_join("recovery_kinds_seen", ",").alias("kinds"), F.array_join("dedup_sources", ",").alias("sources"), "rule_id", "message")
 
 
 @query("""select user_id, substr(sha256(string_agg(event_type || '|' || event_id, chr(10) order by event_type || '|' || event_id)), 1, 16) as fingerprint from events group by user_id""")
@@ -418,21 +421,28 @@ def q_top_cases(spark, d):
 u as (select p, string_split(p, '.') as parts from h where p <> ''),
 a as (select distinct array_to_string(list_slice(parts, 1, n), '.') as p from (select parts, unnest(range(1, len(parts))) as n from u)),
 c as (select p from u union select p from a)
-select c.p as pattern, case when c.p in (select p from u) then 'equals_sink' when c.p in (select p from a) then 'ancestor_of_sink' end as reason from c""")
+select case when length(c.p) % 2 = 0 then ' ..' || c.p else c.p end as pattern, case when c.p in (select p from u) then 'equals_sink' when c.p in (select p from a) then 'ancestor_of_sink' end as reason from c""")
 def q_catalog_clean(spark, d):
-    """Hosts as dotted paths: each is a sink, and each with its ancestors a source."""
+    """Hosts as dotted paths: each is a sink, and each with its ancestors a source,
+    some of them behind a blank and dots, which do not count."""
     host = F.regexp_extract("url", "^https?://([^/]+)", 1)
     sinks = _t(spark, d, "pages").select(F.array_join(F.reverse(F.split(host, "[.]", -1)), ".").alias("pattern")).where("pattern <> ''").distinct()
     up = catalogs.ancestors(sinks, "pattern").select(F.col("ancestor").alias("pattern")).distinct()
-    sources = sinks.union(up).distinct().select(F.lit("source").alias("role"), F.lit(0).alias("pos"), "pattern")
+    dotted = F.when(F.length("pattern") % 2 == 0, F.concat(F.lit(" .."), "pattern")).otherwise(F.col("pattern"))
+    sources = sinks.union(up).distinct().select(F.lit("source").alias("role"), F.lit(0).alias("pos"), dotted.alias("pattern"))
     _, dropped = catalogs.cleaned(sources.unionByName(sinks.select(F.lit("sink").alias("role"), F.lit(0).alias("pos"), "pattern")), [], bound=1.0)
     return dropped.where("role = 'source'").select("pattern", "reason")
 
 
-@query("""with a as (select page_id, html, url from pages) select page_id from a where contains(lower(html), 'the') and (url like '%.com%' or url like '%.org%')""")
+_SIGNALS = "'python', 'pypi', 'pip install', '.py', 'django', 'flask', 'fastapi', 'ansible', 'salt', 'celery', 'scrapy', 'paramiko'"
+
+
+@query(f"""with a as (select page_id, lower(html) as html, url, case page_id % 4 when 0 then 'https://github.com/o/r/pull/1' when 1 then 'see github.com/o/salt/commit/abc' when 2 then 'https://github.com/o/r/issues/1' else '' end as ref from pages)
+select page_id from a where contains(html, 'the') and (url like '%.org%' or regexp_matches(ref, 'github\\.com/[^/]+/[^/]+/(commit|pull)/') and len(list_filter([{_SIGNALS}], lambda s: contains(html || ' ' || lower(url) || ' ' || ref, s))) > 0)""")
 def q_advisory_filter(spark, d):
+    """Pages as advisories: by ecosystem, or by a signal anywhere and a link."""
     p = _t(spark, d, "pages")
-    rows = p.select("page_id", F.array(F.when(F.lower("html").contains("the"), "CWE-78").otherwise("CWE-0")).alias("cwes"), F.array(F.when(F.col("url").like("%.com%") | F.col("url").like("%.org%"), "PyPI").otherwise("npm")).alias("ecosystems"), F.lit("").alias("description"), F.array().cast("array<string>").alias("references"))
+    rows = p.select("page_id", F.array(F.when(F.lower("html").contains("the"), "CWE-78").otherwise("CWE-0")).alias("cwes"), F.array(F.when(F.col("url").like("%.org%"), "PyPI").otherwise("npm")).alias("ecosystems"), F.col("html").alias("description"), F.array("url", F.expr("case page_id % 4 when 0 then 'https://github.com/o/r/pull/1' when 1 then 'see github.com/o/salt/commit/abc' when 2 then 'https://github.com/o/r/issues/1' else '' end")).alias("references"))
     return curation.advisory_filter(rows).select("page_id")
 
 

@@ -16,33 +16,35 @@ from .catalogue import _FLOW_SQL, _LABEL_CASE, _LABEL_SQL, ORACLE, _findings, _s
 
 # -- flows --------------------------------------------------------------------
 
-_CODE_UNITS = """(select c_custkey as id, 'f' || c_nationkey as file, c_custkey % 50 as line, lower(c_mktsegment) as name,
+_CODE_UNITS = """(select c_custkey as id, 'f' || c_nationkey as file, case when c_custkey % 9 <> 4 then c_custkey % 50 end as line, lower(c_mktsegment) as name,
   case c_custkey % 4 when 0 then 'Call' when 1 then 'FieldAccess' when 2 then 'Identifier' else 'Parameter' end as kind,
-  case c_custkey % 4 when 0 then lower(c_mktsegment) || '(' || c_name || ')' when 1 then 'x.' || lower(c_mktsegment) || '.k' else c_name || '_' || lower(c_mktsegment) end as code from customer)"""
+  case when c_custkey % 4 = 0 then lower(c_mktsegment) || '(' || case when c_custkey % 3 = 0 then chr(10) else '' end || c_name || ')' when c_custkey % 4 = 1 then 'x.' || lower(c_mktsegment) || '.k'
+    when c_custkey % 3 = 0 then 'my_x.' || lower(c_mktsegment) else c_name || '_' || lower(c_mktsegment) end as code from customer)"""
 _SINK = "(kind = 'Call' and name in ('building', 'machinery') and starts_with(code, 'building'))"
 _SOURCE = "(kind = 'FieldAccess' and (contains(code, 'x.household') or contains(code, 'furniture')) or kind = 'Call' and name = 'furniture')"
-_WIDE = f"({_SOURCE} or kind in ('Identifier', 'Parameter') and (contains(code, 'household') or contains(code, 'furniture')))"
+_WIDE = f"({_SOURCE} or kind in ('Identifier', 'Parameter') and (contains(code, 'x.household') or contains(code, 'furniture')))"
 _ANY = "(kind in ('FieldAccess', 'Identifier', 'Parameter'))"
 _DEPTH = 3
 _REACHED = f"""recursive u as {_CODE_UNITS}, e as {_FLOW_SQL}, r(seed, node, depth) as (
   select id, id, 0 from u where {_SINK} union all select r.seed, e.src, r.depth + 1 from r join e on r.node = e.dst where r.depth < {_DEPTH}),
 p as (select distinct seed, node from r where seed <> node)"""
-_COLUMNS = "t.file as sink_file, cast(t.line as varchar) as sink_line, t.name as sink_name, t.code as sink_code, s.file as source_file, cast(s.line as varchar) as source_line, s.code as source_code"
+_COLUMNS = """t.file as sink_file, coalesce(cast(t.line as varchar), '-1') as sink_line, t.name as sink_name, replace(substr(t.code, 1, 300), chr(10), ' ') as sink_code,
+  s.file as source_file, coalesce(cast(s.line as varchar), '-1') as source_line, replace(substr(s.code, 1, 200), chr(10), ' ') as source_code"""
 
 
 def _flow_sql(source: str, kind: str) -> str:
     return f"select {_COLUMNS}, '{kind}' as recovery_kind from p join (select * from u where {source}) s on p.node = s.id join u t on p.seed = t.id"
 
 
-_DIRECT = f"select file as sink_file, cast(line as varchar) as sink_line, name as sink_name, code as sink_code, '' as source_file, '' as source_line, '' as source_code, 'direct_sink' as recovery_kind from u where {_SINK}"
+_DIRECT = f"select file as sink_file, coalesce(cast(line as varchar), '-1') as sink_line, name as sink_name, replace(substr(code, 1, 300), chr(10), ' ') as sink_code, '' as source_file, '-1' as source_line, '' as source_code, 'direct_sink' as recovery_kind from u where {_SINK}"
 
 
 def _code(spark, d):
     """Units, catalog and flow edges."""
     low, n = F.lower("c_mktsegment"), F.col("c_custkey") % 4
     kind = F.when(n == 0, "Call").when(n == 1, "FieldAccess").when(n == 2, "Identifier").otherwise("Parameter")
-    code = F.when(n == 0, F.concat(low, F.lit("("), "c_name", F.lit(")"))).when(n == 1, F.concat(F.lit("x."), low, F.lit(".k"))).otherwise(F.concat("c_name", F.lit("_"), low))
-    units = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("f"), "c_nationkey").alias("file_path"), (F.col("c_custkey") % 50).alias("line_start"), low.alias("name"), kind.alias("kind"), code.alias("code"))
+    code = F.when(n == 0, F.concat(low, F.lit("("), F.when(F.col("c_custkey") % 3 == 0, "\n").otherwise(""), "c_name", F.lit(")"))).when(n == 1, F.concat(F.lit("x."), low, F.lit(".k"))).when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("my_x."), low)).otherwise(F.concat("c_name", F.lit("_"), low))
+    units = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("f"), "c_nationkey").alias("file_path"), F.when(F.col("c_custkey") % 9 != 4, F.col("c_custkey") % 50).alias("line_start"), low.alias("name"), kind.alias("kind"), code.alias("code"))
     rows = [("sink", 0, "building"), ("sink", 1, "os.machinery"), ("source", 0, "x.household"), ("source", 1, "furniture")]
     return units, spark.createDataFrame(rows, "role string, pos int, pattern string"), _sparse(spark, d)
 
@@ -55,7 +57,7 @@ def q_source_sink_flow(spark, d):
 
 @query(f"with {_REACHED} {_flow_sql(_WIDE, 'relaxed')}")
 def q_relaxed_flow(spark, d):
-    """Sources widened by names that hold a pattern's last part (J28), uncapped."""
+    """Sources widened by names that hold a whole pattern (J28), uncapped."""
     return scans.relaxed_taint(*_code(spark, d), depth=_DEPTH, cap=None)
 
 
@@ -203,7 +205,7 @@ def q_arm_totals(spark, d):
 
 
 @query(f"""with {_ROWS}, m as (select e.*, case when file = 'a/f.py' and line between 5 and 15 then 1 when file = 'a/f.py' and line between 55 and 65 then 2 when file = 'a/f.py' and line between 95 and 105 then 3 end as idx, file = 'a/f.py' and line between 30 and 40 as hk from e where not patched and c % 3 <> 0),
-q as (select *, case when label = 'fp_by_hallucinated_source' or label = '' and not src then 'fp' when (label = 'tp' or label = '' and verdict = 'true_positive') and (idx is not null or hk) then 'tp' when label = 'tp' or label = '' and verdict = 'true_positive' then 'fp' when verdict = 'uncertain' and idx is not null then 'uncertain' end as kind from m),
+q as (select *, case when label = 'fp_by_hallucinated_source' or label = '' and verdict = 'true_positive' and not src then 'fp' when (label = 'tp' or label = '' and verdict = 'true_positive') and (idx is not null or hk) then 'tp' when label = 'tp' or label = '' and verdict = 'true_positive' then 'fp' when verdict = 'uncertain' and idx is not null then 'uncertain' end as kind from m),
 s as (select c, k, count(*) filter (kind = 'tp') as tp, count(*) filter (kind = 'fp') as fp, count(distinct case when kind = 'tp' then idx end) as covered from q group by c, k),
 u as (select c, k, count(distinct idx) as credits from q where kind = 'uncertain' and not exists (select 1 from q z where z.c = q.c and z.k = q.k and z.kind = 'tp' and z.idx = q.idx) group by c, k)
 select s.k, cast(sum(3) as bigint) as clusters, cast(sum(tp) as bigint) as tp, cast(sum(fp) as bigint) as fp, cast(sum(3 - covered) as bigint) as fn, cast(sum(coalesce(credits, 0)) as bigint) as credits, cast(sum(tp + coalesce(credits, 0)) as bigint) as uncertain_tp, cast(sum(3 - covered - coalesce(credits, 0)) as bigint) as uncertain_fn
@@ -270,17 +272,24 @@ def q_salvage(spark, d):
     return curation.salvage(ev.drop("user_id"), ev.where("user_id % 4 = 0"), ["reason_view", "reason_error"], "event_id").select("event_id", "reason")
 
 
-@query("""select p_partkey, case when p_partkey % 4 = 0 then printf('%08x', p_partkey) when p_partkey % 4 = 1 and p_partkey % 3 = 0 then 'pull' || p_partkey when p_partkey % 4 = 2 and p_partkey % 5 <> 0 then 'tag' || p_size end as "commit",
-case when p_partkey % 4 = 0 then 'commit' when p_partkey % 4 = 1 and p_partkey % 3 = 0 then 'pull' when p_partkey % 4 = 2 and p_partkey % 5 <> 0 then 'tag' end as how from part""")
+@query("""with t as (select distinct 'v' || p_size as tag, 'tag' || p_size as c from part union select distinct p_size || '.0', 'plain' || p_size from part where p_size % 3 = 0),
+w as (select distinct cast(p_size as varchar) as w from part union select distinct 'v' || p_size from part),
+f as (select w, coalesce((select arg_min(c, tag) from t where starts_with(tag, w)), (select c from t where tag = 'v' || w)) as c from w),
+x as (select p_partkey, p_partkey % 4 as n, case when p_partkey % 7 <> 0 then (select c from f where w = cast(p_size as varchar)) end as fixed, case when p_partkey % 5 <> 0 then (select c from f where w = 'v' || p_size) end as released from part)
+select p_partkey, case when n = 0 then printf('%08X', p_partkey) when n = 1 and p_partkey % 3 = 0 then 'pull' || p_partkey when fixed is not null then fixed when n = 2 then released end as "commit",
+case when n = 0 then 'commit' when n = 1 and p_partkey % 3 = 0 then 'pull' when fixed is not null then 'version' when n = 2 and released is not null then 'tag' end as how from x""")
 def q_commit_cascade(spark, d):
-    """A commit link, else a pull request's, else a release tag's commit."""
+    """A commit link, else a pull request's, else the fixed version's, else a
+    release tag's commit (J32). Versions find tags that begin with them."""
     p = _t(spark, d, "part")
     n, base = F.col("p_partkey") % 4, "https://github.com/o/r/"
-    url = F.when(n == 0, F.concat(F.lit(base + "commit/"), F.format_string("%08x", "p_partkey"))).when(n == 1, F.concat(F.lit(base + "pull/"), "p_partkey")).when((n == 2) & (F.col("p_partkey") % 5 != 0), F.concat(F.lit(base + "releases/tag/v"), "p_size")).otherwise("https://example.org/")
-    df = p.select("p_partkey", F.array(F.lit("https://example.org/x"), url).alias("references"))
+    url = F.when(n == 0, F.concat(F.lit(base + "commit/"), F.format_string("%08X", "p_partkey"))).when(n == 1, F.concat(F.lit(base + "pull/"), "p_partkey")).when((n == 2) & (F.col("p_partkey") % 5 != 0), F.concat(F.lit(base + "releases/tag/v"), "p_size")).otherwise("https://example.org/")
+    version = F.when(F.col("p_partkey") % 7 != 0, F.col("p_size").cast("string")).alias("version")
+    df = p.select("p_partkey", F.array(F.lit("https://example.org/x"), url).alias("references"), F.lit("https://github.com/o/r").alias("repo_url"), version)
     pulls = p.where("p_partkey % 3 = 0").select(F.lit("o/r").alias("repo"), F.col("p_partkey").alias("number"), F.concat(F.lit("pull"), "p_partkey").alias("commit"))
     tags = p.select(F.lit("o/r").alias("repo"), F.concat(F.lit("v"), "p_size").alias("tag"), F.concat(F.lit("tag"), "p_size").alias("commit")).distinct()
-    return curation.commit_of("references", pulls, tags, df, "p_partkey")
+    tags = tags.union(p.where("p_size % 3 = 0").select(F.lit("o/r"), F.concat("p_size", F.lit(".0")), F.concat(F.lit("plain"), "p_size")).distinct())
+    return curation.commit_of("references", pulls, tags, df, "p_partkey", "repo_url", "version")
 
 
 _HOSTS = "h as (select distinct array_to_string(list_reverse(string_split(regexp_extract(url, '^https?://([^/]+)', 1), '.')), '.') as p from pages), s as (select p from h where p <> ''), b as (select min(p) as p from s)"

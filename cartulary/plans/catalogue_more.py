@@ -105,14 +105,18 @@ def q_catalog_growth(spark, d):
     return catalogs.grew(pre, _t(spark, d, "nation").select(F.lit("sink").alias("role"))).select("role", "pre", "post", "grew")
 
 
-@query("""with t as (select lower(regexp_extract(text, '^([A-Za-z]+)', 1)) as t from benchmark where regexp_matches(text, '^[A-Za-z]')), w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as w from documents)
-select doc_id as name, doc_id in (select doc_id from w where w in (select t from t)) as accepted from documents""")
+@query("""with t as (select regexp_extract(text, '^([A-Za-z]+)', 1) as t from benchmark where regexp_matches(text, '^[A-Za-z]') union select unnest(['de', 'LICENSE'])),
+w as (select doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) as w from documents)
+select doc_id as name, source as code, doc_id in (select doc_id from w where w in (select t from t)) or lang = 'de' or doc_id % 50 = 7 as accepted from documents""")
 def q_wrapper_gate(spark, d):
-    """Documents that name one of the items' first words."""
+    """Documents that name, in their case, one of the items' first words, or call
+    a sink (P11). Many share a name, and each has its own answer."""
     docs = _t(spark, d, "documents")
-    cand = docs.select(F.col("doc_id").alias("name"), F.array().cast("array<string>").alias("callees"), F.lit("").alias("code"), F.col("text").alias("evidence"))
-    sinks = _t(spark, d, "benchmark").select(F.regexp_extract("text", "^([A-Za-z]+)", 1).alias("pattern")).where("pattern <> ''")
-    return catalogs.gate_wrappers(cand, sinks).select("name", "accepted")
+    callees = F.array(F.when(F.col("lang") == "de", "de").otherwise(F.concat(F.lit("os."), "lang")))
+    code = F.when(F.col("doc_id") % 50 == 7, "LICENSE \n(x)").when(F.col("doc_id") % 50 == 8, "license(x); LICENSE; xLICENSE(y)")
+    cand = docs.select(F.col("source").alias("name"), callees.alias("callees"), code.alias("code"), F.col("text").alias("evidence"), "doc_id")
+    sinks = _t(spark, d, "benchmark").select(F.regexp_extract("text", "^([A-Za-z]+)", 1).alias("pattern")).where("pattern <> ''").union(spark.createDataFrame([("x.de",), ("LICENSE",)], "pattern string"))
+    return catalogs.gate_wrappers(cand, sinks).select(F.col("doc_id").alias("name"), F.col("name").alias("code"), "accepted")
 
 
 @query("""select event_id, lpad(cast(event_id % 90000 as varchar), 5, ' ') || '| ' || event_type || chr(10) || lpad(cast(event_id % 90000 + 1 as varchar), 5, ' ') || '| x' as t from events""")

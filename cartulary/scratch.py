@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 _MADE: set[str] = set()
@@ -52,6 +53,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def cut_counted(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`cut`, and aggregates of the rows (``n`` is always their number), taken
+    as they are written. A task that ran twice may count twice, so only whether
+    a count is 0, or which of two is about larger, may depend on them."""
+    seen = Observation()
+    counts["n"] = F.count(F.lit(1))
+    out = cut(df.observe(seen, *[c.alias(k) for k, c in counts.items()]), name)
+    found = seen.get
+    if set(found) != set(counts):  # the optimizer found the rows to be none
+        found = out.agg(*[c.alias(k) for k, c in counts.items()]).first().asDict()
+    return out, {k: v or 0 for k, v in found.items()}
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by :func:`cut` that no pending plan reads."""
     for table in tables:
