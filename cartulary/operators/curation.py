@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import cut
+from ..scratch import cut, cut_counted, discard
 from .joins import ordered_first
 
 COMMIT_URL = r"https?://github\.com/([^/]+/[^/]+)/commit/([0-9a-fA-F]{7,40})"
@@ -149,29 +151,89 @@ def accept_records(records: DataFrame) -> DataFrame:
     rejection, no id, an id held by an accepted record, no patch commit, no
     vulnerable commit, a location held by an accepted record.
 
-    ``records``: ``pos, cve_id, patch_commit, vulnerable_commit, repo_url, vulnerable_file, vulnerable_lines, rejection``.
-    Only accepted records block later ones, so rounds go on until nothing changes: a
-    record is accepted if no accepted one before it has its id or place.
+    ``records``: ``pos`` (their order, without ties), ``cve_id, patch_commit, vulnerable_commit,
+    repo_url, vulnerable_file, vulnerable_lines, rejection``. Only accepted records block
+    later ones. Records that are out for another reason hold nothing, so empty
+    and null ids meet nowhere.
     """
     loc = location_key("repo_url", "vulnerable_file", "vulnerable_lines")
-    base = records.withColumn("__loc", loc)
     static = F.when(F.coalesce("rejection", F.lit("")) != "", F.col("rejection")).when(F.coalesce("cve_id", F.lit("")) == "", "no_cve_id")
     commits = F.when(F.coalesce("patch_commit", F.lit("")) == "", "no_patch_commit").when(F.coalesce("vulnerable_commit", F.lit("")) == "", "no_vulnerable_commit")
-    base = base.withColumn("__static", static).withColumn("__commits", commits)
-    state = base.withColumn("__ok", F.col("__static").isNull() & F.col("__commits").isNull())
-    by_id, by_loc = (Window.partitionBy(c).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1) for c in ("cve_id", "__loc"))
-    # Truth settles from the first record on, one more at least each round.
+    base = records.withColumns({"__loc": loc, "__static": static, "__commits": commits})
+    cands = base.where("__static is null and __commits is null").select("pos", F.col("cve_id").alias("id"), F.col("__loc").alias("loc"))
+    held = cut(first_holders(cands), "accepted")
+    by_id = held.select(F.col("id").alias("cve_id"), F.col("pos").alias("__id_pos"))
+    by_loc = held.select(F.col("loc").alias("__loc"), F.col("pos").alias("__loc_pos"))
+    out = base.join(by_id, "cve_id", "left").join(by_loc, "__loc", "left")
+    reason = F.coalesce(F.col("__static"), F.when(F.col("__id_pos") < F.col("pos"), "duplicate_cve_id"), F.col("__commits"), F.when(F.col("__loc_pos") < F.col("pos"), "duplicate_location"))
+    return out.withColumn("reason", reason).select(*records.columns, "reason")
+
+
+#: Rounds of first records before what is left is looked at by components; rows of
+#: a component that one task goes through in order.
+PEELS, FOLD = 5, 100_000
+
+
+def first_holders(cands: DataFrame) -> DataFrame:
+    """``pos, id, loc`` of the records that a pass in the order of ``pos`` keeps: those
+    whose id and place no kept record before them has.
+
+    A round keeps every record that comes first for both its id and its place,
+    and drops those that it blocks. In an order that has nothing to do with ids
+    and places few rounds are left; where a long chain of records waits for one
+    another, the components of what is left are gone through in order, each of
+    up to FOLD records in one task, all at once.
+    """
+    # Of equal id and place only the first can be kept.
+    left, kept = cut(cands.groupBy("id", "loc").agg(F.min("pos").alias("pos")), "records"), []
     while True:
-        state = state.withColumn("__id_held", F.coalesce(F.max("__ok").over(by_id), F.lit(False))).withColumn("__loc_held", F.coalesce(F.max("__ok").over(by_loc), F.lit(False)))
-        ok = F.col("__static").isNull() & F.col("__commits").isNull() & ~F.col("__id_held") & ~F.col("__loc_held")
-        state = cut(state.withColumn("__new", ok), "accept")
-        if state.where("__new <> __ok").isEmpty():
-            break
-        state = state.withColumn("__ok", F.col("__new"))
-    reason = F.coalesce(F.col("__static"), F.when(F.col("__id_held"), "duplicate_cve_id"), F.col("__commits"), F.when(F.col("__loc_held"), "duplicate_location"))
-    return state.withColumn("reason", reason).select(*records.columns, "reason")
-
-
+        for _ in range(PEELS):
+            first = left.join(left.groupBy("id").agg(F.min("pos").alias("pos")), ["id", "pos"], "left_semi").join(left.groupBy("loc").agg(F.min("pos").alias("pos")), ["loc", "pos"], "left_semi")
+            new = cut(first.select("pos", "id", "loc"), "kept")
+            kept.append(new)
+            old = left
+            left, n = cut_counted(left.join(new.select("id"), "id", "left_anti").join(new.select("loc"), "loc", "left_anti"), "records")
+            discard(old)
+            if not n["n"]:
+                return functools.reduce(DataFrame.unionByName, kept)
+        parts = _conflicts(left)
+        sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
+        small = parts.join(sizes.where(F.col("n") <= FOLD), "part", "left_semi")
+        kind = {c: left.schema[c].dataType.simpleString() for c in ("pos", "id", "loc")}
+        kept.append(cut(small.groupBy("part").applyInPandas(_in_order, ", ".join(f"{c} {t}" for c, t in kind.items())), "kept"))
+        left, n = cut_counted(parts.join(sizes.where(F.col("n") > FOLD), "part", "left_semi").select("pos", "id", "loc"), "records")
+        if not n["n"]:
+            return functools.reduce(DataFrame.unionByName, kept)
+
+
+def _in_order(part):
+    ids, places, keep = set(), set(), []
+    part = part.sort_values("pos")
+    for i, place in zip(part["id"], part["loc"], strict=True):
+        free = i not in ids and place not in places
+        if free:
+            ids.add(i)
+            places.add(place)
+        keep.append(free)
+    return part.loc[keep, ["pos", "id", "loc"]]
+
+
+def _conflicts(records: DataFrame) -> DataFrame:
+    """``records`` with ``part``: the least ``pos`` of all that share ids or places with
+    them, directly or by way of others."""
+    state = cut(records.withColumn("part", F.col("pos")), "parts")
+    while True:
+        by_id, by_loc = (state.groupBy(c).agg(F.min("part").alias(f"by_{c}")) for c in ("id", "loc"))
+        near = state.join(by_id, "id").join(by_loc, "loc").withColumn("low", F.least("part", "by_id", "by_loc"))
+        # What the record of that name has found by itself holds as well.
+        jump = state.select(F.col("pos").alias("low"), F.col("part").alias("jump"))
+        now = near.join(jump, "low", "left").select("pos", "id", "loc", F.least("low", "jump").alias("next"), "part")
+        old = state
+        state, n = cut_counted(now.select("pos", "id", "loc", F.col("next").alias("part"), (F.col("next") < F.col("part")).alias("moved")), "parts", moved=F.count_if("moved"))
+        state = state.drop("moved")
+        discard(old)
+        if not n["moved"]:
+            return state
 
 
 def duplicate_locations(records: DataFrame) -> DataFrame:
@@ -215,18 +277,24 @@ def stratified_sample(records: DataFrame, target: int = 100, minima: dict[str, i
 
     Each step takes what its strata still need, given what the steps before
     took. Rows are ordered by a seeded hash of their id instead of a sequential
-    draw. The quota may exceed ``target`` where strata are many.
+    draw. The quota may exceed ``target`` where strata are many. A stratum of any
+    size costs each task the few rows that it may give: ranks go only as far as
+    the strata's minima, so Spark keeps no more of them before the shuffle.
     """
     order = [F.md5(F.concat(F.lit(f"{seed}|"), F.col("cve_id").cast("string"))).alias("__h"), F.col("cve_id")]
-    df = records.withColumn("__h", order[0]).withColumn("__bin", loc_bin("loc")).withColumn("__in", F.lit(False))
+    df = records.withColumn("__h", order[0]).withColumn("__bin", loc_bin("loc"))
+    taken = None
     for column, least in (("__bin", minima["bin"]), ("sink_api", minima["sink"]), ("cvss_severity", minima["severity"])):
-        taken = df.groupBy(F.col(column).alias("__s")).agg(F.count_if("__in").alias("__have"))
-        first = Window.partitionBy(column, "__in").orderBy("__h", "cve_id")
-        more = df.withColumn("__r", F.row_number().over(first)).join(taken, F.col(column).eqNullSafe(F.col("__s")))
-        df = cut(more.withColumn("__in", F.col("__in") | (F.col("__r") <= F.lit(least) - F.col("__have"))).drop("__r", "__s", "__have"), "sample")
-    need = df.where("__in")
-    rest = df.where("not __in").orderBy("__h", "cve_id").limit(max(0, target - need.count()))
-    return need.unionByName(rest).drop("__h", "__bin", "__in")
+        left = df if taken is None else df.join(taken.select("__h", "cve_id"), ["__h", "cve_id"], "left_anti")
+        first = left.withColumn("__r", F.row_number().over(Window.partitionBy(column).orderBy("__h", "cve_id"))).where(F.col("__r") <= least)
+        if taken is None:
+            more = first.drop("__r")
+        else:
+            have = taken.groupBy(F.col(column).alias("__s")).agg(F.count("*").alias("__have"))
+            more = first.join(have, F.col(column).eqNullSafe(F.col("__s")), "left").where(F.col("__r") <= F.lit(least) - F.coalesce("__have", F.lit(0))).drop("__r", "__s", "__have")
+        taken = cut(more if taken is None else taken.unionByName(more), "sample")
+    rest = df.join(taken.select("__h", "cve_id"), ["__h", "cve_id"], "left_anti").orderBy("__h", "cve_id").limit(max(0, target - taken.count()))
+    return taken.unionByName(rest).drop("__h", "__bin")
 
 
 def supplement(existing: DataFrame, new: DataFrame, key: str = "cve_id") -> DataFrame:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
-import random
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.permute import permuted
 from .joins import ordinal, overlay
 
 SEED, TRAIN_FRACTION = 235711, 0.25
@@ -83,13 +83,11 @@ def patched_stats(rows: DataFrame) -> DataFrame:
 
 
 def seeded_subset(df: DataFrame, key: str, n: int, seed: int = SEED) -> DataFrame:
-    """``n`` cases by a seeded choice, in their old order (T05). The driver
-    draws ``n`` places; it sees no rows."""
+    """``n`` cases by a seeded choice, in their old order (T05): those that a seeded
+    permutation of all places sends to the first ``n``."""
     placed = ordinal(df, "pos", "__at")
     total = placed.count()
-    chosen = random.Random(seed).sample(range(total), min(n, total))
-    places = df.sparkSession.createDataFrame([(i,) for i in chosen], "__at long")
-    return placed.join(places, "__at", "left_semi").drop("__at").orderBy("pos")
+    return placed.where(permuted("__at", total, seed) < n).drop("__at").orderBy("pos")
 
 
 def spot_check(records: DataFrame, key: str, share: int = 10, seed: int = SEED) -> DataFrame:
@@ -100,18 +98,16 @@ def spot_check(records: DataFrame, key: str, share: int = 10, seed: int = SEED)
 
 
 def split(df: DataFrame, key: str, fraction: float = TRAIN_FRACTION, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """Train and validation cases (T06): the first keeps the shuffled order.
-    The driver shuffles places, a number a case; it sees no rows."""
+    """Train and validation cases (T06): the first in shuffled order (``train_pos``),
+    the others in their old one. The shuffle is a permutation of places as a
+    column, so sizes are exact and the driver sees one number, the count."""
     placed = ordinal(df, "pos", "__at")
     total = placed.count()
     if total < 2:
         return df.limit(0), df
     n = min(total - 1, max(1, math.ceil(total * fraction)))
-    shuffled = list(range(total))
-    random.Random(seed).shuffle(shuffled)
-    order = df.sparkSession.createDataFrame([(at, i) for i, at in enumerate(shuffled[:n])], "__at long, train_pos int")
-    train = placed.join(order, "__at").drop("__at").orderBy("train_pos")
-    return train, placed.join(order, "__at", "left_anti").drop("__at").orderBy("pos")
+    drawn = placed.withColumn("train_pos", permuted("__at", total, seed)).drop("__at")
+    return drawn.where(F.col("train_pos") < n).orderBy("train_pos"), drawn.where(F.col("train_pos") >= n).drop("train_pos").orderBy("pos")
 
 
 def variance_plan(cases: DataFrame, key: str, n: int = 20, seeds: int = 5, k: int = 3, seed: int = SEED) -> DataFrame:

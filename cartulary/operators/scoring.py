@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -210,19 +212,56 @@ def verdict_contingency(rows: DataFrame) -> DataFrame:
 
 def signed_rank(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Wilcoxon's signed-rank sums of paired values, by ``k`` (A35): ``n``
-    pairs that differ, ``w_plus``, ``w_minus``, ``w`` and ``z``. Equal
-    differences share their mean rank."""
+    pairs that differ, ``w_plus``, ``w_minus``, ``w``, ``z`` and the two-sided ``p_normal`` of the
+    normal limit (with ties, without a correction for continuity) and ``p``, which
+    is exact up to EXACT_PAIRS pairs and the limit's beyond. Equal differences share
+    their mean rank."""
     d = rows.select("k", (F.col(a) - F.col(b)).alias("d")).where("d <> 0").withColumn("x", F.abs("d"))
     # The mean rank of a value follows from counts, so no task ranks all rows.
     counts = d.groupBy("k", "x").agg(F.count("*").alias("c"), F.count_if(F.col("d") > 0).alias("up"))
     before = F.sum("c").over(Window.partitionBy("k").orderBy("x")) - F.col("c")
     ranks = counts.withColumn("rank", before + (F.col("c") + 1) / 2)
     out = ranks.groupBy("k").agg(
-        F.sum("c").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (F.col("c") - F.col("up"))).alias("w_minus"), F.sum(F.expr("c * c * c - c")).alias("__ties")
+        F.sum("c").alias("n"), F.slice(F.sort_array(F.collect_list(F.when(F.col("rank") <= EXACT_PAIRS, F.struct((2 * F.col("rank")).cast("int").alias("r"), "c")))), 1, EXACT_PAIRS).alias("__ranks"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (F.col("c") - F.col("up"))).alias("w_minus"), F.sum(F.expr("c * c * c - c")).alias("__ties")
     )
     out = out.withColumn("w", F.least("w_plus", "w_minus"))
     var = F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("__ties") / 48
-    return out.withColumn("z", F.when(var > 0, (F.col("w") - F.col("n") * (F.col("n") + 1) / 4) / F.sqrt(var))).drop("__ties")
+    out = out.withColumn("z", F.when(var > 0, (F.col("w") - F.col("n") * (F.col("n") + 1) / 4) / F.sqrt(var)))
+    out = out.withColumn("p_normal", F.least(F.lit(1.0), 2 * _normal_below(F.col("z"))))
+    exact = F.when(F.col("n") <= EXACT_PAIRS, signed_rank_p(F.col("__ranks"), F.col("w")))
+    return out.withColumn("p", F.coalesce(exact, F.col("p_normal"))).drop("__ties", "__ranks")
+
+
+#: Pairs up to which the signed-rank sum's distribution is counted out.
+EXACT_PAIRS = 50
+
+
+def signed_rank_p(ranks: Column, w: Column) -> Column:
+    """Two-sided p of the lesser signed-rank sum ``w`` if every rank has either
+    sign with equal chance.
+
+    ``ranks``: structs of ``r``, twice a rank (a mean rank may be a half), and ``c``, how often
+    it is there. The array holds, for each doubled sum up to 2w, how many of the
+    ways to choose signs have it; each rank adds the array shifted by itself.
+    Counts stay below 2 ** 53, so doubles are exact.
+    """
+    most = F.round(2 * w).cast("int")
+    none = F.transform(F.sequence(F.lit(0), most), lambda s: F.when(s == 0, 1.0).otherwise(0.0))
+    every = F.flatten(F.transform(ranks, lambda x: F.array_repeat(x["r"], x["c"].cast("int"))))
+
+    def add(ways: Column, r: Column) -> Column:
+        return F.transform(ways, lambda v, s: v + F.coalesce(F.get(ways, F.when(s >= r, s - r)), F.lit(0.0)))
+
+    ways = F.aggregate(every, none, add, lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x))
+    return F.least(F.lit(1.0), 2 * ways / F.pow(F.lit(2.0), F.size(every)))
+
+
+def _normal_below(z: Column) -> Column:
+    """The share of the standard normal distribution below z, to about 1e-7
+    (a fixed rational approximation of its tail)."""
+    t = 1 / (1 + 0.2316419 * F.abs(z))
+    tail = F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return F.when(z <= 0, tail).otherwise(1 - tail)
 
 
 def triage_summary(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -467,12 +467,29 @@ def q_json_recover(spark, d):
 
 @query("""with s as (select l_suppkey as cid, cast(extract(year from l_shipdate) % 4 as int) as k, l_returnflag = 'A' as t, l_linestatus = 'F' as a from lineitem),
 x as (select cid, k, count(*) filter (t and a) - count(*) filter (t and not a) as d from s group by cid, k), y as (select *, abs(d) as m from x where d <> 0),
-r as (select *, avg(rn) over (partition by k, m) as rk from (select *, row_number() over (partition by k order by m) as rn from y))
-select k, count(*) as n, sum(case when d > 0 then rk else 0 end) as w_plus, sum(case when d < 0 then rk else 0 end) as w_minus from r group by k""")
+r as (select *, avg(rn) over (partition by k, m) as rk from (select *, row_number() over (partition by k order by m) as rn from y)),
+t as (select k, sum(c * c * c - c) as ties from (select k, m, count(*) as c from y group by k, m) group by k),
+w as (select k, count(*) as n, sum(case when d > 0 then rk else 0 end) as w_plus, sum(case when d < 0 then rk else 0 end) as w_minus from r group by k),
+z as (select w.*, abs(least(w_plus, w_minus) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0) as z from w join t on t.k = w.k)
+select k, n, w_plus, w_minus, round((select sum(exp(-pow(z + (i + 0.5) * 0.001, 2) / 2) * 0.001) from generate_series(0, 11999) s(i)) * 2 / sqrt(2 * pi()), 5) as p from z""")
 def q_signed_rank(spark, d):
     s = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("cid"), (F.year("l_shipdate") % 4).alias("k"), (F.col("l_returnflag") == "A").alias("t"), (F.col("l_linestatus") == "F").alias("a"))
     x = s.groupBy("cid", "k").agg(F.count_if(F.col("t") & F.col("a")).alias("one"), F.count_if(F.col("t") & ~F.col("a")).alias("two"))
-    return scoring.signed_rank(x, "one", "two").select("k", "n", F.col("w_plus").cast("double").alias("w_plus"), F.col("w_minus").cast("double").alias("w_minus"))
+    found = scoring.signed_rank(x, "one", "two")
+    return found.select("k", "n", F.col("w_plus").cast("double").alias("w_plus"), F.col("w_minus").cast("double").alias("w_minus"), F.round("p", 5).alias("p"))
+
+
+@query("""with c as (select n_nationkey as n, n_regionkey as k, (select count(*) from customer where c_nationkey = n_nationkey and c_mktsegment = 'BUILDING') - (select count(*) from customer where c_nationkey = n_nationkey and c_mktsegment = 'MACHINERY') as d from nation),
+y as (select *, abs(d) as m from c where d <> 0), r as (select *, row_number() over (partition by k order by m, n) - 1 as i, avg(rn) over (partition by k, m) as rk from (select *, row_number() over (partition by k order by m) as rn from y)),
+w as (select k, count(*) as n, least(sum(case when d > 0 then rk else 0 end), sum(case when d < 0 then rk else 0 end)) as w from r group by k),
+s as (select w.k, m.i, sum(case when (m.i >> r.i) & 1 = 1 then r.rk else 0 end) as x from w cross join (select unnest(range(0, 1024)) as i) m join r on r.k = w.k where m.i < (1 << w.n) group by 1, 2)
+select w.k, w.n, cast(w.w as double) as w, least(1.0, 2.0 * count(*) filter (s.x <= w.w) / count(*)) as p from w join s on s.k = w.k group by 1, 2, 3""")
+def q_signed_rank_exact(spark, d):
+    """Building against machinery customers of each region's nations: the p of few
+    pairs is counted out (A35)."""
+    c = _t(spark, d, "customer").groupBy("c_nationkey").agg(F.count_if(F.col("c_mktsegment") == "BUILDING").alias("one"), F.count_if(F.col("c_mktsegment") == "MACHINERY").alias("two"))
+    x = _t(spark, d, "nation").join(c, F.col("n_nationkey") == F.col("c_nationkey"), "left").na.fill(0).withColumn("k", F.col("n_regionkey"))
+    return scoring.signed_rank(x, "one", "two").select("k", "n", F.col("w").cast("double").alias("w"), "p")
 
 
 @query("""with s as (select l_suppkey as c, cast(extract(year from l_shipdate) % 4 as int) as k, count(*) filter (l_returnflag = 'A') as tp, count(*) filter (l_returnflag = 'R') as fp, count(*) filter (l_returnflag = 'N') as fn from lineitem group by 1, 2),
@@ -503,12 +520,18 @@ def q_truncate(spark, d):
     return _t(spark, d, "benchmark").select("item_id", truncate("text").alias("shown"))
 
 
-@query()
+@query("""with recursive g as (select n, a, (n + a - 1) // a as b from (select count(*) as n, cast(floor(sqrt(count(*) - 1)) as bigint) + 1 as a from supplier)),
+x as (select s_suppkey, row_number() over (order by s_suppkey) - 1 as z from supplier),
+w(z, i, l, r) as (select z, 0, z // b, z % b from x, g union all
+  select z, i + 1, case when i % 2 = 0 then (l + ('0x' || substr(md5('235711|' || i % 8 || '|' || r), 1, 12))::bigint) % a else l end, case when i % 2 = 1 then (r + ('0x' || substr(md5('235711|' || i % 8 || '|' || l), 1, 12))::bigint) % b else r end
+  from w, g where not (i > 0 and i % 8 = 0 and l * b + r < n)),
+p as (select z, l * b + r as place from w, g where i > 0 and i % 8 = 0 and l * b + r < n)
+select s_suppkey, place < least(n - 1, greatest(1, ceil(n * 0.25))) as train, case when place < least(n - 1, greatest(1, ceil(n * 0.25))) then place end as train_pos from x join p on x.z = p.z, g""")
 def q_seeded_split(spark, d):
-    """Train and validation suppliers by a seeded shuffle."""
+    """Train and validation suppliers by a seeded permutation of their places."""
     cases = _t(spark, d, "supplier").select("s_suppkey", F.col("s_suppkey").alias("pos"))
     train, validate = runs.split(cases, "s_suppkey")
-    return train.select("s_suppkey", F.lit("train").alias("part")).unionByName(validate.select("s_suppkey", F.lit("validate").alias("part")))
+    return train.select("s_suppkey", F.lit(True).alias("train"), "train_pos").unionByName(validate.select("s_suppkey", F.lit(False).alias("train"), F.lit(None).cast("long").alias("train_pos")))
 
 
 @query("""with x as (select o_custkey as c, count(*) as tp, count(*) filter (o_orderstatus = 'F') as fp from orders group by 1) select c, tp, fp, round(tp / (tp + fp), 6) as p, round(2 * (tp / (tp + fp)) * 1.0 / ((tp / (tp + fp)) + 1.0), 6) as f1 from x""")

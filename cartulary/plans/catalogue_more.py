@@ -288,12 +288,19 @@ def q_supplement(spark, d):
     return curation.supplement(old, new).select("cve_id")
 
 
-@query()
+@query("""with recursive l as (select distinct md5(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey || '|' || cast(round(l_extendedprice * 100) as bigint)) as pos, l_suppkey as id, l_orderkey || '/' || l_linenumber as loc, l_returnflag <> 'R' as ok from lineitem),
+a(n, pos, ids, locs) as (select 0, '', [-1], [''] union all
+  select * from (select a.n + 1, c.pos, list_append(a.ids, c.id), list_append(a.locs, c.loc) from a join l c on c.ok and not list_contains(a.ids, c.id) and not list_contains(a.locs, c.loc) order by c.pos limit 1)),
+h as (select l.* from a join l on l.pos = a.pos and l.ok)
+select l.pos, cast(l.id as varchar) as cve_id, case when i.pos < l.pos then 'duplicate_cve_id' when not l.ok then 'no_vulnerable_commit' when p.pos < l.pos then 'duplicate_location' end as reason
+from l left join h i on i.id = l.id left join h p on p.loc = l.loc""")
 def q_accept_records(spark, d):
     """Acceptance with ids and places held by accepted records only."""
     li = _t(spark, d, "lineitem")
-    rows = li.select(
-        F.xxhash64(*li.columns).alias("pos"), F.col("l_suppkey").cast("string").alias("cve_id"), F.lit("p").alias("patch_commit"), F.when(F.col("l_returnflag") != "R", "v").alias("vulnerable_commit"), F.lit("r").alias("repo_url"),
+    # A record's place is a hash of it: an order that has nothing to do with ids.
+    place = F.md5(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long")))
+    rows = li.withColumn("pos", place).dropDuplicates(["pos"]).select(
+        "pos", F.col("l_suppkey").cast("string").alias("cve_id"), F.lit("p").alias("patch_commit"), F.when(F.col("l_returnflag") != "R", "v").alias("vulnerable_commit"), F.lit("r").alias("repo_url"),
         F.col("l_orderkey").cast("string").alias("vulnerable_file"), F.array("l_linenumber").alias("vulnerable_lines"), F.lit(None).cast("string").alias("rejection"),
     )
     return curation.accept_records(rows).select("pos", "cve_id", "reason")

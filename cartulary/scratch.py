@@ -36,6 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted by :func:`cleanup` like a table."""
+    path = f"{shared_dir(spark)}/cartulary-{name}-{uuid.uuid4().hex}"
+    _MADE.add(path)
+    return path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
