@@ -89,6 +89,17 @@ def truncate(x: Column | str, chars: int = EVIDENCE_CHARS) -> Column:
     return F.when(F.length(x) > chars, F.concat(F.substring(x, 1, chars - 3), F.lit("..."))).otherwise(x)
 
 
+#: What text cells of reports keep at most: any, actions, diffs, notes.
+TEXT_CAP, ACTIONS_CAP, DIFF_CAP, NOTES_CAP = 500, 1000, 6000, 200
+
+
+def compact_text(x: Column | str, cap: int = TEXT_CAP) -> Column:
+    """A report's cell: line ends as line feeds, cut to ``cap`` characters without a
+    mark; null is empty (T04)."""
+    plain = F.regexp_replace(F.coalesce(col(x).cast("string"), F.lit("")), "\r\n?", "\n")
+    return F.substring(plain, 1, cap)
+
+
 def numbered(lines: Column, first: Column) -> Column:
     """Lines with their numbers, right-aligned to five digits, joined."""
     number = lambda i: (first + i).cast("string")

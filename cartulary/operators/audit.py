@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import hash16, in_range, paths_match
-from .scoring import clusters, fn_cause, fp_cause, relaxed_scores
+from ..functions.text import compact_text, hash16, in_range, paths_match
+from .scoring import clusters, fn_cause, fp_cause, match_truth, relaxed_scores
 
 EMPTY_HASH = "e3b0c44298fc1c14"
 PRIORITY = {"taint": 4, "relaxed": 3, "def_use": 2, "direct_sink": 1}
@@ -28,10 +28,31 @@ def aligned_rows(iterations: DataFrame) -> DataFrame:
     return rows.withColumn("row_id", F.concat_ws("/", "cve_id", "k", "patched", "finding_index"))
 
 
-def fp_rows(rows: DataFrame) -> DataFrame:
-    """Rows counted against precision, with their cause."""
+#: Text columns of an audit's false positives that are capped.
+FP_TEXTS = ("file", "rule_id", "sink_api", "verdict", "source_expr", "sink_expr", "downgrade_reason", "reasoning", "suggestion")
+
+
+def fp_rows(rows: DataFrame, truth: DataFrame | None = None, tolerance: int = 5, prefix: str = "joern") -> DataFrame:
+    """Rows counted against precision, with their cause, arm and capped texts.
+
+    Rows of a patched version count whatever their label; without one it is
+    ``patched_commit_alert``. With ``truth`` (as for :func:`fn_rows`) ``matched_gt_line`` is the
+    first vulnerable line near the row, empty where there is none. Columns that
+    ``rows`` lacks stay away; other columns stay as they are.
+    """
     kept = rows.where(F.col("patched") | F.col("label").startswith("fp_"))
-    return kept.withColumn("fp_cause", fp_cause(F.col("label"), F.col("verdict"), F.col("source_in_snippet"), F.col("patched")))
+    cause = fp_cause(F.col("label"), F.col("verdict"), F.col("source_in_snippet"), F.col("patched"))
+    kept = kept.withColumn("fp_cause", cause).withColumn("label", F.when(F.col("patched") & (F.col("label") == ""), "patched_commit_alert").otherwise(F.col("label")))
+    kept = kept.withColumn("arm_key", F.concat(F.lit(f"{prefix}_"), F.col("k").cast("string"), F.when(F.col("patched"), "_patched").otherwise("")))
+    if truth is not None:
+        t = truth.select("cve_id", F.col("vulnerable_file").alias("gt_file"), F.col("vulnerable_lines").alias("gt_lines"))
+        line = kept.withColumn("file_path", F.col("file")).withColumn("line_start", F.col("line"))
+        kept = match_truth(line, t, ["cve_id"], tolerance).drop("file_path", "line_start")
+        kept = kept.withColumn("matched_gt_line", F.coalesce(F.col("gt_line").cast("string"), F.lit(""))).drop("gt_line")
+    texts = {c: compact_text(c) for c in FP_TEXTS if c in kept.columns}
+    if "confidence" in kept.columns:
+        texts["confidence"] = F.coalesce("confidence", F.lit(0.0))
+    return kept.withColumns(texts)
 
 
 def fn_rows(iterations: DataFrame, rows: DataFrame, truth: DataFrame, tolerance: int = 5) -> DataFrame:
@@ -82,7 +103,7 @@ def audit(results: DataFrame, truth: DataFrame, hunks: DataFrame, tolerance: int
     ``recovery`` and ``top_cases``."""
     its, truth = arms(results), last_by(truth, "cve_id")
     rows = aligned_rows(its)
-    fp, fn, iteration = fp_rows(rows), fn_rows(its, rows, truth, tolerance), iteration_rows(its)
+    fp, fn, iteration = fp_rows(rows, truth, tolerance), fn_rows(its, rows, truth, tolerance), iteration_rows(its)
     lines = truth.select(F.col("cve_id").alias("case_id"), F.col("vulnerable_file").alias("gt_file"), F.explode("vulnerable_lines").alias("line"))
     gt = clusters(lines, ["case_id", "gt_file"], gap=gap)
     scored = rows.where("not patched").withColumnRenamed("cve_id", "case_id").join(gt.select("case_id").distinct(), "case_id", "left_semi")
@@ -168,16 +189,19 @@ def dedup_flows(flows: DataFrame) -> DataFrame:
     rank = F.struct("__prio", -F.col("arrival"))
     seen = [F.max(F.col("recovery_kind") == k).alias(f"__{k}") for k in PRIORITY]
     by_source = rows.groupBy(*sink, code).agg(F.max_by(row, rank).alias("best"), F.max(rank).alias("__rank"), F.count("*").alias("n"), F.min("arrival").alias("first"), *seen)
-    place = F.row_number().over(Window.partitionBy(*sink).orderBy(F.col("__code") == "", "first", "__code"))
-    by_source = by_source.withColumn("__place", place)
-    listed = F.when((F.col("__place") <= 8) & (F.col("__code") != ""), F.struct("first", "__code"))
+    # The eight earliest: a rank with a limit, so each task sends few on.
+    key = F.struct(*sink).alias("__sink")
+    place = F.row_number().over(Window.partitionBy("__sink").orderBy("first", "__code"))
+    listed = by_source.where("__code <> ''").select(key, "first", "__code").withColumn("__place", place).where("__place <= 8")
+    listed = listed.groupBy("__sink").agg(F.array_sort(F.collect_list(F.struct("first", "__code"))).alias("__sources"))
     out = by_source.groupBy(*sink).agg(
         F.max_by("best", "__rank").alias("best"),
         F.sum("n").alias("dedup_count"),
         F.min("first").alias("first_arrival"),
-        F.array_sort(F.collect_list(listed)).alias("__sources"),
         *[F.max(f"__{k}").alias(f"__{k}") for k in PRIORITY],
     )
+    # Structs with equal fields are equal, nulls among them.
+    out = out.withColumn("__sink", key).join(listed, "__sink", "left").withColumn("__sources", F.coalesce("__sources", F.array().cast(listed.schema["__sources"].dataType)))
     kinds = F.array(*[F.when(F.col(f"__{k}"), F.lit(k)) for k in PRIORITY])
     out = out.withColumn("recovery_kinds_seen", F.array_sort(F.array_compact(kinds))).withColumn("dedup_sources", F.transform("__sources", lambda x: x["__code"]))
     taint = F.col("recovery_kind") == "taint"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import cut, cut_counted, discard
-from .joins import ordered_first
+from .joins import ordered_first, running
 
 COMMIT_URL = r"https?://github\.com/([^/]+/[^/]+)/commit/([0-9a-fA-F]{7,40})"
 PULL_URL = r"https?://github\.com/([^/]+/[^/]+)/pull/([0-9]+)"
@@ -262,11 +262,8 @@ def length_summary(records: DataFrame, column: str = "loc") -> DataFrame:
     value whose rank is half the count; ranks come from counts by value."""
     c = records.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
     total = c.agg(F.sum("c").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.sum(F.col("v") * F.col("c")).alias("s"))
-    # Sums within about a thousand ranges of values, and over the ranges.
-    c = c.crossJoin(F.broadcast(total.select("n", "least", "most"))).withColumn("__b", F.floor((F.col("v") - F.col("least")) / F.greatest((F.col("most") - F.col("least")) / 1000, F.lit(1))))
-    ranges = c.groupBy("__b").agg(F.sum("c").alias("m"))
-    ranges = ranges.select("__b", (F.sum("m").over(Window.orderBy("__b")) - F.col("m")).alias("before"))
-    cum = c.join(ranges, "__b").withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("__b").orderBy("v")))
+    # Sums go by ranges of equally many values, however the values are spread.
+    cum = running(c, "v", "c", "before").withColumn("upto", F.col("before") + F.col("c")).crossJoin(F.broadcast(total.select("n")))
     median = cum.where(F.col("upto") > F.expr("n div 2")).agg(F.min("v").alias("median"))
     return total.crossJoin(median).select("n", "least", "most", "median", F.expr("s div n").alias("mean"))
 

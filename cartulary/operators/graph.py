@@ -256,6 +256,11 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> D
             discard(frontier)
             break
         rounds.append(frontier)
+        if len(rounds) > 8:  # so that a round reads few tables, however deep it is
+            whole = rounds[0]
+            for r in rounds[1:]:
+                whole = whole.unionByName(r)
+            rounds = [cut(whole, "reach")]
     out = rounds[0]
     for r in rounds[1:]:
         out = out.unionByName(r)

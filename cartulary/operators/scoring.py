@@ -201,8 +201,17 @@ def pick_target(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def macro_scores(rows: DataFrame) -> DataFrame:
-    """Means over cases by arm and k."""
-    return rows.groupBy("arm", "k").agg(F.count("*").alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in ("precision", "recall", "f1")])
+    """Means over cases by arm and k (A34): precision, recall and F1, and of what
+    else the rows have: ``mean_fp_per_kloc`` (``fp``, ``loc``), ``detection_rate`` (the share of
+    cases with a true positive; ``tp``), ``mean_time_s`` (``time_s``), ``mean_tokens`` (``tokens``)."""
+    more = {
+        "mean_fp_per_kloc": (("fp", "loc"), lambda: F.avg(fp_per_kloc("fp", "loc"))),
+        "detection_rate": (("tp",), lambda: F.avg(F.when(F.col("tp") > 0, 1.0).otherwise(0.0))),
+        "mean_time_s": (("time_s",), lambda: F.avg("time_s")),
+        "mean_tokens": (("tokens",), lambda: F.avg("tokens")),
+    }
+    own = [make().alias(name) for name, (needs, make) in more.items() if all(c in rows.columns for c in needs)]
+    return rows.groupBy("arm", "k").agg(F.count("*").alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in ("precision", "recall", "f1")], *own)
 
 
 def verdict_contingency(rows: DataFrame) -> DataFrame:

@@ -494,11 +494,12 @@ def q_signed_rank_exact(spark, d):
 
 @query("""with s as (select l_suppkey as c, cast(extract(year from l_shipdate) % 4 as int) as k, count(*) filter (l_returnflag = 'A') as tp, count(*) filter (l_returnflag = 'R') as fp, count(*) filter (l_returnflag = 'N') as fn from lineitem group by 1, 2),
 p as (select *, case when tp + fp > 0 then tp / (tp + fp) else 0.0 end as p, case when tp + fn > 0 then tp / (tp + fn) else 0.0 end as r from s)
-select 'a' as arm, k, count(*) as n, round(avg(p), 6) as mean_precision, round(avg(r), 6) as mean_recall, round(avg(case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end), 6) as mean_f1 from p group by k""")
+select 'a' as arm, k, count(*) as n, round(avg(case when c > 0 then fp * 1000.0 / (c * 10) else 0 end), 6) as mean_fp_per_kloc, round(avg(case when tp > 0 then 1.0 else 0.0 end), 6) as detection_rate, round(avg(c * 0.5), 6) as mean_time_s, round(avg(c * 3), 6) as mean_tokens, round(avg(p), 6) as mean_precision, round(avg(r), 6) as mean_recall, round(avg(case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end), 6) as mean_f1 from p group by k""")
 def q_macro_scores(spark, d):
     s = _t(spark, d, "lineitem").groupBy("l_suppkey", (F.year("l_shipdate") % 4).alias("k")).agg(F.count_if(F.col("l_returnflag") == "A").alias("tp"), F.count_if(F.col("l_returnflag") == "R").alias("fp"), F.count_if(F.col("l_returnflag") == "N").alias("fn"))
-    out = scoring.macro_scores(scoring.with_prf(s.withColumn("arm", F.lit("a"))))
-    return out.withColumns({c: F.round(c, 6) for c in out.columns if c.startswith("mean_")})
+    s = s.withColumns({"arm": F.lit("a"), "loc": F.col("l_suppkey") * 10, "time_s": F.col("l_suppkey") * 0.5, "tokens": F.col("l_suppkey") * 3})
+    out = scoring.macro_scores(scoring.with_prf(s))
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c.startswith(("mean_", "detection"))})
 
 
 @query("""select l_orderkey, string_agg(l_returnflag || ':' || n, ';' order by l_returnflag || ':' || n) as kinds from (select l_orderkey, l_returnflag, count(*) as n from lineitem group by all) group by l_orderkey""")

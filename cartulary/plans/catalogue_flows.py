@@ -168,12 +168,14 @@ def q_aligned_rows(spark, d):
     return audit.aligned_rows(audit.arms(_results(spark, d))).select("cve_id", "k", "patched", "finding_index", "label", "verdict", "line")
 
 
-@query(f"""with {_ROWS} select c as cve_id, k, patched, i as finding_index, case when patched then 'patched_commit_alert' when label = 'fp_by_hallucinated_source' or not src then 'evidence_hallucination' when verdict = 'true_positive' then 'triager_overclaim'
+@query(f"""with {_ROWS} select c as cve_id, k, patched, i as finding_index, case when patched and label = '' then 'patched_commit_alert' else label end as label, 'joern_' || k || case when patched then '_patched' else '' end as arm_key,
+  case when c % 3 <> 0 and file = 'a/f.py' then coalesce(cast(list_filter([10, 60, 100], lambda v: abs(v - line) <= 5)[1] as varchar), '') else '' end as matched_gt_line, case when patched then 'patched_commit_alert' when label = 'fp_by_hallucinated_source' or not src then 'evidence_hallucination' when verdict = 'true_positive' then 'triager_overclaim'
   when label = 'fp_by_location' then 'scanner_location_fp' else label end as fp_cause from e where patched or starts_with(label, 'fp_')""")
 def q_fp_rows(spark, d):
-    """Rows counted against precision, with their cause."""
+    """Rows counted against precision, with their cause, arm and vulnerable line."""
     rows = audit.aligned_rows(audit.arms(_results(spark, d)))
-    return audit.fp_rows(rows).select("cve_id", "k", "patched", "finding_index", "fp_cause")
+    found = audit.fp_rows(rows, audit.last_by(_truth(spark, d), "cve_id"))
+    return found.select("cve_id", "k", "patched", "finding_index", "label", "arm_key", "matched_gt_line", "fp_cause")
 
 
 @query(f"""with {_ROWS}, its as (select distinct c, k from e where not patched), t as (select c, k, unnest([10, 60, 100]) as gt from its where c % 3 <> 0),
@@ -315,10 +317,12 @@ def q_catalog_guards(spark, d):
 @query("""with l as (select doc_id, string_split(text, chr(10)) as ls from documents), f as (select item_id from benchmark)
 select item_id, coalesce(array_to_string(list_transform(range(1, least(18, len(ls)) + 1), lambda i: lpad(cast(i as varchar), 5, ' ') || '| ' || ls[i]), chr(10)), '') as snippet from f left join l on f.item_id = l.doc_id""")
 def q_seed_snippets(spark, d):
-    """The lines around all findings of a file, lines 2 to 6 here."""
-    b = _t(spark, d, "benchmark").select("item_id", F.col("item_id").alias("file_path"))
+    """The lines around all findings of a file, lines 2 to 6 here (W11); for odd
+    items the file is found by its base name only."""
+    folder = F.when(F.col("item_id") % 2 == 0, "d/").otherwise("gone/")
+    b = _t(spark, d, "benchmark").select("item_id", F.concat(folder, "item_id").alias("file_path"))
     at = lambda s, e: b.select("*", F.lit(s).alias("line_start"), F.lit(e).alias("line_end"))
-    files = _t(spark, d, "documents").select(F.col("doc_id").alias("file_path"), "text")
+    files = _t(spark, d, "documents").select(F.concat(F.lit("d/"), "doc_id").alias("file_path"), "text")
     return scans.seed_snippets(at(2, 3).union(at(5, 6)), files, ["item_id"]).select("item_id", "snippet")
 
 

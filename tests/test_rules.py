@@ -91,3 +91,26 @@ def test_places_do_not_run_into_each_other(spark):
     rows = [(1, "a|b", "c", [1]), (2, "a", "b|c", [1]), (3, None, "a", [1]), (4, "a", None, [1]), (5, "a|b", "c", [1, 2])]
     df = spark.createDataFrame(rows, "id int, r string, f string, l array<int>")
     assert df.select(curation.location_key("r", "f", "l")).distinct().count() == 5
+
+
+def test_audit_rows_carry_arm_label_line_and_capped_texts(spark):
+    rows = [("c", 1, True, "", "uncertain", "a/f.py", 12, "x\r\ny" + "z" * 600), ("c", 0, False, "fp_by_location", "uncertain", "g.py", 12, None), ("c", 0, False, "tp", "true_positive", "f.py", 12, None), ("c", 2, True, "tp", "true_positive", "f.py", 90, "")]
+    df = spark.createDataFrame(rows, "cve_id string, k int, patched boolean, label string, verdict string, file string, line int, reasoning string").withColumn("source_in_snippet", F.lit(True))
+    truth = spark.createDataFrame([("c", "src/f.py", [40, 15, 10])], "cve_id string, vulnerable_file string, vulnerable_lines array<int>")
+    got = {r.k: (r.arm_key, r.label, r.fp_cause, r.matched_gt_line, r.reasoning) for r in audit.fp_rows(df, truth).collect()}
+    assert got == {1: ("joern_1_patched", "patched_commit_alert", "patched_commit_alert", "15", "x\ny" + "z" * 497), 0: ("joern_0", "fp_by_location", "scanner_location_fp", "", ""), 2: ("joern_2_patched", "tp", "patched_commit_alert", "", "")}
+
+
+def test_snippets_of_files_that_moved(spark):
+    files = spark.createDataFrame([("b/x.py", "one"), ("a/x.py", "two"), ("y.py", "three")], "file_path string, text string")
+    f = spark.createDataFrame([(1, "b/x.py", 1, 1), (2, "old/x.py", 1, 1), (3, "none.py", 1, 1)], "k int, file_path string, line_start int, line_end int")
+    got = {r.k: (r.file_path, r.snippet) for r in scans.seed_snippets(f, files, ["k"]).collect()}
+    assert got == {1: ("b/x.py", "    1| one"), 2: ("old/x.py", "    1| two"), 3: ("none.py", "")}
+
+
+def test_eight_earliest_sources_of_a_sink(spark):
+    schema = "arrival long, sink_file string, sink_line string, sink_name string, sink_code string, source_file string, source_line string, source_code string, recovery_kind string"
+    rows = [(k, None, "1", None, "s", "", "", f"c{k % 12}" if k % 5 else "", "taint") for k in range(60, 0, -1)] + [(99, "f", "1", "n", "s", "", "", "", "taint")]
+    got = {r.sink_file: r for r in audit.dedup_flows(spark.createDataFrame(rows, schema)).collect()}
+    assert got[None].dedup_sources == ["c1", "c2", "c3", "c4", "c6", "c7", "c8", "c9"] and got[None].dedup_count == 60
+    assert got["f"].dedup_sources == [] and got["f"].message == "Direct sink call: s"
