@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Runs of ASCII letters and of characters beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Terms are runs of ASCII letters and of characters beyond ASCII; these are
+#: the runs between them.
+TERM, BETWEEN = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Documents of its language in which a kept term stands, at least.
 LEAST_DOCUMENTS = 10
@@ -37,13 +38,15 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """``lang, source, term, n`` (occurrences) and ``df`` (documents).
 
     ``docs``: ``lang, source, text``. A text's terms come as two arrays, all and the
-    distinct ones, so rows are summed before they are shuffled.
+    distinct ones, so rows are summed before they are shuffled. The text is split
+    between its terms: extracting them would copy it for every match.
     """
     lowered = f"translate(text, '{UPPER}', '{LOWER}')"
-    pattern = TERM.replace("\\", "\\\\")
-    both = f"flatten(transform(array(regexp_extract_all({lowered}, '{pattern}', 0)), w -> array(named_struct('w', w, 'd', 0L), named_struct('w', array_distinct(w), 'd', 1L))))"
+    pattern = BETWEEN.replace("\\", "\\\\")
+    both = f"flatten(transform(array(split({lowered}, '{pattern}', -1)), w -> array(named_struct('w', w, 'd', 0L), named_struct('w', array_distinct(w), 'd', 1L))))"
     arrays = docs.select("lang", "source", F.explode(F.expr(both)).alias("b")).select("lang", "source", "b.w", "b.d")
-    terms = arrays.select("lang", "source", "d", F.explode("w").alias("term"))
+    # A text that begins or ends between terms has an empty part there.
+    terms = arrays.select("lang", "source", "d", F.explode("w").alias("term")).where("term <> ''")
     return terms.groupBy("lang", "source", "term").agg(F.sum(1 - F.col("d")).alias("n"), F.sum("d").alias("df"))
 
 
