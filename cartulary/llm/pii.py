@@ -3,10 +3,12 @@
 What the fixed patterns find are seed entities. The words around them are
 lexical patterns: two words ahead, one word ahead and one behind. Patterns and
 the identifier-like strings (instances) that occur in them form a graph. In
-rounds, a pattern's confidence for a kind is the mean confidence of its
-occurrences, and an instance's is what its patterns leave of doubt. Instances
-that no fixed pattern knows, in patterns of high confidence and with enough
-different seeds, are reported with the pattern's kind.
+rounds, a pattern with enough different seeds of a kind has as its confidence
+the mean confidence of its occurrences, and an instance has what its patterns
+leave of doubt; an instance of high confidence is a seed of the next round, so
+it brings in patterns that no fixed pattern supports. Instances that no fixed
+pattern knows, in patterns of high confidence, are reported with the pattern's
+kind.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, discard
+from .common import cut, discard, set_aside
 from .spans import joined, tagged, with_matches
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -61,22 +63,25 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     those of ``base`` and the discovered ones.
 
     All rows stay, with null, empty and repeated texts; equal texts get equal
-    spans. Columns of those names in ``docs`` are replaced.
+    spans. Columns of those names in ``docs`` are replaced, all others stay,
+    whatever their names. An empty table stays empty.
     """
-    df = docs.drop("base", "spans").withColumn("__text", F.col(f"`{text}`"))
+    inner, names, back = set_aside(docs, "base", "spans")
+    df = inner.withColumn("__text", F.col(names[text]))
     # One row stands for all rows of a text; two hashes tell texts apart.
     df = df.withColumn("__h", F.xxhash64("__text")).withColumn("__g", F.xxhash64(F.lit(1), "__text"))
     df = cut(_candidates(with_base_spans(df, "__text")).drop("__text"), "pii")
     found = _discover(df)
     out = df.drop("__cand").join(found, ["__h", "__g"], "left")
     more = F.expr("filter(__found, f -> not exists(base, b -> b.start < f.end and f.start < b.end))")
-    return out.withColumn("__found", F.coalesce("__found", F.expr("slice(base, 1, 0)"))).withColumn("spans", F.array_sort(F.concat("base", more))).drop("__found", "__h", "__g")
+    out = out.withColumn("__found", F.coalesce("__found", F.expr("slice(base, 1, 0)"))).withColumn("spans", F.array_sort(F.concat("base", more)))
+    return back(out, "base", "spans")
 
 
 def _candidates(df: DataFrame) -> DataFrame:
     """Add ``__cand``: identifier-like strings with their place, their context
     and the kind of the base span that they hold (null: unknown)."""
-    df = with_matches(df, "__text", "__c", CANDIDATE, F.col("__text").rlike("[0-9@]"))
+    df = with_matches(df, "__text", "__c", CANDIDATE, F.col("__text").rlike("[0-9@]"), words=2)
     wide = f"length(x.value) >= {LEAST_CHARS} and (x.value like '%@%' or length(regexp_replace(x.value, '[^0-9]', '')) >= {LEAST_DIGITS})"
     word = "regexp_extract(lower({}), '{}', 1)"
     one = word.format("x.lhs", r"(\\S++)\\s*+$")
@@ -99,32 +104,35 @@ def _discover(df: DataFrame) -> DataFrame:
     for pattern in ("concat('a:', ahead1)", "concat('b:', ahead2)", "concat('c:', ahead1, ' | ', behind)"):
         rows.append(seen.select("__h", "__g", "start", "end", "value", "kind", F.expr(pattern).alias("pattern")))
     seen = cut(rows[0].unionByName(rows[1]).unionByName(rows[2]), "pii-seen")
-    # Edges of the graph, with how often they occur.
+    # Edges of the graph, with how often they occur. A pattern of fewer different
+    # instances than it needs seeds can never count.
     edges = seen.groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("kind").alias("kind"))
-    seeded = edges.where("kind is not null").groupBy("pattern").agg(F.count("*").alias("seeds")).where(f"seeds >= {LEAST_SEEDS}")
-    edges = cut(edges.join(seeded, "pattern"), "pii-edges")
+    wide = edges.groupBy("pattern").agg(F.count("*").alias("values"), F.sum("n").alias("total")).where(f"values >= {LEAST_SEEDS}").drop("values")
+    edges = cut(edges.join(wide, "pattern"), "pii-edges")
     # Seeds are certain; what is unknown starts without confidence.
-    trust = edges.where("kind is not null").select("value", "kind", F.lit(1.0).alias("trust")).distinct()
-    known = trust.select("value").distinct()
+    certain = edges.where("kind is not null").select("value", "kind", F.lit(1.0).alias("trust")).distinct()
+    known = certain.select("value").distinct()
+    trust = cut(certain, "pii-trust")
     for _ in range(ROUNDS):
-        total = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
-        part = edges.drop("kind").join(trust, "value").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("trust")).alias("sure"))
-        scores = part.join(total, "pattern").select("pattern", "kind", (F.col("sure") / (F.col("total") + 1)).alias("score"))
         doubt = F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.999)))))
-        new = edges.drop("kind").join(known, "value", "left_anti").join(scores.where(f"score >= {LEAST_CONFIDENCE / 2}"), "pattern")
+        new = edges.drop("kind").join(known, "value", "left_anti").join(_scores(edges, trust).where(f"score >= {LEAST_CONFIDENCE / 2}"), "pattern")
         new = new.groupBy("value", "kind").agg((1 - doubt).alias("trust"))
-        old = trust
-        trust = cut(edges.where("kind is not null").select("value", "kind", F.lit(1.0).alias("trust")).distinct().unionByName(new), "pii-trust")
+        old, trust = trust, cut(certain.unionByName(new), "pii-trust")
         discard(old)
     best = Window.partitionBy("pattern").orderBy(F.desc("score"), "kind")
-    total = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
-    part = edges.drop("kind").join(trust, "value").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("trust")).alias("sure"))
-    scores = part.join(total, "pattern").select("pattern", "kind", (F.col("sure") / (F.col("total") + 1)).alias("score"))
-    chosen = scores.withColumn("r", F.row_number().over(best)).where(f"r = 1 and score >= {LEAST_CONFIDENCE}").select("pattern", F.col("kind").alias("of"))
+    chosen = _scores(edges, trust).withColumn("r", F.row_number().over(best)).where(f"r = 1 and score >= {LEAST_CONFIDENCE}").select("pattern", F.col("kind").alias("of"))
     found = seen.where("kind is null and end > start").join(chosen, "pattern").groupBy("__h", "__g", "start", "end").agg(F.min("of").alias("kind"))
     return found.groupBy("__h", "__g").agg(F.collect_list(F.struct("start", "kind", "end")).alias("__found"))
 
 
+def _scores(edges: DataFrame, trust: DataFrame) -> DataFrame:
+    """``pattern, kind, score`` of the patterns with LEAST_SEEDS different instances
+    of high confidence for the kind."""
+    met = edges.drop("kind").join(trust, "value").groupBy("pattern", "kind", "total")
+    sums = met.agg(F.sum(F.col("n") * F.col("trust")).alias("sure"), F.count_if(F.col("trust") >= LEAST_CONFIDENCE).alias("seeds"))
+    return sums.where(f"seeds >= {LEAST_SEEDS}").select("pattern", "kind", (F.col("sure") / (F.col("total") + 1)).alias("score"))
+
+
 def pii_digest(docs: DataFrame) -> DataFrame:
     """The digest columns of the query, for rows with ``doc_id`` and ``text``."""
     df = find_pii(docs)

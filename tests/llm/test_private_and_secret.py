@@ -173,3 +173,97 @@ def test_secrets_in_very_long_strings(spark):
     texts = ["a-" * 200_000, "1-" * 200_000, "ab/" * 200_000, "Ab" * 100_000, "x" * 300_000, "password=" * 50_000, "+1 (" * 50_000, "a@b." * 50_000, "1.2.3.4." * 30_000, "1 2 " * 100_000]
     docs = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
     assert len(scan_secrets(docs).collect()) == len(texts) == len(find_pii(docs).collect())
+
+
+def test_found_instances_seed_patterns_of_the_next_round(spark):
+    """Identifiers found in one context make another context a pattern."""
+    rows = [(f"please write to user{i}{i}@mail{i}.org today",) for i in range(20)] + [(f"please write to bob{i}i88{i} today",) for i in range(8)]
+    rows += [(f"the alias handle bob{i}i88{i} here",) for i in range(8)] + [("the alias handle tom77123 here",), ("some other thing 12345678 there",)]
+    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii_digest(docs).collect()}
+    assert all(found[k] == "email:16:24" for k in range(20, 28)) and all(found[k] == "email:17:25" for k in range(28, 36))
+    assert found[36] == "email:17:25" and found[37] == ""
+
+
+def plain_discovery(texts):
+    """The graph and its rounds over plain words; candidates stand alone here."""
+    from collections import defaultdict
+
+    from cartulary.llm import pii
+
+    seen, graph = [], defaultdict(lambda: [0, None])
+    for t in texts:
+        words = t.split(" ")
+        for i, w in enumerate(words):
+            if len(w) >= pii.LEAST_CHARS and ("@" in w or sum(c.isdigit() for c in w) >= pii.LEAST_DIGITS):
+                one, two, behind = words[i - 1].lower(), " ".join(words[i - 2 : i]).lower(), words[i + 1].lower()
+                for p in (f"a:{one}", f"b:{two}", f"c:{one} | {behind}"):
+                    kind = 0 if "@" in w else None
+                    seen.append((t, i, w, kind, p))
+                    graph[p, w.lower()][0] += 1
+                    graph[p, w.lower()][1] = kind
+    total, values = defaultdict(int), defaultdict(int)
+    for (p, _), (n, _) in graph.items():
+        total[p] += n
+        values[p] += 1
+    edges = {k: v for k, v in graph.items() if values[k[0]] >= pii.LEAST_SEEDS}
+    certain = {w: 1.0 for (_, w), (_, kind) in edges.items() if kind is not None}
+    trust = dict(certain)
+
+    def scores():
+        sure, seeds = defaultdict(float), defaultdict(int)
+        for (p, w), (n, _) in edges.items():
+            sure[p] += n * trust.get(w, 0.0)
+            seeds[p] += trust.get(w, 0.0) >= pii.LEAST_CONFIDENCE
+        return {p: sure[p] / (total[p] + 1) for p in sure if seeds[p] >= pii.LEAST_SEEDS}
+
+    for _ in range(pii.ROUNDS):
+        now, doubt = scores(), defaultdict(lambda: 1.0)
+        for p, w in edges:
+            if w not in certain and now.get(p, 0) >= pii.LEAST_CONFIDENCE / 2:
+                doubt[w] *= 1 - min(now[p], 0.999)
+        trust = certain | {w: 1 - d for w, d in doubt.items()}
+    chosen = {p for p, x in scores().items() if x >= pii.LEAST_CONFIDENCE}
+    return {(t, i) for t, i, _, kind, p in seen if kind is None and p in chosen}
+
+
+def test_graph_scores_equal_plain(spark):
+    import random
+
+    rng = random.Random(12)
+    frames = ["send it to {} now", "call on {} soon", "alias handle {} here", "room number {} left", "write to {} today", "code {} was used twice"]
+    ids = [f"u{k}@m{k}.org" for k in range(25)] + [f"id{k}x{k}77{k % 10}1" for k in range(25)]
+    texts = []
+    for k in range(260):
+        f = rng.choice(frames)
+        pool = ids[:25] if f == "write to {} today" and k % 4 else ids[20:40] if "alias" in f or "send" in f else ids
+        texts.append(f"well {f.format(rng.choice(pool))} and {k % 7}")
+    want = plain_discovery(texts)
+    found = set()
+    for r in find_pii(spark.createDataFrame([(t,) for t in set(texts)], "text string")).collect():
+        base = {(s.start, s.end) for s in r.base}
+        for s in r.spans:
+            if (s.start, s.end) not in base:
+                found.add((r.text, len(r.text[: s.start].split(" ")) - 1))
+    assert want and found == {w for w in want if w[0] in set(texts)}
+
+
+def test_contexts_are_whole_words_and_reach_the_last_match(spark):
+    """Words of any length tell contexts apart, and an identifier ahead is one."""
+    from cartulary.llm.pii import _candidates, with_base_spans
+
+    long = "q" * 200
+    rows = [(f"x{long} y{long} ab123456 z{long} end",), ("11112222 then 33334444 44",), ("ab123456",)]
+    out = _candidates(with_base_spans(spark.createDataFrame(rows, "__text string"), "__text")).collect()
+    got = {r["__text"]: [(c.ahead1, c.ahead2, c.behind) for c in r["__cand"]] for r in out}
+    assert got[rows[0][0]] == [(f"y{long}", f"x{long} y{long}", f"z{long}")]
+    assert got[rows[1][0]][1][:2] == ("then", "11112222 then") and got["ab123456"] == [("", "", "")]
+
+
+def test_carried_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "write to a@b.org", "x", 7, [1], "t", None)], "doc_id long, text string, __found string, __h int, __cand array<int>, __text string, base string")
+    out = find_pii(docs)
+    assert out.columns == ["doc_id", "text", "__found", "__h", "__cand", "__text", "base", "spans"]
+    r = out.first()
+    assert (r["__found"], r["__h"], r["__cand"], r["__text"], len(r.base)) == ("x", 7, [1], "t", 1)
+    assert find_pii(out).first().spans == r.spans
