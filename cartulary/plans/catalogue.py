@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import evidence_strict, f1, normal_space, ratio, recover_json, tail, truncate
+from ..functions.text import evidence_strict, f1, ratio, recover_json, tail, truncate
 from ..operators import audit, catalogs, curation, graph, joins, runs, scans, scoring
 
 QUERIES: dict = {}
@@ -471,12 +471,12 @@ r as (select *, avg(rn) over (partition by k, m) as rk from (select *, row_numbe
 t as (select k, sum(c * c * c - c) as ties from (select k, m, count(*) as c from y group by k, m) group by k),
 w as (select k, count(*) as n, sum(case when d > 0 then rk else 0 end) as w_plus, sum(case when d < 0 then rk else 0 end) as w_minus from r group by k),
 z as (select w.*, abs(least(w_plus, w_minus) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0) as z from w join t on t.k = w.k)
-select k, n, w_plus, w_minus, round((select sum(exp(-pow(z + (i + 0.5) * 0.001, 2) / 2) * 0.001) from generate_series(0, 11999) s(i)) * 2 / sqrt(2 * pi()), 5) as p from z""")
+select k, n, w_plus, w_minus, round((select sum(exp(-pow(z + (i + 0.5) * 0.001, 2) / 2) * 0.001) from generate_series(0, 11999) s(i)) * 2 / sqrt(2 * pi()), 5) as p_normal from z""")
 def q_signed_rank(spark, d):
     s = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("cid"), (F.year("l_shipdate") % 4).alias("k"), (F.col("l_returnflag") == "A").alias("t"), (F.col("l_linestatus") == "F").alias("a"))
     x = s.groupBy("cid", "k").agg(F.count_if(F.col("t") & F.col("a")).alias("one"), F.count_if(F.col("t") & ~F.col("a")).alias("two"))
     found = scoring.signed_rank(x, "one", "two")
-    return found.select("k", "n", F.col("w_plus").cast("double").alias("w_plus"), F.col("w_minus").cast("double").alias("w_minus"), F.round("p", 5).alias("p"))
+    return found.select("k", "n", F.col("w_plus").cast("double").alias("w_plus"), F.col("w_minus").cast("double").alias("w_minus"), F.round("p_normal", 5).alias("p_normal"))
 
 
 @query("""with c as (select n_nationkey as n, n_regionkey as k, (select count(*) from customer where c_nationkey = n_nationkey and c_mktsegment = 'BUILDING') - (select count(*) from customer where c_nationkey = n_nationkey and c_mktsegment = 'MACHINERY') as d from nation),

@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import cartulary.plans.catalogue_flows
+import cartulary.plans.catalogue_graphs
+import cartulary.plans.catalogue_io
 import cartulary.plans.catalogue_more  # noqa: F401
 from cartulary.plans.catalogue import ORACLE, QUERIES
 
@@ -47,7 +49,7 @@ def test_query_equals_sql(spark, duck, name):
 def test_seeded_split(spark):
     one = QUERIES["q_seeded_split"](spark, SF).collect()
     assert one == QUERIES["q_seeded_split"](spark, SF).collect()
-    assert {r.part for r in one} == {"train", "validate"}
+    assert {r.train for r in one} == {True, False}
 
 
 def test_entry_names():
