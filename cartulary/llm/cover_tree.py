@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from .common import comparable, connected_components, cut, discard, set_aside
+from .common import comparable, connected_components, cut, set_aside
 
 THRESHOLD = 0.98
 #: Vectors of a cell at most, and the bytes of their coordinates.
