@@ -189,19 +189,18 @@ def dedup_flows(flows: DataFrame) -> DataFrame:
     rank = F.struct("__prio", -F.col("arrival"))
     seen = [F.max(F.col("recovery_kind") == k).alias(f"__{k}") for k in PRIORITY]
     by_source = rows.groupBy(*sink, code).agg(F.max_by(row, rank).alias("best"), F.max(rank).alias("__rank"), F.count("*").alias("n"), F.min("arrival").alias("first"), *seen)
-    # The eight earliest: a rank with a limit, so each task sends few on.
-    key = F.struct(*sink).alias("__sink")
-    place = F.row_number().over(Window.partitionBy("__sink").orderBy("first", "__code"))
-    listed = by_source.where("__code <> ''").select(key, "first", "__code").withColumn("__place", place).where("__place <= 8")
-    listed = listed.groupBy("__sink").agg(F.array_sort(F.collect_list(F.struct("first", "__code"))).alias("__sources"))
-    out = by_source.groupBy(*sink).agg(
+    # The eight earliest: a rank with a limit, so each task sends few on; they are
+    # rows beside the others, and one aggregate takes both.
+    place = F.row_number().over(Window.partitionBy(*sink).orderBy("first", "__code"))
+    top = by_source.where("__code <> ''").select(*sink, "first", "__code").withColumn("__place", place).where("__place <= 8")
+    top = top.select(*sink, F.struct("first", "__code").alias("__listed"))
+    out = by_source.drop("__code").unionByName(top, allowMissingColumns=True).groupBy(*sink).agg(
         F.max_by("best", "__rank").alias("best"),
         F.sum("n").alias("dedup_count"),
         F.min("first").alias("first_arrival"),
+        F.array_sort(F.collect_list("__listed")).alias("__sources"),
         *[F.max(f"__{k}").alias(f"__{k}") for k in PRIORITY],
     )
-    # Structs with equal fields are equal, nulls among them.
-    out = out.withColumn("__sink", key).join(listed, "__sink", "left").withColumn("__sources", F.coalesce("__sources", F.array().cast(listed.schema["__sources"].dataType)))
     kinds = F.array(*[F.when(F.col(f"__{k}"), F.lit(k)) for k in PRIORITY])
     out = out.withColumn("recovery_kinds_seen", F.array_sort(F.array_compact(kinds))).withColumn("dedup_sources", F.transform("__sources", lambda x: x["__code"]))
     taint = F.col("recovery_kind") == "taint"
