@@ -75,7 +75,8 @@ def test_nearest(spark):
 @pytest.mark.parametrize("name", sorted(q.ORACLE))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     found = con.execute(q.ORACLE[name])
     columns = [c[0] for c in found.description]
     want = sorted(map(repr, found.fetchall()))
