@@ -14,6 +14,7 @@ counts by length and hash bucket, so no task ranks all pieces of a length.
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -23,44 +24,74 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut
+from .common import bounded_batches, comparable, cut, set_aside
 from .vectext import portions, run_hashes, text_bytes
 
-#: Pieces of text whose ids a Python worker keeps, twice.
-CACHE = 300_000
+#: Bytes of pieces of text and their ids that a Python worker keeps, twice, and
+#: what one of them takes beside its own bytes.
+CACHE, ENTRY = 32 << 20, 200
+#: Bytes of texts that a Python worker encodes at once, and one longer text.
+PORTION = 2 << 20
 #: Pieces that one rank bucket holds on average at most.
 BUCKET_ROWS = 20_000
 
 PIECE = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-class Kept(dict):
-    """A dictionary that forgets what was not asked for since it last filled."""
+class Kept:
+    """What was asked for lately, in two generations of bounded bytes: as the
+    younger fills, the older is forgotten."""
 
     def __init__(self, most: int):
-        super().__init__()
-        self.most, self.old = most, {}
+        self.most, self.used, self.young, self.old = most, 0, {}, {}
+
+    def keep(self, key: bytes, value: bytes) -> None:
+        self.young[key] = value
+        self.used += len(key) + len(value) + ENTRY
 
     def missing(self, keys: set[bytes]) -> list[bytes]:
-        """Those of ``keys`` not known in either generation; makes room first."""
-        if len(self) + len(keys) > self.most:
-            self.old = dict(self)
-            self.clear()
+        """Those of ``keys`` not known; the others are in ``young`` from now on."""
+        if self.used > self.most:
+            self.old, self.young, self.used = self.young, {}, 0
         out = []
-        for k in keys - self.keys():
+        for k in keys - self.young.keys():
             if (v := self.old.get(k)) is None:
                 out.append(k)
             else:
-                self[k] = v
+                self.keep(k, v)
         return out
 
 
+# The parts of a vocabulary file that the cuts below rely on.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def may_cut(vocabulary: dict) -> bool:
+    """Whether texts may be cut into pieces for the vocabulary of this JSON: it
+    has the parts above and word ends, no random merges, and no added token
+    but special ones."""
+    model = vocabulary["model"]
+    return (
+        vocabulary["normalizer"] == NORMALIZER
+        and vocabulary["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]}
+        and (model["type"], model["end_of_word_suffix"], model["dropout"] or 0) == ("BPE", "</w>", 0)
+        and not model["continuing_subword_prefix"]
+        and vocabulary["post_processor"] is None
+        and vocabulary["truncation"] is None
+        and vocabulary["padding"] is None
+        and all(t["special"] for t in vocabulary["added_tokens"])
+    )
+
+
 class PieceEncoder:
     """Ids of texts as little-endian bytes, encoding each distinct piece once.
 
-    Texts are cut where a pre-token of the vocabulary meant here surely ends:
-    at spaces and line feeds, and between a letter or digit and a sign of
-    SIGNS. A-Z are lower-cased, as the vocabulary does. Words of letters go to the
+    Where the vocabulary allows it (:func:`may_cut`), texts are cut where a
+    pre-token surely ends: at spaces and line feeds, and between a letter or
+    digit and a sign of SIGNS; any other vocabulary gets whole texts.
+    A-Z are lower-cased, as the vocabulary does. Words of letters go to the
     tokenizer together and are told apart by their end-of-word tokens, other
     pieces one by one. The strings of special tokens are ordinary text.
     """
@@ -72,6 +103,7 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.cuts = may_cut(json.loads(self.tokenizer.to_str()))
         self.known = Kept(CACHE)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -82,6 +114,8 @@ class PieceEncoder:
 
     def __call__(self, column: pa.Array) -> list[bytes]:
         """The ids of each row of an Arrow column of texts; null is empty."""
+        if not self.cuts:
+            return self._whole([t or "" for t in column.to_pylist()])
         data, offsets = text_bytes(column)
         if not len(data):
             return [b""] * (len(offsets) - 1)
@@ -132,11 +166,13 @@ class PieceEncoder:
             texts = [x.decode() for x in new]
             words = [k for k, t in enumerate(texts) if t.isalpha()]
             others = [k for k, t in enumerate(texts) if not t.isalpha()]
-            known.update(zip([new[k] for k in others], self._whole([texts[k] for k in others]), strict=True))
+            for k, ids in zip(others, self._whole([texts[k] for k in others]), strict=True):
+                known.keep(new[k], ids)
             for at in range(0, len(words), 2048):
                 part = words[at : at + 2048]
-                known.update(zip([new[k] for k in part], self._words([texts[k] for k in part]), strict=True))
-        return [known[x] for x in pieces]
+                for k, ids in zip(part, self._words([texts[k] for k in part]), strict=True):
+                    known.keep(new[k], ids)
+        return [known.young[x] for x in pieces]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -170,22 +206,23 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", c
     Returns the columns of ``docs`` but the text, and ``piece`` (from 0),
     ``start`` (ids before it), ``length``, ``ids_crc32`` (of little-endian
     32-bit ids) and, if asked for, ``ids`` (those bytes). A null text counts as
-    empty. Columns of those names in ``docs`` are replaced.
+    empty. Columns of those names in ``docs``, and of the names ``sequence_id`` and
+    ``offset``, are replaced; all others stay, whatever they are called. A text
+    stands in memory with some tens of bytes for each of its own.
     """
     bounded_batches(docs)
-    own = ["piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset", "__bucket", "__order"]
-    kept = [c for c in docs.columns if c != text and c not in own]
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema
-    for name, kind in (("piece", "integer"), ("start", "long"), ("length", "long"), ("ids_crc32", "long")):
+    made = ["piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+    inner, names, back = set_aside(docs, "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset", consumed=text)
+    kept = [c for c in inner.columns if c != names[text]]
+    schema = inner.select(*kept).schema
+    for name, kind in zip(made, ("integer", "long", "long", "long", "binary"), strict=False):
         schema = schema.add(name, kind)
-    if with_ids:
-        schema = schema.add("ids", "binary")
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
         for batch in batches:
-            for part in portions(batch, batch.num_columns - 1, 4 << 20):
+            for part in portions(batch, batch.num_columns - 1, PORTION):
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i, raw in enumerate(encode(part.column(part.num_columns - 1))):
                     raw += end
@@ -201,7 +238,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", c
                 columns += [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, names=schema.names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text")).mapInArrow(pieces, schema)
+    return back(inner.select(*kept, names[text]).mapInArrow(pieces, schema), *made)
 
 
 def plan_packing(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -295,26 +332,28 @@ def pack(pieces: DataFrame, capacity: int = 2048, key: tuple[str, ...] = ("doc_i
     ``key`` orders rows of equal length; rows with equal keys are told apart by
     their other columns, and fully equal rows are interchangeable. Rows of
     length 0 or null, or over the capacity, get nulls; an empty table stays
-    empty. ``pieces`` should be a written table, for it is read twice.
+    empty. Columns named ``sequence_id`` or ``offset`` are replaced. ``pieces`` should be a written table, for it is read twice.
     """
-    ok = F.col("length").between(1, capacity)
-    counts = pieces.where(ok).groupBy("length").count()
-    counts = {int(r["length"]): r["count"] for r in counts.toLocalIterator()}  # at most `capacity` rows
+    inner, names, back = set_aside(pieces, "sequence_id", "offset")
+    length = names["length"]
+    ok = F.col(length).between(1, capacity)
+    counts = inner.where(ok).groupBy(length).count()
+    counts = {int(r[length]): r["count"] for r in counts.toLocalIterator()}  # at most `capacity` rows
     plan, _ = plan_packing(counts, capacity)
     plan.sort()
     lengths, firsts, pers, sequences, offsets = (np.array(x, dtype=np.int64) for x in (zip(*plan, strict=True) if plan else ((),) * 5))
     plan_ = pieces.sparkSession.sparkContext.broadcast((lengths, firsts, pers, sequences, offsets))
 
     buckets = max(1, -(-max(counts.values(), default=0) // BUCKET_ROWS))
-    order = F.xxhash64(*[F.col(f"`{c}`") for c in pieces.columns])
-    own = [c for c in pieces.columns if c not in ("sequence_id", "offset", "__bucket", "__rank", "__before", "__order")]
-    rows = pieces.select(*[F.col(f"`{c}`") for c in own], order.alias("__order")).withColumn("__bucket", F.pmod("__order", F.lit(buckets)))
-    sizes = rows.groupBy("length", "__bucket").count()
-    before = sizes.select("length", "__bucket", (F.sum("count").over(Window.partitionBy("length").orderBy("__bucket")) - F.col("count")).alias("__before"))
-    in_bucket = Window.partitionBy("length", "__bucket").orderBy("__order", *[k for k in key if k in own])
-    ranked = rows.withColumn("__rank", F.row_number().over(in_bucket) - 1).join(before, ["length", "__bucket"], "left")
-    ranked = ranked.select(*[F.col(f"`{c}`") for c in own], F.when(ok, F.col("__rank") + F.coalesce("__before", F.lit(0))).alias("__rank"))
-    schema = pieces.select(*[F.col(f"`{c}`") for c in own]).schema.add("sequence_id", "long").add("offset", "long")
+    own = inner.columns
+    rows = inner.withColumn("order", F.xxhash64(*comparable(inner))).withColumn("bucket", F.pmod("order", F.lit(buckets)))
+    sizes = rows.groupBy(length, "bucket").count()
+    before = sizes.select(length, "bucket", (F.sum("count").over(Window.partitionBy(length).orderBy("bucket")) - F.col("count")).alias("before"))
+    in_bucket = Window.partitionBy(length, "bucket").orderBy("order", *[names[k] for k in key if k in names])
+    ranked = rows.withColumn("rank", F.row_number().over(in_bucket) - 1).join(before, [length, "bucket"], "left")
+    ranked = ranked.select(*own, F.when(ok, F.col("rank") + F.coalesce("before", F.lit(0))).alias("rank"))
+    schema = inner.schema.add("sequence_id", "long").add("offset", "long")
+    at_length = own.index(length)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, firsts, pers, sequences, offsets = plan_.value
@@ -322,7 +361,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, key: tuple[str, ...] = ("doc_i
         wide = int(firsts.max(initial=0)) + max(counts.values(), default=0) + 1
         keys = lengths * wide + firsts
         for batch in batches:
-            n = batch.column(own.index("length")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            n = batch.column(at_length).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             r = batch.column(batch.num_columns - 1)
             none = r.is_null().to_numpy(zero_copy_only=False)
             r = r.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -334,7 +373,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, key: tuple[str, ...] = ("doc_i
                 sequence = offset = np.zeros(len(r), np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence, pa.int64(), mask=none), pa.array(offset, pa.int64(), mask=none)], names=schema.names)
 
-    return ranked.mapInArrow(place, schema)
+    return back(ranked.mapInArrow(place, schema), "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:

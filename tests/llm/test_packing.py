@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from cartulary.llm.packing import pack, pack_documents, plan_packing, sequences
+from cartulary.llm.packing import PieceEncoder, may_cut, pack, pack_documents, plan_packing, sequences
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -97,3 +97,57 @@ def test_lengths_out_of_range_and_empty(spark):
     assert sorted((r.sequence_id, r.offset) for r in out if r.doc_id == 1) == [(0, 0), (0, 5)]
     assert pack(spark.createDataFrame([], "doc_id long, piece int, length long"), 10).count() == 0
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_other_vocabulary_and_carried_columns(spark):
+    """Texts of a vocabulary with other rules are encoded whole; columns keep
+    their names and values, maps too."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [None, "", "Hello, World!  it's\n\n1234 é🙂", " Leading, spaces ", "<|endoftext|> x", "Ab" * 9000, "same", "same"]
+    rows = [(i, t, f"b{i}", "o", {"k": i}, -1) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __bucket string, __order string, carried_0 map<string, int>, offset int")
+    found = pack_documents(docs, path, capacity=64, with_ids=True).collect()
+    assert found[0].__fields__ == ["doc_id", "__bucket", "__order", "carried_0", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"]
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    for i, t in enumerate(texts):
+        own = sorted((r for r in found if r.doc_id == i), key=lambda r: r.piece)
+        want = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()
+        assert b"".join(bytes(r.ids) for r in own) == want
+        assert {(r["__bucket"], r["__order"], r.carried_0["k"]) for r in own} == {(f"b{i}", "o", i)}
+    filled = {}
+    for r in sorted(found, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == filled.get(r.sequence_id, 0)
+        filled[r.sequence_id] = r.offset + r.length
+
+
+def test_which_vocabularies_may_be_cut():
+    import json
+
+    whole = json.loads(Tokenizer.from_file(PATH).to_str())
+    assert may_cut(whole)
+    assert not may_cut(json.loads(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).to_str()))
+    assert not may_cut(whole | {"normalizer": None})
+    assert not may_cut(whole | {"added_tokens": [{"content": "new york", "special": False}]})
+
+
+def test_kept_pieces_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    encode = PieceEncoder(PATH)
+    encode.known.most = 20_000
+    texts = [f"word{i} and number {i}, again" for i in range(3000)]
+    tokenizer = Tokenizer.from_file(PATH)
+    for at in range(0, 3000, 50):
+        part = texts[at : at + 50]
+        assert encode(pa.array(part)) == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(part, add_special_tokens=False)]
+    # One batch may pass the bound, for its pieces are all asked for at once.
+    assert max(len(encode.known.young), len(encode.known.old)) < 400
+
+
+def test_a_very_long_text(spark):
+    text = " ".join(f"w{i % 977}x{i % 13}, and" for i in range(300_000))
+    ids = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    found = pack_documents(spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string"), PATH).where("doc_id = 1").orderBy("piece").collect()
+    want = np.array([*ids, 0], "<u4")
+    assert [r.ids_crc32 for r in found] == [zlib.crc32(want[k : k + 2048].tobytes()) for k in range(0, len(want), 2048)]
