@@ -32,28 +32,34 @@ def frequency_maps(texts: DataFrame, tokens_of: Callable, above: tuple[int, ...]
     for every frequent token, and for few others.
 
     Tokens are counted by 40 bits of their hash. Each task sends sorted,
-    delta-coded runs of them, one for each range of hashes, and each range is
-    counted on its own; the driver gets the bitmaps, however many rows there
-    are.
+    delta-coded runs of distinct tokens with their counts, as far as counts
+    matter, one for each range of hashes, and each range is counted on its own: a
+    token that stands in a third of all texts is one entry a run. The driver gets
+    the bitmaps, however many rows there are.
     """
     size = texts.agg(F.sum(F.octet_length(texts.columns[0]))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, (size // 4).bit_length()))
     # About 8 MB of text for each range; a range fills whole bytes of the maps.
     ranges = 1 << min(bits - 6, max(4, (size >> 23).bit_length()))
+    enough = max(above) + 1  # a count of more is no other answer
+    if enough >= 1 << 16:
+        raise ValueError("counts go by two bytes")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def flush():
             all_ = np.sort(np.concatenate(held) >> np.uint64(24))
+            edge = np.flatnonzero(np.concatenate([[True], all_[1:] != all_[:-1], [True]]))
+            all_, many = all_[edge[:-1]], np.minimum(np.diff(edge), enough).astype("<u2")
             bounds = np.searchsorted(all_, (np.arange(ranges + 1, dtype=np.uint64)) << np.uint64(40 - (ranges.bit_length() - 1)))
             out = []
             for r in range(ranges):
                 own = all_[bounds[r] : bounds[r + 1]]
                 if len(own):
                     delta = np.diff(own, prepend=np.uint64(0))
-                    planes = delta.view(np.uint8).reshape(-1, 8).T[:5]
-                    out.append((r, zlib.compress(planes.tobytes(), 1)))
+                    planes = delta.view(np.uint8).reshape(-1, 8).T[:5], many[bounds[r] : bounds[r + 1]].view(np.uint8).reshape(-1, 2).T
+                    out.append((r, zlib.compress(np.concatenate(planes).tobytes(), 1)))
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["r", "run"])
 
         for part in (p for batch in batches for p in portions(batch, 0)):
@@ -69,18 +75,21 @@ def frequency_maps(texts: DataFrame, tokens_of: Callable, above: tuple[int, ...]
     cells = (1 << bits) // ranges
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
-        parts = []
+        parts, counts = [], []
         for run in group["run"]:
-            planes = np.frombuffer(zlib.decompress(run), np.uint8).reshape(5, -1)
+            planes = np.frombuffer(zlib.decompress(run), np.uint8).reshape(7, -1)
             delta = np.zeros((planes.shape[1], 8), np.uint8)
-            delta[:, :5] = planes.T
+            delta[:, :5] = planes[:5].T
             parts.append(np.cumsum(delta.view(np.uint64).ravel(), dtype=np.uint64))
-        own = np.sort(np.concatenate(parts))
-        edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]]))
-        many = np.diff(edge)
+            counts.append(np.ascontiguousarray(planes[5:].T).view("<u2").ravel())
+        # Token and count in one number: 40 and 16 bits.
+        own = np.sort((np.concatenate(parts) << np.uint64(16)) | np.concatenate(counts).astype(np.uint64))
+        token, many = own >> np.uint64(16), (own & np.uint64(0xFFFF)).astype(np.int64)
+        edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        token, many = token[edge], np.add.reduceat(many, edge)
         packed = []
         for least in above:
-            at = (own[edge[:-1][many > least]] >> np.uint64(40 - bits)).astype(np.int64) % cells
+            at = (token[many > least] >> np.uint64(40 - bits)).astype(np.int64) % cells
             marks = np.zeros(cells, np.uint8)
             marks[at] = 1
             packed.append(zlib.compress(np.packbits(marks).tobytes(), 1))

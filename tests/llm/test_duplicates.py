@@ -193,3 +193,47 @@ def test_repeated_spans(spark):
     assert rest[0] == texts[0] and rest[50] is None and len(rest[52]) < 40
     assert len(rest[5]) < len(texts[5]) - 200 and rest[1] == texts[1]
     assert repeated_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_frequency_maps_equal_counts(spark):
+    """A token in every row and repeated within rows, one at each limit, rare ones."""
+    import pandas as pd
+    import pyarrow as pa
+
+    from cartulary.llm import frequency
+
+    def tokens_of(column: pa.Array):
+        for t in column.to_pylist():
+            yield np.array([(int(x) * 0x9E3779B97F4A7C15 + 0x1234567) % 2**64 for x in (t or "").split()], np.uint64)
+
+    rng = random.Random(8)
+    rows = [f"1 1 1 2 {'3' if i < 5 else ''} {'4' if i < 4 else ''} {rng.randrange(5, 900)}" for i in range(700)] + [None, ""]
+    counts = pd.Series([int(x) for t in rows for x in (t or "").split()]).value_counts()
+    old, frequency._FLUSH = frequency._FLUSH, 97
+    try:
+        maps = frequency.frequency_maps(spark.createDataFrame([(t,) for t in rows], "t string").repartition(3), tokens_of, (1, 4, 500))
+    finally:
+        frequency._FLUSH = old
+    tokens = np.array([(int(x) * 0x9E3779B97F4A7C15 + 0x1234567) % 2**64 for x in counts.index], np.uint64)
+    want = sum((counts.to_numpy() > k).astype(np.int8) for k in (1, 4, 500))
+    got = maps.levels(tokens)
+    assert (got >= want).all() and (got != want).mean() < 0.02
+    assert frequency.frequency_maps(spark.createDataFrame([], "t string"), tokens_of, (1,)).levels(tokens).max() == 0
+
+
+def test_blocks_come_whole():
+    import pyarrow as pa
+
+    from cartulary.llm.ngram_join import _whole_blocks
+
+    rng = random.Random(4)
+    for sizes in ([1] * 50, [100], [3, 90, 2, 2, 90], [rng.randrange(1, 30) for _ in range(40)]):
+        key = np.repeat(np.arange(len(sizes)) * 7 % 101, sizes)
+        value = np.arange(len(key))
+        for step in (1, 4, 10):
+            batches = [pa.RecordBatch.from_arrays([pa.array(key[a : a + step]), pa.array(value[a : a + step])], ["part", "v"]) for a in range(0, len(key), step)]
+            found = [c[0] for c in _whole_blocks(iter([*batches, batches[0].slice(0, 0)]), 20)]
+            assert np.concatenate(found).tolist() == value.tolist()
+            assert all(key[x[-1]] != key[y[0]] for x, y in zip(found[:-1], found[1:], strict=True))
+            assert all(len(x) <= 20 + step + max(sizes) for x in found)
+    assert list(_whole_blocks(iter([]), 20)) == []
