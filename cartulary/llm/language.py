@@ -8,8 +8,8 @@ the n-gram and the back-off weight of its context. Where that table of types by
 languages grows beyond MAX_CELLS, each language has arrays of its own, with the
 same probabilities. No type is left out of either. A text gets the language of
 the lowest cross-entropy per character. It is rejected if that exceeds what
-texts of that language reach, a limit calibrated for each language on a bounded
-sample.
+texts of that language reach, a limit calibrated for each language on all its
+labelled texts.
 
 N-gram counts cover all training texts: each task counts its own texts and
 Spark adds the counts up. Characters beyond the Basic Multilingual Plane share
@@ -34,12 +34,11 @@ ORDER = 4
 #: Entries of the highest order's shared table, types by languages, at most;
 #: beyond, languages are kept apart.
 MAX_CELLS = 64_000_000
-#: Labelled rows of each language that calibrate its rejection, on average, at
-#: most; the models themselves learn from all rows.
-CALIBRATION_ROWS = 1_000
+#: Steps a nat in which cross-entropies are counted for the rejection's limits.
+STEPS = 1_000
 #: Texts this short are never rejected: their cross-entropy says little.
 LEAST_CHARS = 40
-#: Nats a symbol beyond what the sampled texts reach: texts that mix two learned
+#: Nats a symbol beyond what the labelled texts reach: texts that mix two learned
 #: languages stay, other scripts and noise go.
 MARGIN = 1.5
 _SPACE, _BEYOND = 32, 0xFFFF
@@ -313,31 +312,34 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model | No
 
 def _calibrate(model: Model, docs: DataFrame, text: str, lang: str) -> np.ndarray:
     """By language the highest cross-entropy that its texts may have: well
-    beyond what nearly all of the sampled texts of that language reach. A
-    language without a long enough text has no limit."""
-    rows = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("t"), F.xxhash64(*comparable(docs)).alias("h"))
+    beyond what nearly all texts of that language reach. A language without a
+    long enough text has no limit. Repeated rows count once.
+
+    Cross-entropies are counted by steps of a thousandth of a nat, so the
+    percentiles of any number of texts stand in a small table.
+    """
+    rows = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.xxhash64(*comparable(docs)).alias("h"), F.col(f"`{text}`").alias("t"))
     rows = rows.where(F.col("lang").isNotNull() & (F.length("t") >= LEAST_CHARS))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))  # a row a language
-    # Rows of a low hash, of each language as many as the bound on average;
-    # repeated rows count once.
-    low = F.pmod("h", F.lit(1 << 40)).cast("double") * F.col("n") < float(CALIBRATION_ROWS << 40)
-    sample = rows.join(F.broadcast(sizes), "lang").where(low).dropDuplicates(["lang", "h"]).select("lang", "t")
     model_ = share(docs.sparkSession, model)
 
     def entropies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held(model_))
         place = {name: k for k, name in enumerate(scorer.model.langs)}
         for batch in batches:
-            for part in portions(batch, 1):
+            for part in portions(batch, 2):
                 names = part.column(0).to_pylist()
-                entropy, _, letters = scorer.entropies(part.column(1).to_pylist())
+                entropy, _, letters = scorer.entropies(part.column(2).to_pylist())
                 own = [float(e[place[x]]) if x in place and some else None for x, e, some in zip(names, entropy, letters.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.float64())], ["lang", "e"])
-
-    found = sample.mapInArrow(entropies, "lang string, e double").where("e is not null")
-    middle = found.groupBy("lang").agg(F.median("e").alias("m"), F.percentile("e", 0.995).alias("q"))
-    spread = found.join(F.broadcast(middle), "lang").groupBy("lang").agg(F.max("m").alias("m"), F.max("q").alias("q"), F.median(F.abs(F.col("e") - F.col("m"))).alias("s"))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own, pa.float64())], ["lang", "h", "e"])
+
+    found = rows.mapInArrow(entropies, "lang string, h bigint, e double").where("e is not null")
+    step = (F.round(F.col("e") * STEPS) / STEPS).alias("e")
+    found = found.groupBy("lang", "h").agg(F.min("e").alias("e")).groupBy("lang", step).agg(F.count("*").alias("n"))
+    found = cut(found, "entropies")
+    middle = found.groupBy("lang").agg(F.percentile("e", 0.5, F.col("n")).alias("m"), F.percentile("e", 0.995, F.col("n")).alias("q"))
+    spread = found.join(F.broadcast(middle), "lang").groupBy("lang").agg(F.max("m").alias("m"), F.max("q").alias("q"), F.percentile(F.abs(F.col("e") - F.col("m")), 0.5, F.col("n")).alias("s"))
     limits = {r.lang: max(r.q, r.m + 12 * r.s) + MARGIN for r in spread.collect()}  # a row a language
+    discard(found)
     return np.array([limits.get(name, np.inf) for name in model.langs])
 
 

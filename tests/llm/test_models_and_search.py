@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cartulary.llm.ann import balanced_parts, nearest, neighbour_graph
 from cartulary.llm.decontaminate import RADIUS, find_leaks, remove_contaminated, simhash
-from cartulary.llm.language import ORDER, Scorer, count_ngrams, fit, identify, keys, symbols, train
+from cartulary.llm.language import MARGIN, ORDER, Scorer, count_ngrams, fit, identify, keys, symbols, train
 from cartulary.llm.language import _alphabet as alphabet
 from cartulary.llm.sharding import interleave
 
@@ -403,3 +403,13 @@ def test_workers_need_no_copy_of_the_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=400)
     assert "fine" in done.stdout, done.stderr[-2000:]
+
+
+def test_language_limits_come_from_all_texts(spark):
+    rng = random.Random(8)
+    made = [(i, "".join(rng.choice("abcdefgh" if i % 3 else "aab") + (" " if rng.random() < 0.2 else "") for _ in range(60 + i % 90)), "xx") for i in range(4_000)]
+    model = train(spark.createDataFrame(made + made[:500], "doc_id int, text string, lang string"))
+    e = Scorer(model).entropies([t for _, t, _ in made])[0][:, 0]
+    m = np.median(e)
+    want = max(np.quantile(e, 0.995), m + 12 * np.median(np.abs(e - m))) + MARGIN
+    assert abs(model.limits[0] - want) < 0.015
