@@ -1,10 +1,11 @@
 """Intervals in nested bins: which of them contain another, without meeting all.
 
-Bins of width 1, 2, 4 and so on are nested. An interval sits in the smallest bin
-that holds it whole; whatever contains it sits in that bin or one around it. So a
-place asks one bin a level, by an equi-join. The intervals of one bin all span
-its middle: where they are nested, as code units are, a bin holds no more of them
-than they are deep, however many a file has.
+Bins of width 16, 256, 4096 and so on are nested. An interval sits in the smallest
+bin that holds it whole; whatever contains it sits in that bin or one around it. So
+a place asks one bin a level, by an equi-join, and few levels mean few copies of it.
+The intervals of one bin all span one of 15 borders in it, or lie in the 16 numbers of a
+least one: where they are nested, as code units are, a bin holds no more of them than
+some 16 times their depth, however many a file has.
 """
 
 from __future__ import annotations
@@ -14,12 +15,14 @@ from pyspark.sql import functions as F
 
 #: The level of the one bin that holds negative and other numbers alike.
 TOP = 64
+#: Levels are multiples of this.
+STEP = 4
 
 
 def bin_level(start: Column, end: Column) -> Column:
     """The level (log2 of the width) of the smallest bin that holds both."""
     apart = start.cast("long").bitwiseXOR(end.cast("long"))
-    return F.when(apart == 0, 0).otherwise(F.length(F.bin(apart))).cast("int")
+    return F.when(apart == 0, STEP).otherwise(F.ceil(F.length(F.bin(apart)) / STEP) * STEP).cast("int")
 
 
 def bin_number(point: Column, level: Column) -> Column:
@@ -33,7 +36,7 @@ def containment_join(outer: DataFrame, inner: DataFrame, keys: list[str], outer_
 
     Ranges with a null end, or an end before the start, contain nothing and are
     in nothing. Keys come once; other columns must differ in name. Levels are asked only
-    if an outer range has them: at most 65 numbers on the driver.
+    if an outer range has them: at most 16 numbers.
     """
     (s, e), (ps, pe) = outer_range, inner_range
     clash = (set(outer.columns) & set(inner.columns)) - set(keys)
@@ -41,8 +44,9 @@ def containment_join(outer: DataFrame, inner: DataFrame, keys: list[str], outer_
         raise ValueError(f"columns of both tables: {sorted(clash)}")
     wide = outer.where(F.col(s) <= F.col(e)).withColumn("__level", bin_level(F.col(s), F.col(e)))
     wide = wide.withColumn("__bin", bin_number(F.col(s), F.col("__level")))
-    levels = sorted(r[0] for r in wide.select("__level").distinct().toLocalIterator())
-    own = F.filter(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"), lambda k: k >= bin_level(F.col(ps), F.col(pe)))
-    asked = inner.where(F.col(ps) <= F.col(pe)).withColumn("__level", F.explode(own))
+    # One small row; it is part of the plan, so that shuffles of the outer side are shared.
+    levels = wide.agg(F.collect_set("__level").alias("__levels"))
+    asked = inner.where(F.col(ps) <= F.col(pe)).crossJoin(F.broadcast(levels))
+    asked = asked.withColumn("__level", F.explode(F.filter("__levels", lambda k: k >= bin_level(F.col(ps), F.col(pe))))).drop("__levels")
     asked = asked.withColumn("__bin", bin_number(F.col(ps), F.col("__level")))
     return asked.join(wide, [*keys, "__level", "__bin"]).where((F.col(s) <= F.col(ps)) & (F.col(e) >= F.col(pe))).drop("__level", "__bin")

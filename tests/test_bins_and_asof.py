@@ -93,3 +93,11 @@ def test_asof_odd_tables(spark):
             asof_join(a, b, ["k"], "p", "q", **bad)
     with pytest.raises(ValueError):
         asof_join(a, b.withColumnRenamed("t", "lid"), ["k"], "p", "q")
+
+
+def test_few_levels_are_asked(spark):
+    """A range of up to 16 lines asks one level where ranges of one bin are all there is."""
+    from cartulary.operators.bins import bin_level
+
+    rows = spark.range(300).select(bin_level(F.lit(0), F.col("id")).alias("k")).distinct().collect()
+    assert {r.k for r in rows} == {4, 8, 12}
