@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import evidence_strict, f1, ratio, recover_json, tail, truncate
 from ..operators import audit, catalogs, curation, graph, joins, runs, scans, scoring
+from ..session import TASK_BYTES
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -30,6 +31,8 @@ def query(sql: str | None = None):
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    # The setting holds as plans run, so it stays in the session.
+    spark.conf.set(*TASK_BYTES)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
