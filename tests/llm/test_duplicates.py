@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from cartulary.llm import ngram_join
+from cartulary.llm import common, ngram_join
 from cartulary.llm.line_dedup import dedup_lines
 from cartulary.llm.ngram_join import ngram_jaccard, scales, signatures
 from cartulary.llm.substring_dedup import chunks_of, remove_spans, repeated_spans
@@ -237,3 +237,27 @@ def test_blocks_come_whole():
             assert all(key[x[-1]] != key[y[0]] for x, y in zip(found[:-1], found[1:], strict=True))
             assert all(len(x) <= 20 + step + max(sizes) for x in found)
     assert list(_whole_blocks(iter([]), 20)) == []
+
+
+@pytest.mark.parametrize("chunk", [200_000, 4])
+def test_components_of_chunks(spark, monkeypatch, chunk):
+    """One chunk or many give the components of a chain, a hub and repeated edges."""
+    monkeypatch.setattr(common, "CHUNK", chunk)
+    edges = [(i, i + 1) for i in range(40, 60)] + [(100, i) for i in range(101, 120)] + [(7, -3), (-3, 7), (7, 7), (5, 5)]
+    found = common.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(3))
+    want = {i: 40 for i in range(40, 61)} | {i: 100 for i in range(100, 120)} | {7: -3, -3: -3}
+    assert sorted(map(tuple, found.collect())) == sorted(want.items())
+
+
+def test_join_takes_few_jobs(spark):
+    """Each job is a plan that the driver keeps: chains of near copies need few."""
+    words = [f"w{i}" for i in range(200)]
+    rows = [(k, " ".join([*words[k:], *(f"x{k}.{j}" for j in range(2))])) for k in range(40)]
+    spark.sparkContext.setJobGroup("join", "join")
+    try:
+        members, _ = ngram_jaccard(spark.createDataFrame(rows, "doc_id long, text string"))
+        n = len(spark.sparkContext.statusTracker().getJobIdsForGroup("join"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.component for r in members.collect()} and members.select("component").distinct().count() == 1
+    assert n <= 120, n
