@@ -161,7 +161,9 @@ def accept_records(records: DataFrame) -> DataFrame:
     commits = F.when(F.coalesce("patch_commit", F.lit("")) == "", "no_patch_commit").when(F.coalesce("vulnerable_commit", F.lit("")) == "", "no_vulnerable_commit")
     base = records.withColumns({"__loc": loc, "__static": static, "__commits": commits})
     cands = base.where("__static is null and __commits is null").select("pos", F.col("cve_id").alias("id"), F.col("__loc").alias("loc"))
-    held = cut(first_holders(cands), "accepted")
+    held, n = cut_counted(first_holders(cands), "accepted")
+    if n["n"] <= SENT:
+        held = F.broadcast(held)
     by_id = held.select(F.col("id").alias("cve_id"), F.col("pos").alias("__id_pos"))
     by_loc = held.select(F.col("loc").alias("__loc"), F.col("pos").alias("__loc_pos"))
     out = base.join(by_id, "cve_id", "left").join(by_loc, "__loc", "left")
@@ -169,6 +171,9 @@ def accept_records(records: DataFrame) -> DataFrame:
     return out.withColumn("reason", reason).select(*records.columns, "reason")
 
 
+#: Accepted records up to which they go to the records, at about 100 bytes each; more
+#: of them and the records are dealt out together.
+SENT = 500_000
 #: Rounds of first records before what is left is looked at by components; rows of
 #: a component that one task goes through in order.
 PEELS, FOLD = 5, 100_000
@@ -184,18 +189,23 @@ def first_holders(cands: DataFrame) -> DataFrame:
     another, the components of what is left are gone through in order, each of
     up to FOLD records in one task, all at once.
     """
-    # Of equal id and place only the first can be kept.
-    left, kept = cut(cands.groupBy("id", "loc").agg(F.min("pos").alias("pos")), "records"), []
+    left, kept = cut(cands.select("pos", "id", "loc"), "records"), []
     while True:
         for _ in range(PEELS):
-            first = left.join(left.groupBy("id").agg(F.min("pos").alias("pos")), ["id", "pos"], "left_semi").join(left.groupBy("loc").agg(F.min("pos").alias("pos")), ["loc", "pos"], "left_semi")
-            new = cut(first.select("pos", "id", "loc"), "kept")
+            # The first of each id, and what else is at its place: places are met by
+            # hashes first, so no table of all places is dealt out.
+            mine = cut(left.groupBy("id").agg(F.min(F.struct("pos", "loc")).alias("f")).select("f.pos", "id", "f.loc"), "mine")
+            near = left.select("loc", "pos").join(mine.select(F.xxhash64("loc").alias("h")), F.xxhash64("loc") == F.col("h"), "left_semi")
+            new = cut(mine.join(near.groupBy("loc").agg(F.min("pos").alias("pos")), ["loc", "pos"], "left_semi").select("pos", "id", "loc"), "kept")
             kept.append(new)
             old = left
             left, n = cut_counted(left.join(new.select("id"), "id", "left_anti").join(new.select("loc"), "loc", "left_anti"), "records")
-            discard(old)
+            discard(old, mine)
             if not n["n"]:
                 return functools.reduce(DataFrame.unionByName, kept)
+        # Of equal id and place only the first can be kept.
+        old, left = left, cut(left.groupBy("id", "loc").agg(F.min("pos").alias("pos")), "records")
+        discard(old)
         parts = _conflicts(left)
         sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
         small = parts.join(sizes.where(F.col("n") <= FOLD), "part", "left_semi")

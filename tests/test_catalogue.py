@@ -57,3 +57,15 @@ def test_entry_names():
 
     names = entry.queries()
     assert set(QUERIES) <= set(names) and set(entry.oracle_sql()) <= set(names)
+
+
+def test_accepted_records_by_flag(spark, tmp_path):
+    """Line items that differ by their flag only are two records, as in SQL."""
+    con = duckdb.connect()
+    con.execute("create table lineitem as select * from (values (1::bigint, 1, 5::bigint, 9::bigint, 2.5::double, 'A'), (1, 1, 5, 9, 2.5, 'R'), (1, 1, 5, 9, 2.5, 'R'), (2, 1, 6, 9, 3.5, 'N'), (2, 1, 6, 8, 4.5, 'N')) v(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag)")
+    con.execute(f"copy lineitem to '{tmp_path}/lineitem.parquet' (format parquet)")
+    found = con.execute(ORACLE["q_accept_records"])
+    df = QUERIES["q_accept_records"](spark, str(tmp_path)).select([c[0] for c in found.description])
+    want = found.fetchall()
+    assert len(want) == 4
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr)
