@@ -14,6 +14,8 @@ from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 from ..scratch import cut
 
+#: Rows of a range, about: there are more ranges for more rows, so a task sorts as many.
+RANGE_ROWS = 200_000
 DIRECTIONS = ("backward", "forward", "nearest")
 
 
@@ -56,13 +58,14 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_point: st
     asked = lrows.where("known and p is not null").select("k", "p", F.lit(1).alias("side"), F.lit(None).cast(r_type).alias("r"), "l", F.monotonically_increasing_id().alias("n"))
     rows = r.select("k", "p", F.lit(0).alias("side"), "r", F.lit(None).cast(l_type).alias("l"), F.lit(-1).cast("long").alias("n")).union(asked)
     # The number spreads left rows of one key and point over several ranges.
-    blocks = cut(rows.repartitionByRange("k", "p", "side", "n").withColumn("block", F.spark_partition_id()), "asof")
+    ranges_n = max(left.sparkSession.sparkContext.defaultParallelism, (left.count() + right.count()) // RANGE_ROWS)
+    blocks = cut(rows.repartitionByRange(ranges_n, "k", "p", "side", "n").withColumn("block", F.spark_partition_id()), "asof")
     here = F.when(F.col("side") == 0, F.struct("k", "p", "r"))
     # Both orders have the right row of a point ahead of its left rows.
     up = Window.partitionBy("block").orderBy("k", "p", "side")
     down = Window.partitionBy("block").orderBy(F.desc("k"), F.desc("p"), "side")
     so_far = (Window.unboundedPreceding, 0)
-    seen = blocks
+    seen = blocks.repartitionByRange(ranges_n, "block")
     edges = blocks.where("side = 0").groupBy("block").agg(F.max_by(F.struct("k", "p", "r"), F.struct("k", "p")).alias("last"), F.min_by(F.struct("k", "p", "r"), F.struct("k", "p")).alias("first"))  # a row a range
     before, after = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     ranges = blocks.select("block").distinct().join(edges, "block", "left")

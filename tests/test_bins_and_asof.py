@@ -101,3 +101,15 @@ def test_few_levels_are_asked(spark):
 
     rows = spark.range(300).select(bin_level(F.lit(0), F.col("id")).alias("k")).distinct().collect()
     assert {r.k for r in rows} == {4, 8, 12}
+
+
+def test_nearest_over_many_ranges(spark, monkeypatch):
+    """Rows over many short ranges give what they give over one."""
+    from cartulary.operators import asof
+
+    monkeypatch.setattr(asof, "RANGE_ROWS", 7)
+    right = [(k, p, 10 * k + p) for k in range(4) for p in range(0, 60, 7)]
+    left = [(k, g, i) for i, (k, g) in enumerate((k, g) for k in range(5) for g in range(-3, 70, 5))]
+    found = asof.asof_join(spark.createDataFrame(left, "k int, g int, i int"), spark.createDataFrame(right, "k int, p int, v int"), ["k"], "g", "p", "nearest", "p")
+    want = {i: min(((abs(p - g), p) for c, p, _ in right if c == k), default=(None, None))[1] for k, g, i in left}
+    assert {r.i: r.p for r in found.collect()} == want
