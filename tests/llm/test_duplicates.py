@@ -261,3 +261,34 @@ def test_join_takes_few_jobs(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert {r.component for r in members.collect()} and members.select("component").distinct().count() == 1
     assert n <= 120, n
+
+
+def test_only_wanted_texts_are_taken_apart(spark):
+    texts = [" ".join(f"{k}word{i}" for i in range(9)) for k in range(30)]
+    longer = texts[7] + " and more"
+
+    def node_of(tokens):
+        if len(tokens) != 8:
+            raise ValueError("a text that is not wanted")
+        return 8
+
+    keys = spark.createDataFrame([(ngram_join._key(np.frombuffer(longer.encode(), np.uint8)),)], "text_key long")
+    sets = ngram_join._sets_of(spark.createDataFrame([(t,) for t in [*texts, longer, longer, None, ""]], "t string"), keys, 4, node_of)
+    assert [(r.node, len(r.tokens)) for r in sets.collect()] == [(8, 8)]
+
+
+def test_levels_ask_the_next_map_about_marked_tokens_only(spark):
+    from cartulary.llm import frequency
+
+    def tokens_of(column):
+        for t in column.to_pylist():
+            yield np.array([int(x) << 40 for x in t.split()], np.uint64)
+
+    texts = spark.createDataFrame([("1 2 3",), ("2 3",), ("3",), ("3",)], "t string")
+    maps = frequency.frequency_maps(texts, tokens_of, (1, 3))
+    maps.levels(np.zeros(1, np.uint64))
+    maps.unpacked[1] |= ~maps.unpacked[0]  # bits that no token can have set
+    assert maps.levels(np.array([1, 2, 3, 4], np.uint64) << np.uint64(40)).max() <= 2
+    assert maps.levels(np.array([4], np.uint64) << np.uint64(50)).tolist() == [0]
+    with pytest.raises(ValueError, match="rise"):
+        frequency.frequency_maps(texts, tokens_of, (3, 1))
