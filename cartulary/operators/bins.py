@@ -30,23 +30,27 @@ def bin_number(point: Column, level: Column) -> Column:
     return F.when(level < TOP, F.call_function("shiftright", point.cast("long"), F.least(level, F.lit(TOP - 1)))).otherwise(F.lit(0).cast("long"))
 
 
-def containment_join(outer: DataFrame, inner: DataFrame, keys: list[str], outer_range: tuple[str, str], inner_range: tuple[str, str]) -> DataFrame:
+def containment_join(outer: DataFrame, inner: DataFrame, keys: list[str], outer_range: tuple[str, str], inner_range: tuple[str, str], spans: DataFrame | None = None) -> DataFrame:
     """Rows of ``inner`` with each row of ``outer`` of equal ``keys`` whose range holds
     theirs (both ends inclusive, whole numbers).
 
     Ranges with a null end, or an end before the start, contain nothing and are
     in nothing. Keys come once; other columns must differ in name. Levels are asked only
-    if an outer range has them: at most 16 numbers.
+    if an outer range has them: at most 16 numbers. These are found from ``spans``, which
+    has the outer ranges as well, where shuffles lie between the two.
     """
     (s, e), (ps, pe) = outer_range, inner_range
     clash = (set(outer.columns) & set(inner.columns)) - set(keys)
     if clash:
         raise ValueError(f"columns of both tables: {sorted(clash)}")
-    wide = outer.where(F.col(s) <= F.col(e)).withColumn("__level", bin_level(F.col(s), F.col(e)))
-    wide = wide.withColumn("__bin", bin_number(F.col(s), F.col("__level")))
+    # Never null, or else each side would be asked for that, differently, below a shuffle
+    # that the two could share.
+    sure = lambda c, kind: F.coalesce(c, F.lit(0).cast(kind))
+    wide, known = (t.where(F.col(s) <= F.col(e)).withColumn("__level", sure(bin_level(F.col(s), F.col(e)), "int")) for t in (outer, outer if spans is None else spans))
+    wide = wide.withColumn("__bin", sure(bin_number(F.col(s), F.col("__level")), "long"))
     # One small row; it is part of the plan, so that shuffles of the outer side are shared.
-    levels = wide.agg(F.collect_set("__level").alias("__levels"))
+    levels = known.agg(F.collect_set("__level").alias("__levels"))
     asked = inner.where(F.col(ps) <= F.col(pe)).crossJoin(F.broadcast(levels))
     asked = asked.withColumn("__level", F.explode(F.filter("__levels", lambda k: k >= bin_level(F.col(ps), F.col(pe))))).drop("__levels")
-    asked = asked.withColumn("__bin", bin_number(F.col(ps), F.col("__level")))
+    asked = asked.withColumn("__bin", sure(bin_number(F.col(ps), F.col("__level")), "long"))
     return asked.join(wide, [*keys, "__level", "__bin"]).where((F.col(s) <= F.col(ps)) & (F.col(e) >= F.col(pe))).drop("__level", "__bin")

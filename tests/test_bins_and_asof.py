@@ -113,3 +113,30 @@ def test_nearest_over_many_ranges(spark, monkeypatch):
     found = asof.asof_join(spark.createDataFrame(left, "k int, g int, i int"), spark.createDataFrame(right, "k int, p int, v int"), ["k"], "g", "p", "nearest", "p")
     want = {i: min(((abs(p - g), p) for c, p, _ in right if c == k), default=(None, None))[1] for k, g, i in left}
     assert {r.i: r.p for r in found.collect()} == want
+
+
+def test_contains_functions_deals_its_rows_once(spark, tmp_path):
+    """Repeated rows, equal ids of other lines, wide lines and nulls, against SQL; one shuffle."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rng = random.Random(12)
+    rows = [(rng.randrange(5), rng.randrange(3), rng.randrange(2), rng.choice([1, 2, 3, 15, 16, 17, 300]), float(rng.randrange(50))) for _ in range(400)]
+    rows += [rows[0], (None, 1, 1, 1, 3.0), (1, None, 1, 1, 3.0), (1, 1, 1, None, 3.0), (1, 1, 1, 2, None)]
+    kind = "l_orderkey long, l_suppkey long, l_partkey long, l_linenumber int, l_quantity double"
+    spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/l")
+    next(tmp_path.glob("l/*.parquet")).rename(tmp_path / "lineitem.parquet")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.requireAllClusterKeysForCoPartition")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = entry.queries()["q_contains_functions"](spark, str(tmp_path))
+        got = sorted(tuple(r) for r in out.collect())
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    sql = entry.oracle_sql()["q_contains_functions"].replace("from lineitem", f"from '{tmp_path}/lineitem.parquet'")
+    assert got == sorted(duckdb.sql(sql).fetchall()) and len(got) > 20
+    dealt = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "ReusedExchange" not in x]
+    assert len(dealt) == 1 and "SortMergeJoin" in plan
